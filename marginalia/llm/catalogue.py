@@ -2,11 +2,19 @@
 
 from marginalia.llm.bpe import op1_bpe
 from marginalia.llm.fingerprints import op9_fingerprints
+from marginalia.llm.lines import OP7_SQL, op7_line_dedup
+from marginalia.llm.mixing import op2_mixing
+from marginalia.llm.pii import op3_pii
+from marginalia.llm.quality import op4_quality
 from marginalia.llm.sharding import op6_sharding
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_mixing": op2_mixing,
+    "op3_pii": op3_pii,
+    "op4_quality": op4_quality,
     "op6_sharding": op6_sharding,
+    "op7_line_dedup": op7_line_dedup,
     "op9_fingerprints": op9_fingerprints,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL}
