@@ -2,19 +2,23 @@
 
 from marginalia.llm.bpe import op1_bpe
 from marginalia.llm.fingerprints import op9_fingerprints
+from marginalia.llm.jaccard import op8_jaccard
 from marginalia.llm.lines import OP7_SQL, op7_line_dedup
 from marginalia.llm.mixing import op2_mixing
 from marginalia.llm.pii import op3_pii
 from marginalia.llm.quality import op4_quality
 from marginalia.llm.sharding import op6_sharding
+from marginalia.llm.units import OP5_SQL, op5_substrings
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
     "op3_pii": op3_pii,
     "op4_quality": op4_quality,
+    "op5_substrings": op5_substrings,
     "op6_sharding": op6_sharding,
     "op7_line_dedup": op7_line_dedup,
+    "op8_jaccard": op8_jaccard,
     "op9_fingerprints": op9_fingerprints,
 }
-ORACLE_SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_substrings": OP5_SQL, "op7_line_dedup": OP7_SQL}
