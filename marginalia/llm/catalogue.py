@@ -8,6 +8,7 @@ from marginalia.llm.mixing import op2_mixing
 from marginalia.llm.pii import op3_pii
 from marginalia.llm.quality import op4_quality
 from marginalia.llm.sharding import op6_sharding
+from marginalia.llm.suffixes import op10_suffixes
 from marginalia.llm.units import OP5_SQL, op5_substrings
 
 QUERIES = {
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_jaccard": op8_jaccard,
     "op9_fingerprints": op9_fingerprints,
+    "op10_suffixes": op10_suffixes,
 }
 ORACLE_SQL: dict[str, str] = {"op5_substrings": OP5_SQL, "op7_line_dedup": OP7_SQL}
