@@ -19,6 +19,7 @@ import heapq
 import json
 import re
 from dataclasses import dataclass, field
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,9 @@ from marginalia.llm.common import documents
 #: White space as Unicode has it; Python's own class also holds U+001C to U+001F.
 GAP = re.compile("[\t-\r \x85\xa0  -     　]+")
 ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+CONTROL = re.compile("[\x1c-\x1f]")
 #: Words kept with their ids, per Python worker, and symbols laid out in one index.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 1_000_000
 BLOCK_SYMBOLS = 2_000_000
 
 
@@ -75,21 +77,24 @@ class Vocabulary:
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word (bytes, not empty), through one pair occurrence index."""
-        symbol, after, before, first = [], [], [], []
-        for word in words:
-            start = len(symbol)
-            first.append(start)
-            symbol.extend([self.inner[b] for b in word[:-1]])
-            symbol.append(self.last[word[-1]])
-            after.extend(range(start + 1, start + len(word)))
-            after.append(-1)
-            before.append(-1)
-            before.extend(range(start, start + len(word) - 1))
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        size = int(ends[-1]) if words else 0
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        start = np.array(self.inner)[letters]
+        start[ends - 1] = np.array(self.last)[letters[ends - 1]]
+        after, before = np.arange(1, size + 1), np.arange(-1, size - 1)
+        after[ends - 1] = -1
+        first = np.concatenate([[0], ends[:-1]]) if words else ends
+        before[first] = -1
+        symbol, after, before, first = start.tolist(), after.tolist(), before.tolist(), first.tolist()
         index: dict[int, list[int]] = {}
         ranks = self.ranks
-        for at, right in enumerate(after):
-            if right >= 0 and (found := ranks.get((symbol[at], symbol[right]))):
-                index.setdefault(found[0], []).append(at)
+        for at, pair in enumerate(zip(symbol, symbol[1:])):
+            if (found := ranks.get(pair)) and after[at] >= 0:
+                if (places := index.get(found[0])) is None:
+                    index[found[0]] = [at]
+                else:
+                    places.append(at)
         active = list(index)
         heapq.heapify(active)
         while active:
@@ -140,19 +145,22 @@ class Encoder:
         tool = Tokenizer.from_str(vocabulary.source)
         self.normalize, self.parts = tool.normalizer.normalize_str, tool.pre_tokenizer.pre_tokenize_str
         self.special = re.compile("(" + "|".join(map(re.escape, vocabulary.special)) + ")") if vocabulary.special else None
+        # The ids of pieces of text between white space, and of the words they are made of.
         self.kept: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         self.byte_of = {x: i for i, x in enumerate(byte_symbols())}
 
     def words(self, piece: str) -> list[bytes]:
         """The words of a piece without white space, as the model's UTF-8 bytes."""
-        if piece.isascii() and not any("\x1c" <= x <= "\x1f" for x in piece):
-            return [x.encode() for x in ASCII_PARTS.findall(piece.lower())]
+        if piece.isascii() and (piece.isalpha() or not CONTROL.search(piece)):
+            piece = piece.lower()
+            return [piece.encode()] if piece.isalpha() else [x.encode() for x in ASCII_PARTS.findall(piece)]
         return [bytes(map(self.byte_of.__getitem__, x)) for x, _ in self.parts(self.normalize(piece))]
 
     def learn(self, pieces: set[str]) -> None:
         """Give every piece its ids, block by block."""
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
         block, size = {}, 0
         for piece in pieces:
             block[piece] = words = self.words(piece)
@@ -163,10 +171,12 @@ class Encoder:
         self.index(block)
 
     def index(self, block: dict[str, list[bytes]]) -> None:
-        distinct = list(dict.fromkeys(w for words in block.values() for w in words))
-        ids = {w: np.array(x, "<u4").tobytes() for w, x in zip(distinct, self.vocabulary.encode_words(distinct))}
+        known = self.known
+        distinct = [w for w in {w for words in block.values() for w in words} if w not in known]
+        for w, x in zip(distinct, self.vocabulary.encode_words(distinct)):
+            known[w] = pack(f"<{len(x)}I", *x)
         for piece, words in block.items():
-            self.kept[piece] = b"".join(map(ids.__getitem__, words))
+            self.kept[piece] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
 
     def segments(self, text: str) -> list[tuple[bytes, list[str]]]:
         """Special tokens found in the text, each before the pieces that follow it."""
@@ -263,28 +273,32 @@ def _null_string():
     return F.lit(None).cast("string")
 
 
-def token_digests(docs: DataFrame, tokenizer_path: str, columns: list[str]) -> DataFrame:
-    """``columns`` of ``docs`` with n_tokens, ids_sha256 and decoded_sha256 of each whole text.
+def token_digests(docs: DataFrame, tokenizer_path: str, columns: list[str], with_ids: bool = False) -> DataFrame:
+    """``columns`` of ``docs`` with n_tokens, ids_sha256 and decoded_sha256 of each whole text, and the ids themselves if asked.
 
     Ids and decoded texts are made as in ``encode`` and ``decode`` and hashed in
-    the same task, so neither leaves it.
+    the same task, so the decoded text need not leave it.
     """
     source = docs.sparkSession.sparkContext.broadcast(vocabulary(tokenizer_path).source)
     rows = docs.select(*columns, "text")
-    schema = ", ".join([*(f"`{n}` {k}" for n, k in rows.drop("text").dtypes), "n_tokens bigint, ids_sha256 string, decoded_sha256 string"])
+    added = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
+    schema = ", ".join([*(f"`{n}` {k}" for n, k in rows.dtypes[:-1]), "n_tokens bigint, ids_sha256 string, decoded_sha256 string", *(["ids array<int>"] if with_ids else [])])
 
     def run(batches):
         tool = _encoder(source.value)
-        for batch in batches:
-            count, hashed, back = [], [], []
-            texts = batch.column(batch.num_columns - 1)
-            for at in range(0, len(texts), 1000):
-                for ids in tool.encode_batch(texts.slice(at, 1000).to_pylist()):
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                batch = whole.slice(at, 1000)
+                count, hashed, back, lists = [], [], [], []
+                for ids in tool.encode_batch(batch.column(batch.num_columns - 1).to_pylist()):
                     count.append(len(ids) // 4)
                     hashed.append(hashlib.sha256(ids).hexdigest())
-                    decoded = tool.vocabulary.decode(np.frombuffer(ids, "<u4").tolist())
-                    back.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), pa.array(count, pa.int64()), pa.array(hashed, pa.string()), pa.array(back, pa.string())], [*columns, "n_tokens", "ids_sha256", "decoded_sha256"])
+                    numbers = np.frombuffer(ids, "<u4")
+                    back.append(hashlib.sha256(tool.vocabulary.decode(numbers.tolist()).encode("utf-8")).hexdigest())
+                    if with_ids:
+                        lists.append(numbers.astype(np.int32))
+                made = [pa.array(count, pa.int64()), pa.array(hashed, pa.string()), pa.array(back, pa.string()), *([pa.array(lists, pa.list_(pa.int32()))] if with_ids else [])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), *made], [*columns, *added])
 
     return rows.mapInArrow(run, schema)
 
