@@ -559,3 +559,49 @@ def first_parent_log(spark, sf):
 @query(f"WITH RECURSIVE {_COMMITS}, e AS (SELECT n, p1 AS p FROM commits WHERE p1 IS NOT NULL UNION ALL SELECT n, p2 FROM commits WHERE p2 IS NOT NULL), a AS (SELECT 40 AS n UNION SELECT p FROM a JOIN e ON e.n = a.n), b AS (SELECT 25 AS n UNION SELECT p FROM b JOIN e ON e.n = b.n) SELECT max(a.n)::BIGINT AS base FROM a JOIN b ON a.n = b.n")
 def merge_base(spark, sf):
     return diff.merge_base(V.commits(spark, sf), 40, 25)
+
+
+# --- code ----------------------------------------------------------------------------------------
+
+
+def _sources(spark, sf):
+    """``part`` rows rendered as small source files in turn of language."""
+    n = F.col("p_partkey")
+    name = F.regexp_replace(F.lower("p_name"), "[^a-z]", "_")
+    rust = F.concat(F.lit("use std::io;\nuse std::fs;\n\n/// doc\n#[test]\nfn t_"), name, F.lit("() {\n    if a && b { return; }\n}\n\nimpl S {\n    const A: u8 = 1;\n    fn m(&self) {}\n}\n"))
+    python = F.concat(F.lit("import os\n\n\ndef f_"), name, F.lit("(x):\n    for i in x:\n        if i and x:\n            return i\n\n    # note\n    return None\n"))
+    script = F.concat(F.lit("import x from 'y';\nexport function f_"), name, F.lit("(a) { while (a) { a--; } }\nconst b = 1;\n"))
+    shell = F.concat(F.lit("#!/bin/sh\nf_"), name, F.lit("() {\n  echo hi\n}\nls -l\n"))
+    made = [("rs", "Rust", rust), ("py", "Python", python), ("js", "JavaScript", script), ("sh", "Shell", shell)]
+    rows = F.element_at(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(language).alias("language"), text.alias("content")) for x, language, text in made)), (n % 4 + 1).cast("int"))
+    return V.table(spark, sf, "part").select(n.alias("n"), rows.alias("r")).select(F.concat(F.lit("src/p"), F.col("n").cast("string"), F.lit("."), F.col("r.x")).alias("path"), "r.language", "r.content")
+
+
+@query()
+def code_split(spark, sf):
+    from marginalia.operators import code
+
+    return code.blocks(_sources(spark, sf)).select("path", *big("ord"), "kind", "hash", F.array_join("tags", ",").alias("tags"), *big("start_line", "end_line"))
+
+
+@query()
+def complexity(spark, sf):
+    from marginalia.operators import code
+
+    return code.blocks(_sources(spark, sf)).groupBy("language").agg(F.sum("complexity").alias("complexity"), F.max("complexity").cast("bigint").alias("most"))
+
+
+@query()
+def function_subsplit(spark, sf):
+    from marginalia.operators import code, subsplit
+
+    functions = code.blocks(_sources(spark, sf)).where(F.col("kind").isin("function", "export"))
+    return subsplit.sub_blocks(functions).select("path", *big("parent_ord", "sub_ord"), "kind", "hash")
+
+
+@query()
+def md_elements(spark, sf):
+    from marginalia.operators import subsplit
+
+    sections = split.sections(_markdown(spark, sf)).withColumn("tags", F.array().cast("array<string>")).withColumn("complexity", F.lit(0))
+    return subsplit.sub_blocks(sections).select("path", *big("parent_ord", "sub_ord"), "kind", "hash")
