@@ -30,68 +30,100 @@ CHAR_LIMIT, CHAR_LEAST = 0.2, 100
 WORD_LIMIT, WORD_LEAST = 0.33, 50
 #: Documents this far from all characters of their language don't enter its reference.
 TRIM = 0.25
-#: Character classes; what is in none of them, white space aside, is the seventh.
-CLASSES = {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "symbol": "[#*$%&|<>]", "mark": r"[.,;:!?'\"()\-]", "space": f"[{SPACE}]"}
-SHORT = "^[a-zà-ÿ]{1,5}$"
-
-
-def counted(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, words and the base counts of each row."""
-    text = F.col("t")
-    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text_of().alias("t"))
-    rows = rows.select(
+#: Character classes in the order in which they are taken out after small letters; what is in none of them is the last.
+TAKEN = {"space": "[\\x09-\\x0D]", "upper": "[A-Z]", "mark": r"[.,;:!?'\"()\-]", "symbol": "[#*$%&|<>]", "digit": "[0-9]"}
+NAMES = ["lower", *TAKEN, "other"]
+LETTERS = 5
+SHORT = f"^[a-zà-ÿ]{{1,{LETTERS}}}$"
+
+
+def featured(docs: DataFrame) -> DataFrame:
+    """One pass over the texts: the base counts, class counts and short words of each row, without the text.
+
+    Classes are counted by taking them out one after the other, so later
+    patterns meet only what is left; spaces go together with small letters,
+    which leaves few and long matches, and are counted apart.
+    """
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("lang").cast("string").alias("lang"), text_of().alias("t"))
+    rows = rows.select("*", F.filter(F.split("t", f"[{SPACE}]+"), lambda w: w != "").alias("words"), F.filter(F.split("t", "\n"), lambda line: line.rlike(WORD)).alias("lines"), F.regexp_replace("t", "[a-z ]+", "").alias("left_lower"))
+    before = "left_lower"
+    for name, pattern in TAKEN.items():
+        rows = rows.withColumn(f"left_{name}", F.regexp_replace(before, f"{pattern}+", ""))
+        before = f"left_{name}"
+    rows = with_repeats(rows)
+    blanks = F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit("")))
+    counts = {"lower": F.length("t") - F.length("left_lower") - blanks}
+    before = "left_lower"
+    for name in TAKEN:
+        counts[name] = F.length(before) - F.length(f"left_{name}")
+        before = f"left_{name}"
+    counts["space"] = counts["space"] + blanks
+    counts["other"] = F.length(before)
+    return rows.select(
         "doc_id",
+        "h",
         "lang",
-        F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "").alias("words"),
-        F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD)).alias("lines"),
-        F.length(text).cast("bigint").alias("n_chars"),
-        *(F.regexp_count(text, F.lit(p)).cast("bigint").alias(n) for n, p in CLASSES.items()),
+        F.size("words").cast("bigint").alias("n_words"),
+        F.length("t").cast("bigint").alias("n_chars"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
+        "n_repeat_words",
+        F.array(*(counts[n].cast("bigint") for n in NAMES)).alias("classes"),
+        F.filter("words", lambda w: F.length(w) <= LETTERS).alias("short"),
     )
-    known = sum((F.col(n) for n in CLASSES), F.lit(0))
-    return rows.withColumn("other", F.col("n_chars") - known)
 
 
-def repeated_words(rows: DataFrame) -> DataFrame:
-    """Adds n_repeat_words: the words in windows whose hash occurs twice or more in the row."""
-    n = F.size("words")
-    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-    rows = rows.withColumn("windows", windows)
-    twice = F.size(F.array_distinct("windows")) < F.size("windows")
+def with_repeats(rows: DataFrame) -> DataFrame:
+    """Adds n_repeat_words: the words in windows whose hash occurs twice or more in the row.
+
+    Two equal windows of w words share, at one of any three successive places,
+    runs of w - 2 words that both start at places 0 or 1 modulo 3. So where
+    those runs are all distinct no window repeats, and only the other rows
+    have all their windows hashed.
+    """
+    n, run = F.size("words"), WINDOW - 2
+
+    def hashed(at: Column) -> Column:
+        return F.xxhash64(*(F.get("words", at + k) for k in range(run)))
+
+    runs = F.when(n >= WINDOW, F.concat(F.transform(F.sequence(F.lit(0), n - run, F.lit(3)), hashed), F.transform(F.sequence(F.lit(1), n - run, F.lit(3)), hashed)))
+    rows = rows.withColumn("runs", runs)
+    rows = rows.withColumn("again", F.coalesce(F.size(F.array_distinct("runs")) < F.size("runs"), F.lit(False)))
+    rows = rows.withColumn("sorted", F.when(F.col("again"), F.array_sort(F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.struct(F.xxhash64(F.slice("words", i, WINDOW)).alias("h"), i.alias("i"))))))
     # Sorted by hash, a repeated window has a neighbour of the same hash.
-    pairs = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    rows = rows.withColumn("sorted", F.when(twice, pairs))
     previous = F.concat(F.array(F.lit(None).cast("bigint")), F.slice("sorted.h", 1, F.size("sorted") - 1))
     following = F.concat(F.slice("sorted.h", 2, F.size("sorted") - 1), F.array(F.lit(None).cast("bigint")))
     zipped = F.arrays_zip(F.col("sorted.h").alias("h"), F.col("sorted.i").alias("i"), previous.alias("p"), following.alias("f"))
-    rows = rows.withColumn("at", F.when(F.col("sorted").isNotNull(), F.array_sort(F.transform(F.filter(zipped, lambda x: x["h"].eqNullSafe(x["p"]) | x["h"].eqNullSafe(x["f"])), lambda x: x["i"]))))
+    rows = rows.withColumn("at", F.when(F.col("again"), F.array_sort(F.transform(F.filter(zipped, lambda x: x["h"].eqNullSafe(x["p"]) | x["h"].eqNullSafe(x["f"])), lambda x: x["i"]))))
     start = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last"))
     covered = F.aggregate("at", start, lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
-    return rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("bigint")).drop("windows", "sorted", "at")
+    return rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("bigint")).drop("runs", "again", "sorted", "at")
+
 
+def pooled(rows: DataFrame) -> DataFrame:
+    """The class shares of each language as a whole."""
+    sums = rows.groupBy("lang").agg(*(F.sum(F.get("classes", F.lit(i))).alias(n) for i, n in enumerate(NAMES)), F.sum("n_words").alias("n_words"))
+    whole = sum((F.col(n) for n in NAMES), F.lit(0))
+    return sums.select(F.col("lang").alias("ref_lang"), F.array(*(F.col(n) / whole for n in NAMES)).alias("ref_chars"), F.col("n_words").alias("ref_words_total"))
 
-def shares_by_language(rows: DataFrame) -> DataFrame:
-    names = [*CLASSES, "other"]
-    sums = rows.groupBy("lang").agg(*(F.sum(n).alias(n) for n in names))
-    return sums.select("lang", F.array(*(F.col(n) / sum((F.col(m) for m in names), F.lit(0)) for n in names)).alias("pooled"))
 
+def own_chars() -> Column:
+    return F.transform("classes", lambda c: c / F.col("n_chars"))
 
-def references(docs: DataFrame) -> DataFrame:
+
+def references(rows: DataFrame) -> DataFrame:
     """A row for each language: its class shares and its common words with their shares."""
-    rows = counted(docs).where(F.size("words") >= MIN_WORDS)
-    names = [*CLASSES, "other"]
-    pooled = written(shares_by_language(rows), "pooled")
-    own = F.array(*(F.col(n) / F.col("n_chars") for n in names))
-    rows = rows.join(pooled.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l"))).where(divergence(own, F.col("pooled")) <= TRIM).drop("l", "pooled")
-    sums = rows.groupBy("lang").agg(*(F.sum(n).alias(n) for n in names), F.sum(F.size("words").cast("bigint")).alias("n_words"))
-    whole = sum((F.col(n) for n in names), F.lit(0))
-    chars = sums.select(F.col("lang"), "n_words", F.array(*(F.col(n) / whole for n in names)).alias("ref_chars"))
-    short = rows.select("lang", F.explode(F.filter("words", lambda w: w.rlike(SHORT))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
+    judged_rows = rows.where(F.col("n_words") >= MIN_WORDS)
+    first = written(pooled(judged_rows), "pooled")
+    near = judged_rows.join(first, F.col("lang").eqNullSafe(F.col("ref_lang"))).where(divergence(own_chars(), F.col("ref_chars")) <= TRIM).drop("ref_lang", "ref_chars", "ref_words_total")
+    chars = pooled(near)
+    # Counted first and matched after, so the pattern meets each distinct word once.
+    short = near.select("lang", F.explode("short").alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n")).where(F.col("w").rlike(SHORT))
     best = short.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(F.col("r") <= COMMON)
     listed = best.groupBy(F.col("lang").alias("l")).agg(F.array_sort(F.collect_list(F.struct("r", "w", "n"))).alias("top"))
-    joined = chars.join(listed, F.col("lang").eqNullSafe(F.col("l")), "left")
-    shares = F.transform("top", lambda x: x["n"] / F.col("n_words"))
-    rest = 1 - F.aggregate("top", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]) / F.col("n_words")
-    return joined.select(F.col("lang").alias("ref_lang"), "ref_chars", F.col("top.w").alias("ref_words"), F.concat(shares, F.array(rest)).alias("ref_shares"))
+    joined = chars.join(listed, F.col("ref_lang").eqNullSafe(F.col("l")), "left")
+    shares = F.transform("top", lambda x: x["n"] / F.col("ref_words_total"))
+    rest = 1 - F.aggregate("top", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]) / F.col("ref_words_total")
+    return joined.select("ref_lang", "ref_chars", F.col("top.w").alias("ref_words"), F.concat(shares, F.array(rest)).alias("ref_shares"))
 
 
 def divergence(own: Column, reference: Column) -> Column:
@@ -104,34 +136,42 @@ def divergence(own: Column, reference: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(each, F.lit(0.0), lambda a, x: a + x)))
 
 
+def _equals(k: int):
+    return lambda x: x == F.get("ref_words", F.lit(k))
+
+
 def judged(docs: DataFrame) -> DataFrame:
-    """Base counts, both distances and the verdict for each row."""
-    refs = written(references(docs), "references")
-    rows = repeated_words(counted(docs))
+    """Base counts, both distances and the verdict for each row.
+
+    The texts are read once: their features are written, and references and
+    verdicts are made from those.
+    """
+    rows = written(featured(docs), "features")
+    refs = written(references(rows), "references")
     rows = rows.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
-    n = F.size("words").cast("bigint")
-    rows = rows.withColumn("n_words", n)
-    rows = rows.withColumn("common", F.when(F.col("ref_words").isNotNull(), F.filter("words", lambda w: F.array_contains("ref_words", w))))
-    rows = rows.withColumn("hits", F.transform("ref_words", lambda w: F.size(F.filter("common", lambda x: x == w)).cast("double") / F.col("n_words")))
+    rows = rows.withColumn("common", F.when(F.col("ref_words").isNotNull(), F.filter("short", lambda w: F.array_contains("ref_words", w))))
+    # Spelled out word by word: within a lambda the optimizer would filter the row's words anew for each of them.
+    hits = F.array(*(F.size(F.filter("common", _equals(k))).cast("double") / F.col("n_words") for k in range(COMMON)))
+    rows = rows.withColumn("hits", F.slice(hits, 1, F.size("ref_words")))
     own_words = F.concat("hits", F.array(1 - F.aggregate("hits", F.lit(0.0), lambda a, x: a + x)))
-    own_chars = F.array(*(F.col(c) / F.col("n_chars") for c in [*CLASSES, "other"]))
-    rows = rows.withColumn("char_distance", F.when((F.col("n_chars") >= CHAR_LEAST) & F.col("ref_chars").isNotNull(), divergence(own_chars, F.col("ref_chars"))))
+    rows = rows.withColumn("char_distance", F.when((F.col("n_chars") >= CHAR_LEAST) & F.col("ref_chars").isNotNull(), divergence(own_chars(), F.col("ref_chars"))))
     rows = rows.withColumn("word_distance", F.when((F.col("n_words") >= WORD_LEAST) & F.col("ref_shares").isNotNull(), divergence(own_words, F.col("ref_shares"))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     near = (F.coalesce("char_distance", F.lit(0.0)) <= CHAR_LIMIT) & (F.coalesce("word_distance", F.lit(0.0)) <= WORD_LIMIT)
     return rows.select(
         "doc_id",
         "n_words",
-        (F.col("n_chars") - F.col("space")).alias("word_chars"),
-        F.col("symbol").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
+        (F.col("n_chars") - F.get("classes", F.lit(NAMES.index("space")))).alias("word_chars"),
+        F.get("classes", F.lit(NAMES.index("symbol"))).alias("n_symbols"),
+        "n_dup_lines",
         "n_repeat_words",
         failed.alias("base_failed"),
         (~failed & near).alias("kept"),
         "char_distance",
         "word_distance",
+        "h",
     )
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(documents(spark, sf_dir)).drop("char_distance", "word_distance")
+    return judged(documents(spark, sf_dir)).drop("char_distance", "word_distance", "h")
