@@ -155,10 +155,12 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     p = salted.select(F.col("source").alias("s"), F.col("size").alias("z"), "part", (F.sum("n").over(upto) - F.col("n")).alias("before"))
     plan = p.join(c, F.col("s").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size"))).select("s", "z", "part", "source_size", "target", "rate", "base", F.greatest(F.col("extra") - F.col("before"), F.lit(0)).alias("extra"))
     plan = written(plan, "plan")
-    asked = keyed.withColumn("_part", F.pmod("_hash", F.lit(parts)))
-    # Only parts that hold some but not all of their group's extra copies need an order among their rows.
-    joined = asked.join(plan, F.col("source").cast("string").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("_part") == F.col("part")))
-    turn = F.row_number().over(Window.partitionBy("s", "z", "part").orderBy("_hash", "doc_id"))
+    # One key column with a mark for null, so that join and window need one and the same exchange.
+    named_source = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    asked = keyed.withColumn("_part", F.pmod("_hash", F.lit(parts))).withColumn("_source", named_source("source")).withColumnRenamed("size", "_size")
+    plan = plan.select(named_source("s").alias("_s"), F.col("z").alias("size"), "part", "source_size", "target", "rate", "base", "extra")
+    joined = asked.join(plan, (F.col("_source") == F.col("_s")) & (F.col("_size") == F.col("size")) & (F.col("_part") == F.col("part")))
+    turn = F.row_number().over(Window.partitionBy("_source", "_size", "_part").orderBy("_hash", "doc_id"))
     placed = joined.withColumn("copies", (F.col("base") + (turn <= F.col("extra")).cast("bigint")).cast("bigint"))
     return placed.select(*[c for c in keyed.columns if c not in ("_hash", "size")], "size", "source_size", "target", "rate", "copies")
 
