@@ -261,19 +261,20 @@ def contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
     met = _rows(docs).join(wanted, F.col("doc") == F.col("d")).select("doc", "text", "asked")
 
     def run(batches):
-        for batch in batches:
-            key, doc, at, before, after = [], [], [], [], []
-            for d, text, want in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                data = text.as_py().encode("utf-8", "surrogatepass")
-                for x in want.as_py():
-                    place = x["a"]
-                    pos, left, right = place >> 16, (place >> 8) & 255, place & 255
-                    key.append(x["key"])
-                    doc.append(d)
-                    at.append(pos)
-                    before.append(data[pos - left : pos][::-1])
-                    after.append(data[pos : pos + right])
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["key", "doc", "pos", "left", "right"])
+        for whole in batches:
+            for batch in (whole.slice(i, 200) for i in range(0, len(whole), 200)):
+                key, doc, at, before, after = [], [], [], [], []
+                for d, text, want in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                    data = text.as_py().encode("utf-8", "surrogatepass")
+                    for x in want.as_py():
+                        place = x["a"]
+                        pos, left, right = place >> 16, (place >> 8) & 255, place & 255
+                        key.append(x["key"])
+                        doc.append(d)
+                        at.append(pos)
+                        before.append(data[pos - left : pos][::-1])
+                        after.append(data[pos : pos + right])
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["key", "doc", "pos", "left", "right"])
 
     return met.mapInArrow(run, "key bigint, doc bigint, pos bigint, left binary, right binary")
 
@@ -291,10 +292,15 @@ def repeated(found: DataFrame, segments: int) -> DataFrame:
         for head, tail in zip(cuts, [*cuts[1:], len(order)]):
             own = order[head:tail].tolist()
             places = list(zip(doc[own].tolist(), pos[own].tolist()))
-            # Members are numbered by (doc, pos), so the least number is the earliest occurrence.
+            # Members are numbered by (doc, pos), so the least number is the earliest occurrence. Of a member's
+            # spans only the farthest left extent for each right one is kept: no more than LENGTH of them.
+            widest: list[dict[int, int]] = [{} for _ in own]
             for left, right, members in maximal_repeats([rights[i] for i in own], [lefts[i] for i in own]):
                 first = places[min(members)]
-                out.extend((places[i][0], places[i][1] - left, places[i][1] + right) for i in members if places[i] != first)
+                for i in members:
+                    if places[i] != first and widest[i].get(right, -1) < left:
+                        widest[i][right] = left
+            out.extend((places[i][0], places[i][1] - left, places[i][1] + right) for i, own_spans in enumerate(widest) for right, left in own_spans.items())
         d, s, e = (np.array(x, np.int64) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
         d, s, e = merged_spans(d, s, e)
         return pa.table({"doc": pa.array(d.astype(np.int64)), "a": pa.array(s.astype(np.int64)), "b": pa.array(e.astype(np.int64))})
@@ -314,6 +320,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return grouped.where("key is null").select("doc", "a", "b").unionByName(inner).unionByName(tree)
 
 
+def joined_runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, joined where they touch."""
+    runs: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if runs and s <= runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(runs[-1][1], e))
+        else:
+            runs.append((s, e))
+    return runs
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept): every row with its removed runs of bytes and the bytes that are left."""
     spans = repeated_spans(docs).groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("a", "b")).alias("gone"))
@@ -321,27 +338,23 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     met = rows.join(spans, F.col("doc") == F.col("d"), "left").select("doc_id", "text", "gone")
 
     def run(batches):
-        for batch in batches:
-            size, removed, listed, kept = [], [], [], []
-            for text, gone in zip(batch.column(1), batch.column(2)):
-                data = text.as_py().encode("utf-8", "surrogatepass")
-                runs: list[list[int]] = []
-                for x in sorted((x["a"], x["b"]) for x in gone.as_py() or ()):
-                    if runs and x[0] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], x[1])
-                    else:
-                        runs.append(list(x))
-                left, at = [], 0
-                for s, e in runs:
-                    left.append(data[at:s])
-                    at = e
-                left.append(data[at:])
-                size.append(len(data))
-                removed.append(sum(e - s for s, e in runs))
-                listed.append([{"start": s, "end": e} for s, e in runs])
-                kept.append(b"".join(left))
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(listed, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for whole in batches:
+            for batch in (whole.slice(i, 500) for i in range(0, len(whole), 500)):
+                size, removed, listed, kept = [], [], [], []
+                for text, gone in zip(batch.column(1), batch.column(2)):
+                    data = text.as_py().encode("utf-8", "surrogatepass")
+                    runs = joined_runs([(x["a"], x["b"]) for x in gone.as_py() or ()])
+                    left, at = [], 0
+                    for s, e in runs:
+                        left.append(data[at:s])
+                        at = e
+                    left.append(data[at:])
+                    size.append(len(data))
+                    removed.append(sum(e - s for s, e in runs))
+                    listed.append([{"start": s, "end": e} for s, e in runs])
+                    kept.append(b"".join(left))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(listed, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
     return met.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
 
