@@ -68,9 +68,11 @@ class Vocabulary:
         made: dict[int, int] = {}
         for rank, (left, right) in enumerate(tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]):
             a, b, c = vocab[left], vocab[right], vocab[left + right]
-            if max(made.get(a, -1), made.get(b, -1)) >= rank or made.setdefault(c, rank) != rank:
-                raise ValueError("merges of this vocabulary are not in creation order")
+            made.setdefault(c, rank)
             self.ranks[a, b] = (rank, c)
+        for (a, b), (rank, c) in self.ranks.items():
+            if max(made.get(a, -1), made.get(b, -1)) >= rank or made[c] != rank:
+                raise ValueError("merges of this vocabulary are not in creation order")
         self.by_rank = [None] * len(self.ranks)
         for pair, (rank, c) in self.ranks.items():
             self.by_rank[rank] = (*pair, c)

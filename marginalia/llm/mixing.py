@@ -136,8 +136,9 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     """``docs`` with size, source_size, target, rate and copies; columns of these names are replaced."""
     named = ("size", "source_size", "target", "rate", "copies")
     size = F.regexp_count(text_of(), F.lit(WORD)).cast("bigint")
-    keyed = docs.drop(*named).withColumn("size", size).withColumn("_hash", F.xxhash64("doc_id", "text"))
-    small = keyed.select(F.col("source").cast("string").alias("source"), "size", "_hash")
+    kept = docs.drop(*named)
+    keyed = kept.withColumn("_mix_words", size).withColumn("_mix_hash", F.xxhash64("doc_id", "text"))
+    small = keyed.select(F.col("source").cast("string").alias("source"), F.col("_mix_words").alias("size"), F.col("_mix_hash").alias("_hash"))
     total = docs.count()
     parts = max(1, -(-total // PART_ROWS))
     salted = small.groupBy("source", "size", F.pmod("_hash", F.lit(parts)).alias("part")).agg(F.count("*").alias("n"))
@@ -156,13 +157,13 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     plan = p.join(c, F.col("s").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size"))).select("s", "z", "part", "source_size", "target", "rate", "base", F.greatest(F.col("extra") - F.col("before"), F.lit(0)).alias("extra"))
     plan = written(plan, "plan")
     # One key column with a mark for null, so that join and window need one and the same exchange.
-    named_source = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
-    asked = keyed.withColumn("_part", F.pmod("_hash", F.lit(parts))).withColumn("_source", named_source("source")).withColumnRenamed("size", "_size")
-    plan = plan.select(named_source("s").alias("_s"), F.col("z").alias("size"), "part", "source_size", "target", "rate", "base", "extra")
-    joined = asked.join(plan, (F.col("_source") == F.col("_s")) & (F.col("_size") == F.col("size")) & (F.col("_part") == F.col("part")))
-    turn = F.row_number().over(Window.partitionBy("_source", "_size", "_part").orderBy("_hash", "doc_id"))
-    placed = joined.withColumn("copies", (F.col("base") + (turn <= F.col("extra")).cast("bigint")).cast("bigint"))
-    return placed.select(*[c for c in keyed.columns if c not in ("_hash", "size")], "size", "source_size", "target", "rate", "copies")
+    mark = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    asked = keyed.withColumn("_mix_part", F.pmod("_mix_hash", F.lit(parts))).withColumn("_mix_source", mark("source"))
+    plan = plan.select(mark("s").alias("_mix_s"), F.col("z").alias("_mix_z"), F.col("part").alias("_mix_p"), *(F.col(c).alias(f"_mix_{c}") for c in ("source_size", "target", "rate", "base", "extra")))
+    joined = asked.join(plan, (F.col("_mix_source") == F.col("_mix_s")) & (F.col("_mix_words") == F.col("_mix_z")) & (F.col("_mix_part") == F.col("_mix_p")))
+    turn = F.row_number().over(Window.partitionBy("_mix_source", "_mix_words", "_mix_part").orderBy("_mix_hash", "doc_id"))
+    copies = (F.col("_mix_base") + (turn <= F.col("_mix_extra")).cast("bigint")).cast("bigint")
+    return joined.select(*kept.columns, F.col("_mix_words").alias("size"), *(F.col(f"_mix_{c}").alias(c) for c in ("source_size", "target", "rate")), copies.alias("copies"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
