@@ -1,0 +1,74 @@
+import hashlib
+import re
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from marginalia.llm import pii
+
+SHAPES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(digits):
+    return sum((d * 2 - 9 * (d > 4)) if i % 2 else d for i, d in enumerate(map(int, digits[::-1]))) % 10 == 0
+
+
+def holds(kind, m):
+    digits = re.sub("[^0-9]", "", m)
+    return {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m.split(".")), "card": 16 <= len(digits) <= 19 and luhn(digits), "phone": 8 <= len(digits) <= 15}[kind]
+
+
+def base(text):
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in SHAPES.items() for m in re.finditer(p, text or "") if holds(k, m.group())]
+
+
+ODD = ["a@b.c_x@d.e.f", "@@ a@b a@b..c x@y.z-", "1.2.3.4.5.6.7.8 0255.001.0.1 256.1.1.1", "4111 1111-1111 1111 4111  1111", "+1 (2) 3.4-5678 +12+34567890", "é" * 5 + "q@r.st", "1" * 17 + "8", "", "+" * 30, "0" * 400 + ".1.1.1"]
+
+
+def test_base_spans_equal_brute_force(spark, docs, edge):
+    texts = [(i, t) for i, t in enumerate(ODD)]
+    for frame in (spark.createDataFrame(texts, "doc_id bigint, text string"), docs, edge):
+        rows = pii.detected(frame).select("doc_id", pii.listed(list(pii.BASE)).alias("base"), "t").collect()
+        for r in rows:
+            assert r["base"] == ",".join(base(r["t"])), r["t"][:80]
+        assert len(rows) == frame.count()
+
+
+def test_secrets_are_found_and_clean_text_is_left(spark):
+    texts = ['The token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" here', "einheitverberbereinheitkeitererzu und geheitchverbereinheit", "see 12.10.2024 and 3.14", "=" * 60]
+    rows = pii.redacted(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert rows[0]["redacted"] == 'The token = "[secret]" here'
+    assert [r["redacted"] for r in rows[1:]] == texts[1:]
+
+
+def test_held_out_precision_and_recall():
+    import random
+
+    import numpy as np
+
+    for kind, make in (("secret", pii._secret), ("number", pii._number)):
+        model, cut = pii.models()[kind]
+        rng = random.Random(f"other{kind}")
+        made = [make(rng) for _ in range(1500)]
+        x = np.array([pii.features_here(m, b[-pii.CONTEXT :], a[:8]) for m, b, a, _ in made])
+        y = np.array([label for *_, label in made])
+        hit = model.probability(x) >= cut
+        assert (y[hit] == 1).mean() > 0.97
+        assert hit[y == 1].mean() > 0.9
+
+
+def test_long_runs_take_linear_time(spark):
+    size = 200_000
+    texts = ["1" * size, "a" * size, "1-" * size, "a." * size + "@", "+1" * size, "1.1." * 4_000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    start = time.time()
+    rows = {r["doc_id"]: r["base"] for r in pii.detected(frame).select("doc_id", pii.listed(list(pii.BASE)).alias("base")).collect()}
+    assert time.time() - start < 60
+    assert all(rows[i] == "" for i in range(5))
+    assert hashlib.sha256(rows[5].encode()).digest() == hashlib.sha256(",".join(base(texts[5])).encode()).digest()
+
+
+def test_empty(empty):
+    assert pii.redacted(empty).count() == 0
+    assert pii.detected(empty).agg(F.count("*")).first()[0] == 0
