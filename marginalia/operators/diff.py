@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import fingerprint
+from marginalia.storage import written
 
 
 def changed_paths(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -62,16 +63,16 @@ def first_parents(commits: DataFrame, head: int, limit: int) -> DataFrame:
 
 def merge_base(commits: DataFrame, a: int, b: int) -> DataFrame:
     """The latest commit that both histories hold: ancestors grow from each tip until nothing is new."""
-    edges = commits.select("n", F.explode(F.array_compact(F.array("first_parent", "second_parent"))).alias("p"))
+    edges = written(commits.select("n", F.explode(F.array_compact(F.array("first_parent", "second_parent"))).alias("p")), "edges")
 
     def above(tip: int) -> DataFrame:
-        found = commits.where(F.col("n") == tip).select("n")
+        found, new = None, commits.where(F.col("n") == tip).select("n")
         while True:
-            grown = found.unionByName(found.join(edges, "n").select(F.col("p").alias("n"))).distinct()
-            grown = grown.unionByName(grown.join(edges, "n").select(F.col("p").alias("n"))).distinct().checkpoint()
-            if grown.count() == found.count():
-                return grown
-            found = grown
+            new = written(new, "reached")
+            if new.isEmpty():
+                return found
+            found = new if found is None else found.unionByName(new)
+            new = new.join(edges, "n").select(F.col("p").alias("n")).distinct().join(found, "n", "left_anti")
 
     return above(a).join(above(b), "n").agg(F.max("n").alias("base"))
 

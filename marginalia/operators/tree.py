@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import content_hash
+from marginalia.storage import written
 
 
 def file_hashes(blocks: DataFrame) -> DataFrame:
@@ -32,19 +33,21 @@ def nodes(files: DataFrame) -> DataFrame:
     """(path, kind, name, parent, depth, hash) of files, directories and the root.
 
     Directories are hashed level by level from the deepest: one aggregation a
-    level, over the children only.
+    level, over the children only. Each level is written, so none is made
+    again for those above it.
     """
     own = files.select("path", F.lit("file").alias("kind"), name(F.col("path")).alias("name"), parent(F.col("path")).alias("parent"), F.size(F.split("path", "/")).alias("depth"), "hash")
+    own = written(own, "files")
     deepest = own.agg(F.max("depth")).first()[0] or 0
     level, done = own.where(F.lit(False)), own
     for depth in range(deepest - 1, -1, -1):
         children = own.where(F.col("depth") == depth + 1).unionByName(level)
         entry = F.concat(F.when(F.col("kind") == "file", "file:").otherwise("dir:"), "name")
-        listed = F.array_sort(F.collect_list(F.concat(entry, F.lit(":"), F.col("hash"), F.lit("|"))))
         # Entries sort by kind and name; names of one directory are distinct, so what follows them is no tie.
         listed = F.array_sort(F.collect_list(F.struct(entry.alias("e"), F.concat(entry, F.lit(":"), F.col("hash"), F.lit("|")).alias("t"))))["t"]
         level = children.groupBy(F.col("parent").alias("path")).agg(content_hash(F.array_join(listed, "")).alias("hash"))
         level = level.select("path", F.lit("root" if depth == 0 else "directory").alias("kind"), name(F.col("path")).alias("name"), parent(F.col("path")).alias("parent"), F.lit(depth).alias("depth"), "hash")
+        level = written(level, "level")
         done = done.unionByName(level)
     return done
 

@@ -556,9 +556,9 @@ def first_parent_log(spark, sf):
     return diff.first_parents(V.commits(spark, sf), 90, 8).select(*big("step"), "n", "summary")
 
 
-@query(f"WITH RECURSIVE {_COMMITS}, e AS (SELECT n, p1 AS p FROM commits WHERE p1 IS NOT NULL UNION ALL SELECT n, p2 FROM commits WHERE p2 IS NOT NULL), a AS (SELECT 40 AS n UNION SELECT p FROM a JOIN e ON e.n = a.n), b AS (SELECT 25 AS n UNION SELECT p FROM b JOIN e ON e.n = b.n) SELECT max(a.n)::BIGINT AS base FROM a JOIN b ON a.n = b.n")
+@query(f"WITH RECURSIVE {_COMMITS}, e AS (SELECT n, p1 AS p FROM commits WHERE p1 IS NOT NULL UNION ALL SELECT n, p2 FROM commits WHERE p2 IS NOT NULL), a AS (SELECT 12 AS n UNION SELECT p FROM a JOIN e ON e.n = a.n), b AS (SELECT 9 AS n UNION SELECT p FROM b JOIN e ON e.n = b.n) SELECT max(a.n)::BIGINT AS base FROM a JOIN b ON a.n = b.n")
 def merge_base(spark, sf):
-    return diff.merge_base(V.commits(spark, sf), 40, 25)
+    return diff.merge_base(V.commits(spark, sf), 12, 9)
 
 
 # --- code ----------------------------------------------------------------------------------------
