@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.storage import shared_folder, written
+
+__all__ = ["LOWER_AZ", "SPACE", "WORD", "WordHashes", "documents", "mixed", "shared_folder", "shingle_hashes", "text_of", "words_of", "written"]
+
 #: White space that parts words, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -25,27 +27,6 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        folder = tempfile.mkdtemp(prefix="marginalia-")
-        spark.sparkContext.setCheckpointDir(folder)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder as Parquet and read it again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 class WordHashes(dict):
     """64-bit hash of each word in bytes, kept for reuse up to ``limit`` words."""
 
