@@ -39,6 +39,8 @@ GRAM = 24
 LAST_ID = 2**63 - 1
 #: Bytes of text whose hashes are made at once, and bytes of input aimed at for one group task.
 BLOCK = 250_000
+#: Anchors that a task gathers before it hands on the first of each class.
+HELD = 500_000
 SEGMENT = 8_000_000
 
 _LETTERS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -185,21 +187,40 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def sampled(docs: DataFrame) -> DataFrame:
-    """(key, context, doc, place) of anchors; spans that repeat within a document have a null key and (start, end) in context and place."""
+    """(key, context, doc, place) of anchors, one of each class and task; spans that are known to repeat have a null key and (start, end) in context and place."""
+    names = ["key", "context", "doc", "place"]
 
     def run(batches):
         block, size, seen = [], 0, {}
-        copies: list[tuple[int, int, int]] = []
+        held: list[tuple] = []
+        spans: list[tuple] = []
+        waiting = 0
+
+        def sample():
+            nonlocal waiting
+            found, inner = document_anchors(block)
+            held.append(found)
+            spans.append(inner)
+            waiting += len(found[0])
+            block.clear()
 
         def flush():
-            (doc, key, context, place), spans = document_anchors(block)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(context), pa.array(doc), pa.array(place)], ["key", "context", "doc", "place"])
-            d = np.concatenate([spans[0], np.array([c[0] for c in copies], np.int64)])
-            s = np.concatenate([spans[1], np.array([c[1] for c in copies], np.int64)])
-            e = np.concatenate([spans[2], np.array([c[2] for c in copies], np.int64)])
-            copies.clear()
+            nonlocal waiting
+            doc, key, context, place = (np.concatenate(x) for x in zip(*held)) if held else (np.empty(0, np.int64),) * 4
+            held.clear()
+            waiting = 0
+            # Of a class that several of these documents share only the first one has to be compared with other tasks'.
+            order = np.lexsort((doc, context, key))
+            doc, key, context, place = doc[order], key[order], context[order], place[order]
+            head = np.append(True, (key[1:] != key[:-1]) | (context[1:] != context[:-1]))[: len(doc)]
+            later = doc != doc[np.nonzero(head)[0][np.cumsum(head) - 1]] if len(doc) else head
+            left, right = (place >> 8) & 255, place & 255
+            spans.append(merged_spans(doc[later], ((place >> 16) - left)[later], ((place >> 16) + right)[later]))
+            yield pa.RecordBatch.from_arrays([pa.array(x[head]) for x in (key, context, doc, place)], names)
+            d, s, e = (np.concatenate(x).astype(np.int64) for x in zip(*spans))
+            spans.clear()
             if len(d):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(d), pa.int64()), pa.array(s.astype(np.int64)), pa.array(d), pa.array(e.astype(np.int64))], ["key", "context", "doc", "place"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(d), pa.int64()), pa.array(s), pa.array(d), pa.array(e)], names)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -209,7 +230,7 @@ def sampled(docs: DataFrame) -> DataFrame:
                 name = hashlib.blake2b(data, digest_size=16).digest()
                 # A whole copy of a document that this task has met under a smaller id is covered as a whole.
                 if (earlier := seen.get(name, doc)) < doc:
-                    copies.append((doc, 0, len(data)))
+                    spans.append(tuple(np.array([x], np.int64) for x in (doc, 0, len(data))))
                     continue
                 if len(seen) > 500_000:
                     seen.clear()
@@ -217,12 +238,13 @@ def sampled(docs: DataFrame) -> DataFrame:
                 block.append((doc, data))
                 size += len(data)
                 if size >= BLOCK:
-                    yield from flush()
-                    block.clear()
+                    sample()
                     size = 0
-        if block or copies:
-            if not block:
-                block.append((0, b""))
+                    if waiting >= HELD:
+                        yield from flush()
+        if block:
+            sample()
+        if held or spans:
             yield from flush()
 
     return _rows(docs).mapInArrow(run, "key bigint, context bigint, doc bigint, place bigint")
