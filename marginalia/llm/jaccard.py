@@ -12,12 +12,15 @@ everything everywhere.) The order puts shingles that some task meets often
 last, so what many documents share parts no region; any order gives the same
 result.
 
-Within a region, two documents are compared only if their sizes and the
-counts of their shingles in SLOTS slots, a projection that does not increase
-the distance, are within the limit. Regions of more than REGION documents are
-joined recursively, as pairs of blocks. What passes is verified on the whole
-sets, each set sent once to each unit of connected candidates. Links form
-components, found by label propagation with pointer jumping.
+Within a region of at most REGION documents, two are compared only if their
+sizes and then the counts of their shingles in slots, a projection that does
+not increase the distance, allow it. What passes is verified on the whole
+sets, each sent once to each unit of connected candidates. Larger regions that
+reach one another are a family, joined recursively in pairs of blocks: there
+documents are pivots in turn, distances to earlier pivots exclude others by
+the triangle inequality, and sets that are connected already are not compared
+again, so a large group of near copies costs links in proportion to its size.
+Links form components, found by label propagation with pointer jumping.
 
 Equal sets are one node from the first step on, so groups of exact copies
 cost as much as one document.
@@ -33,13 +36,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import WordHashes, documents, shingle_hashes, text_of, words_of, written
+from marginalia.llm.common import WORD, WordHashes, documents, shingle_hashes, text_of, words_of, written
 
 SLOTS = 64
-REGION = 256
+REGION = 64
+BLOCK = 1_000
 #: A shingle met more than this often, counting tasks that meet it twice or more, is put last; at most so many are.
 OFTEN = 48
 LAST_AT_MOST = 1_000_000
@@ -81,7 +85,11 @@ def _texts(batches):
 
 
 def surveyed(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (doc_id, n, node, null) for documents and (null, count, null, shingle) for shingles that a task meets twice or more in different sets."""
+    """Rows (doc_id, n, node, null, slots) for documents and (null, count, null, shingle, null) for shingles that a task meets twice or more in different sets.
+
+    Slot counts come with the first document of a node in each task.
+    """
+    names = ["doc_id", "n", "node", "shingle", "slots"]
 
     def run(batches):
         hashes, seen, held, size = WordHashes(), set(), [], 0
@@ -91,17 +99,18 @@ def surveyed(docs: DataFrame, width: int) -> DataFrame:
             if held:
                 value, count = np.unique(np.concatenate(held), return_counts=True)
                 keep = count > 1
-                yield pa.RecordBatch.from_arrays([pa.nulls(int(keep.sum()), pa.int64()), pa.array(count[keep].astype(np.int64)), pa.nulls(int(keep.sum()), pa.int64()), pa.array(value[keep].view(np.int64))], ["doc_id", "n", "node", "shingle"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(int(keep.sum()), pa.int64()), pa.array(count[keep].astype(np.int64)), pa.nulls(int(keep.sum()), pa.int64()), pa.array(value[keep].view(np.int64)), pa.nulls(int(keep.sum()), pa.binary())], names)
 
         def flush():
-            doc, n, node = zip(*out)
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(len(doc), pa.int64())], ["doc_id", "n", "node", "shingle"])
+            doc, n, node, slots = zip(*out)
+            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(len(doc), pa.int64()), pa.array(slots, pa.binary())], names)
 
         for doc, text in _texts(batches):
             shingles = shingle_hashes(words_of(text), width, hashes)
             node = node_of(shingles)
-            out.append((doc, len(shingles), node))
-            if node not in seen and len(shingles):
+            new = node not in seen and len(shingles) > 0
+            out.append((doc, len(shingles), node, slots_of(shingles) if new else None))
+            if new:
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(node)
@@ -118,7 +127,7 @@ def surveyed(docs: DataFrame, width: int) -> DataFrame:
         yield from tally()
 
     rows = docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text"))
-    return written(rows.mapInArrow(run, "doc_id bigint, n bigint, node bigint, shingle bigint"), "survey")
+    return written(rows.mapInArrow(run, "doc_id bigint, n bigint, node bigint, shingle bigint, slots binary"), "survey")
 
 
 def regions(docs: DataFrame, width: int, percent: int, last: np.ndarray) -> DataFrame:
@@ -157,7 +166,7 @@ def regions(docs: DataFrame, width: int, percent: int, last: np.ndarray) -> Data
 
 
 def sets_of(texts: DataFrame, width: int) -> DataFrame:
-    """(node, slots, shingles) of rows (node, text) whose text has that node: slot counts as bytes, hashes as bytes."""
+    """(node, shingles) of rows (node, text) whose text has that node: hashes as bytes."""
 
     def run(batches):
         hashes = WordHashes()
@@ -166,46 +175,133 @@ def sets_of(texts: DataFrame, width: int) -> DataFrame:
                 part = batch.slice(at, 500)
                 made = [(node, shingle_hashes(words_of(t.as_py()), width, hashes)) for node, t in zip(part.column(0).to_pylist(), part.column(1))]
                 made = [(node, x) for node, x in made if node == node_of(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int64()), pa.array([slots_of(x) for _, x in made], pa.binary()), pa.array([x.tobytes() for _, x in made], pa.binary())], ["node", "slots", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int64()), pa.array([x.tobytes() for _, x in made], pa.binary())], ["node", "shingles"])
 
-    return texts.mapInArrow(run, "node bigint, slots binary, shingles binary")
+    return texts.mapInArrow(run, "node bigint, shingles binary")
 
 
 def slots_of(shingles: np.ndarray) -> bytes:
-    """Counts of the hashes in each slot; counts of 255 or more are 255."""
-    return np.minimum(np.bincount((shingles & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS), 255).astype(np.uint8).tobytes()
+    """Counts of the hashes in 64 slots or, in large sets, in enough slots for 16 or fewer in each; 255 stands for more."""
+    slots = SLOTS
+    while slots * 16 < len(shingles):
+        slots *= 2
+    return np.minimum(np.bincount((shingles & np.uint64(slots - 1)).astype(np.int64), minlength=slots), 255).astype(np.uint8).tobytes()
+
+
+def overlap_bound(s: bytes, t: bytes) -> int:
+    """No less than the overlap of two sets with these slot counts; the finer counts are folded to the coarser ones."""
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in sorted((s, t), key=len))
+    if (x == 255).any() or (y == 255).any():
+        return 2**62
+    return int(np.minimum(x, y.reshape(-1, len(x)).sum(0)).sum())
 
 
 def near(pairs: DataFrame, percent: int) -> DataFrame:
-    """Keeps (a, b) of (a, b, n, m, s, t) whose slot counts allow the overlap; a slot filled to 255 bounds nothing."""
+    """Keeps (a, b) of (a, b, n, m, s, t) whose slot counts allow the overlap."""
 
     def run(batches):
         for batch in batches:
-            if not len(batch):
-                continue
-            s, t = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SLOTS) for i in (4, 5))
-            low = np.minimum(s, t)
-            most = np.where((low == 255).any(1), np.iinfo(np.int64).max // 1000, low.sum(1, dtype=np.int64))
-            n, m = (batch.column(i).to_numpy() for i in (2, 3))
-            keep = (100 + percent) * most >= percent * (n + m)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
+            n, m, s, t = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
+            keep = pa.array([(100 + percent) * overlap_bound(w, x) >= percent * (u + v) for u, v, w, x in zip(n, m, s, t)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
-def candidates(found: DataFrame, slots: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b), a < b, that share a region and pass the size and slot bounds."""
-    counts = found.groupBy("shingle").agg(F.count("*").alias("c"))
-    shared = found.join(counts, "shingle").join(slots, "node")
-    blocks = F.ceil(F.col("c") / REGION)
-    own = F.pmod(F.xxhash64("node"), blocks)
-    shared = shared.withColumn("own", own.cast("int")).withColumn("others", F.sequence(F.lit(0), (blocks - 1).cast("int")))
-    laid = shared.select("shingle", "node", "n", "slots", "own", F.explode("others").alias("other"))
-    laid = laid.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).select("shingle", "i", "j", "own", "node", "n", "slots")
-    a = laid.select("shingle", "i", "j", F.col("own").alias("oa"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("slots").alias("sa"))
-    b = laid.select("shingle", "i", "j", F.col("own").alias("ob"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("slots").alias("sb"))
-    met = a.join(b, ["shingle", "i", "j"]).where((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((F.col("i") == F.col("j")) | (F.col("oa") != F.col("ob"))))
-    return near(met.select("a", "b", "na", "nb", "sa", "sb"), percent).distinct()
+def sized_pairs(shared: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b, na, nb), a < b, of (shingle, node, n) that share a region and whose sizes allow a link."""
+    a = shared.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"))
+    b = shared.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"))
+    met = a.join(b, "shingle").where((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+    return met.select("a", "b", "na", "nb").distinct()
+
+
+def families(crowded: DataFrame) -> DataFrame:
+    """(node, root, size): the nodes of large regions by the regions they reach through one another."""
+    hubs = crowded.groupBy("shingle").agg(F.min("node").alias("hub"))
+    label = components(crowded.join(hubs, "shingle").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    return label.join(label.groupBy("root").agg(F.count("*").alias("size")), "root").select("node", "root", "size")
+
+
+class Forest:
+    """Disjoint sets over 0 to n-1."""
+
+    def __init__(self, n: int):
+        self.above = np.arange(n)
+
+    def root(self, x: int) -> int:
+        above = self.above
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return int(x)
+
+    def roots(self) -> np.ndarray:
+        """The root of every element at once."""
+        while (nearer := self.above[self.above]).tobytes() != self.above.tobytes():
+            self.above = nearer
+        return self.above
+
+
+def pivot_links(sets: list[np.ndarray], side: np.ndarray, percent: int, kept: int = 8) -> list[tuple[int, int]]:
+    """Links that connect the same sets as all links between the two sides do (or within one, if there is but one).
+
+    Each set in turn is a pivot. Its distance to earlier pivots bounds that to
+    any other set from below, by the triangle inequality; only sets that no
+    bound excludes and that are not connected with it yet are compared.
+    """
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
+    size = np.array([len(x) for x in sets])
+    start = np.concatenate([[0], np.cumsum(size)[:-1]])
+    mark = np.zeros(int(code.max()) + 1, bool)
+    limit = 1 - percent / 100 + 1e-9
+    cross = len(np.unique(side)) > 1
+    forest, known, out = Forest(len(sets)), [], []
+    for p in range(len(sets)):
+        if cross and side[p] != side.min():
+            continue
+        root = forest.roots()
+        open_ = (root != root[p]) & (100 * np.minimum(size, size[p]) >= percent * np.maximum(size, size[p]))
+        if cross:
+            open_ &= side != side[p]
+        else:
+            open_[:p] = False
+        for distance in known:
+            open_ &= np.abs(distance - distance[p]) <= limit
+        if not open_.any() and len(known) >= kept:
+            continue
+        own = code[start[p] : start[p] + size[p]]
+        mark[own] = True
+        shared = np.add.reduceat(mark[code], start)
+        mark[own] = False
+        union = size + size[p] - shared
+        if len(known) < kept:
+            known.append(1 - shared / union)
+        for x in np.nonzero(open_ & (100 * shared >= percent * union))[0]:
+            a, b = forest.root(p), forest.root(int(x))
+            if a != b:
+                forest.above[max(a, b)] = min(a, b)
+                out.append((p, int(x)))
+    return out
+
+
+def family_links(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) links that connect each family as all its links do; a family is joined block by block."""
+    blocks = F.ceil(F.col("size") / BLOCK)
+    placed = family.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    units = placed.select("node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own").join(sets, "node")
+
+    def run(unit: pd.DataFrame) -> pd.DataFrame:
+        unit = unit.drop_duplicates("node").sort_values("node").reset_index(drop=True)
+        held = [np.frombuffer(x, np.uint64) for x in unit["shingles"]]
+        side = unit["own"].to_numpy()
+        if unit["i"].iat[0] != unit["j"].iat[0] and side.min() == side.max():
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        node = unit["node"].to_numpy()
+        links = pivot_links(held, side, percent)
+        return pd.DataFrame({"a": [node[x] for x, _ in links], "b": [node[y] for _, y in links]}).astype("int64")
+
+    return units.groupBy("root", "i", "j").applyInPandas(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -264,16 +360,21 @@ def joined(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFram
     often = survey.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("c")).where(F.col("c") > OFTEN)
     # At most LAST_AT_MOST values of 8 bytes pass the driver; which ones are put last never changes the result.
     last = np.sort(np.array([x["shingle"] for x in often.orderBy(F.desc("c"), "shingle").limit(LAST_AT_MOST).select("shingle").collect()], np.int64).view(np.uint64))
-    found = regions(docs, width, percent, last)
-    counts = found.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
-    shared = written(found.join(counts, "shingle", "left_semi"), "regions")
-    # The text of one document of each node that shares a region.
-    kept = shared.select("node").distinct().join(members.groupBy("node").agg(F.min("doc_id").alias("kept_id")), "node")
+    together = F.count("*").over(Window.partitionBy("shingle"))
+    shared = written(regions(docs, width, percent, last).withColumn("c", together).where("c > 1"), "regions")
+    pairs = written(sized_pairs(shared.where(F.col("c") <= REGION), percent), "pairs")
+    family = written(families(shared.where(F.col("c") > REGION)), "families")
+    slots = survey.where("slots is not null").groupBy("node").agg(F.first("slots").alias("slots"))
+    each = pairs.join(slots.select(F.col("node").alias("a"), F.col("slots").alias("sa")), "a").join(slots.select(F.col("node").alias("b"), F.col("slots").alias("sb")), "b")
+    close = written(near(each.select("a", "b", "na", "nb", "sa", "sb"), percent), "close")
+    # The text of one document of each node that has to be compared in whole.
+    asked = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).unionByName(family.select("node")).distinct()
+    kept = asked.join(members.groupBy("node").agg(F.min("doc_id").alias("kept_id")), "node")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    texts = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id"))).select("node", "text")
+    # Merged at every size: these nodes grow with the documents, so they are not broadcast while they are few.
+    texts = rows.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id"))).select("node", "text")
     sets = written(sets_of(texts, width), "sets")
-    pairs = written(candidates(shared, sets.select("node", "slots").distinct(), percent), "candidates")
-    links = written(verified(pairs, sets.select("node", "shingles"), percent), "links")
+    links = written(verified(close, sets, percent).unionByName(family_links(family, sets, percent)), "links")
     return members, links, components(links)
 
 
@@ -298,3 +399,20 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(documents(spark, sf_dir).select("doc_id", "text"), 4, 85).drop("node")
+
+
+OP8_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(generate_series(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS g
+  FROM w
+),
+n AS (SELECT doc_id, len(g) AS n FROM s),
+e AS (SELECT doc_id, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+ways AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, b.y FROM reach r JOIN ways b ON b.x = r.other)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(other)::BIGINT AS component_id FROM n JOIN reach USING (doc_id) GROUP BY n.doc_id, n.n
+"""
