@@ -2,11 +2,11 @@
 
 from marginalia.llm.bpe import op1_bpe
 from marginalia.llm.fingerprints import op9_fingerprints
-from marginalia.llm.jaccard import op8_jaccard
+from marginalia.llm.jaccard import OP8_SQL, op8_jaccard
 from marginalia.llm.lines import OP7_SQL, op7_line_dedup
 from marginalia.llm.mixing import op2_mixing
 from marginalia.llm.pii import op3_pii
-from marginalia.llm.quality import op4_quality
+from marginalia.llm.quality import OP4_SQL, op4_quality
 from marginalia.llm.sharding import op6_sharding
 from marginalia.llm.suffixes import op10_suffixes
 from marginalia.llm.units import OP5_SQL, op5_substrings
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_suffixes": op10_suffixes,
 }
-ORACLE_SQL: dict[str, str] = {"op5_substrings": OP5_SQL, "op7_line_dedup": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_quality": OP4_SQL, "op5_substrings": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_jaccard": OP8_SQL}

@@ -175,3 +175,42 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(documents(spark, sf_dir)).drop("char_distance", "word_distance", "h")
+
+
+def _shares_sql() -> str:
+    """SQL for the class counts of a text ``t``: small letters, the classes taken out and the rest."""
+    counted = {"lower": "[a-z]", **TAKEN, "space": f"[{SPACE}]"}
+    each = [f"len(regexp_extract_all(t, '{counted[n].replace(chr(39), chr(39) * 2)}'))" for n in NAMES[:-1]]
+    return f"[{', '.join(each)}, length(t) - ({' + '.join(each)})]"
+
+
+def _distance_sql(p: str, q: str) -> str:
+    half = "list_transform(list_zip({0}, {1}), lambda z: CASE WHEN z[1] > 0 THEN z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) ELSE 0.0 END)"
+    return f"sqrt(greatest(0.0, (list_sum({half.format(p, q)}) + list_sum({half.format(q, p)})) / 2))"
+
+
+OP4_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS t FROM documents),
+f AS (SELECT k, doc_id, lang, t, regexp_extract_all(t, '{WORD}') AS w, {_shares_sql()} AS c, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM d),
+g AS (SELECT k, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS g FROM (SELECT k, w, unnest(generate_series(1, len(w) - {WINDOW - 1})) AS i FROM f WHERE len(w) >= {WINDOW})),
+twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM g) WHERE n > 1),
+again AS (SELECT k, sum(least({WINDOW}, i - coalesce(p, -{WINDOW})))::BIGINT AS n FROM (SELECT k, i, lag(i) OVER (PARTITION BY k ORDER BY i) AS p FROM twice) GROUP BY k),
+base AS (SELECT f.*, len(w)::BIGINT AS n_words, coalesce(again.n, 0) AS n_repeat_words, list_transform(c, lambda x: x / length(t)) AS own FROM f LEFT JOIN again USING (k)),
+ok AS (SELECT * FROM base WHERE n_words >= {MIN_WORDS}),
+sums AS (SELECT lang, i, sum(c[i]) AS s FROM (SELECT lang, c, unnest(generate_series(1, {len(NAMES)})) AS i FROM ok) GROUP BY lang, i),
+pooled AS (SELECT lang, list(s / total ORDER BY i) AS q FROM (SELECT *, sum(s) OVER (PARTITION BY lang) AS total FROM sums) GROUP BY lang),
+near AS (SELECT ok.* FROM ok JOIN pooled ON ok.lang IS NOT DISTINCT FROM pooled.lang WHERE {_distance_sql('own', 'q')} <= {TRIM}),
+sums2 AS (SELECT lang, i, sum(c[i]) AS s FROM (SELECT lang, c, unnest(generate_series(1, {len(NAMES)})) AS i FROM near) GROUP BY lang, i),
+chars AS (SELECT lang, list(s / total ORDER BY i) AS rc FROM (SELECT *, sum(s) OVER (PARTITION BY lang) AS total FROM sums2) GROUP BY lang),
+totals AS (SELECT lang, sum(n_words) AS total FROM near GROUP BY lang),
+short AS (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(w) AS w FROM near) WHERE regexp_matches(w, '{SHORT}') GROUP BY lang, w),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS r FROM short QUALIFY r <= {COMMON}),
+refs AS (SELECT chars.lang, rc, rw, list_append(list_transform(rn, lambda x: x / total), 1 - list_sum(rn) / total) AS rs FROM chars JOIN totals ON chars.lang IS NOT DISTINCT FROM totals.lang
+  LEFT JOIN (SELECT lang, list(w ORDER BY r) AS rw, list(n ORDER BY r) AS rn FROM best GROUP BY lang) b ON b.lang IS NOT DISTINCT FROM chars.lang),
+hits AS (SELECT base.*, rc, rs, list_transform(rw, lambda x: len(list_filter(w, lambda y: y = x)) / n_words) AS h FROM base LEFT JOIN refs ON base.lang IS NOT DISTINCT FROM refs.lang),
+far AS (SELECT *, CASE WHEN length(t) >= {CHAR_LEAST} AND rc IS NOT NULL THEN {_distance_sql('own', 'rc')} END AS cd,
+  CASE WHEN n_words >= {WORD_LEAST} AND rs IS NOT NULL THEN {_distance_sql('list_append(h, 1 - list_sum(h))', 'rs')} END AS wd,
+  n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM hits)
+SELECT doc_id, n_words, (length(t) - c[{NAMES.index('space') + 1}])::BIGINT AS word_chars, c[{NAMES.index('symbol') + 1}]::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  base_failed, NOT base_failed AND coalesce(cd, 0) <= {CHAR_LIMIT} AND coalesce(wd, 0) <= {WORD_LIMIT} AS kept FROM far
+"""

@@ -37,6 +37,7 @@ def test_small_cache_gives_the_same(monkeypatch, docs):
     texts = [r["text"] for r in docs.limit(20).collect()]
     whole = bpe.Encoder(bpe.vocabulary(PATH)).encode_batch(texts)
     monkeypatch.setattr(bpe, "KEPT_WORDS", 10)
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 10)
     monkeypatch.setattr(bpe, "BLOCK_SYMBOLS", 50)
     assert bpe.Encoder(bpe.vocabulary(PATH)).encode_batch(texts) == whole
 
