@@ -605,3 +605,77 @@ def md_elements(spark, sf):
 
     sections = split.sections(_markdown(spark, sf)).withColumn("tags", F.array().cast("array<string>")).withColumn("complexity", F.lit(0))
     return subsplit.sub_blocks(sections).select("path", *big("parent_ord", "sub_ord"), "kind", "hash")
+
+
+# --- showing and acting --------------------------------------------------------------------------
+
+_SHOWN = "CASE p_partkey % 3 WHEN 0 THEN 'pub fn ' || replace(p_name, ' ', '_') || '(a)' WHEN 1 THEN 'class  ' || p_type ELSE p_name END"
+
+
+@query(f"WITH s AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'class' ELSE 'code' END AS kind, {_SHOWN} AS c FROM part) SELECT p_partkey, coalesce(CASE kind WHEN 'function' THEN nullif(regexp_extract(c, '\\bfn\\b\\s+([A-Za-z0-9_]+)', 1), '') WHEN 'class' THEN nullif(regexp_extract(c, '\\bclass\\b\\s+([A-Za-z0-9_]+)', 1), '') END, 'L4-L' || (p_partkey % 7 + 4)) AS name FROM s")
+def display_names(spark, sf):
+    from marginalia.functions import display
+
+    n = F.col("p_partkey")
+    rows = V.table(spark, sf, "part").select("p_partkey", F.when(n % 3 == 0, "function").when(n % 3 == 1, "class").otherwise("code").alias("kind"), F.expr(_SHOWN).alias("c"))
+    return rows.select("p_partkey", display.display_name(F.col("kind"), F.col("c"), F.lit(3), n % 7 + 4).alias("name"))
+
+
+@query(f"WITH {_CODE}, k AS (SELECT path, list(kind ORDER BY ord) AS l FROM code GROUP BY path), e AS (SELECT path, CASE WHEN len(l) > 4 THEN l[1:2] || ['...'] || l[len(l) - 1:len(l)] ELSE l END AS l FROM k) SELECT path, array_to_string(list_transform(l, lambda x, i: CASE WHEN i = len(l) THEN '└─ ' ELSE '├─ ' END || x), '|') AS shown FROM e")
+def elided_labels(spark, sf):
+    from marginalia.functions import display
+
+    files = _code(spark, sf).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "kind")))["kind"].alias("labels"))
+    return files.select("path", F.array_join(display.elided(F.col("labels")), "|").alias("shown"))
+
+
+@query(r"WITH t AS (SELECT p_partkey, regexp_extract_all('let ' || p_name || ' = ' || p_size || ';', '[\p{L}\p{N}_]+|.') AS w FROM part) SELECT p_partkey, len(w)::BIGINT AS n_tokens, len(list_filter(w, lambda x: x = 'let'))::BIGINT AS n_keywords, len(list_filter(w, lambda x: regexp_full_match(x, '[0-9]+')))::BIGINT AS n_numbers FROM t")
+def line_tokens(spark, sf):
+    from marginalia.functions import display
+
+    line = F.concat(F.lit("let "), F.col("p_name"), F.lit(" = "), F.col("p_size").cast("string"), F.lit(";"))
+    rows = V.table(spark, sf, "part").select("p_partkey", display.tokens(line).alias("t"))
+    of = lambda kind: F.size(F.filter("t", lambda x: x["kind"] == kind)).cast("bigint")
+    return rows.select("p_partkey", F.size("t").cast("bigint").alias("n_tokens"), of("keyword").alias("n_keywords"), of("number").alias("n_numbers"))
+
+
+@query(f"{_REVIEW} SELECT path, ord, sha256('  [Unreviewed] L' || k.start_line || '-L' || (k.start_line + {S.newlines('content')} + CASE WHEN suffix(content, {S.NL}) THEN 0 ELSE 1 END) || ' (Hash: ' || k.hash || ') Kind: ' || k.kind || {S.NL} || '    > ' || trim(split_part(content, {S.NL}, 1))) AS listing_sha256 FROM left_over k JOIN blocks USING (path, ord)")
+def text_listing(spark, sf):
+    from marginalia.functions import display
+
+    row = display.listing(F.col("start_line"), F.col("end_line"), F.col("hash"), F.col("kind"), F.col("content"))
+    return _review(spark, sf).select("path", *big("ord"), F.sha2(row, 256).alias("listing_sha256"))
+
+
+@query(f"{_REVIEW} SELECT path AS file, ord, kind, hash FROM left_over")
+def review_queue(spark, sf):
+    return _review(spark, sf).select(F.col("path").alias("file"), *big("ord"), "kind", "hash")
+
+
+@query(f"WITH {_CODE}, h AS (SELECT path, count(*) FILTER (kind IN ('function', 'method') AND contains(content, 'a')) AS own, count(*) FILTER (contains(content, 'a')) AS every FROM code GROUP BY path) SELECT path, CASE WHEN own > 0 THEN own ELSE every END AS n FROM h")
+def fuzzy_find(spark, sf):
+    from marginalia.operators import actions
+
+    return actions.fuzzy_counts(_code(spark, sf), F.lit("a"))
+
+
+@query(f"WITH {S.FILES_DOC}, {S.TREE} SELECT CASE WHEN kind = 'root' THEN 'root' ELSE hash END AS fingerprint, 'review' AS \"check\", 'approved' AS verdict, nullif(path, '') AS path_hint FROM nodes WHERE kind <> 'file'")
+def session_actions(spark, sf):
+    from marginalia.operators import actions
+
+    nodes = tree.nodes(_doc_files(spark, sf)).where("kind <> 'file'")
+    return actions.actions(nodes, "approved").select("fingerprint", "check", "verdict", "path_hint")
+
+
+@query(f"WITH {S.FILES_DOC}, s AS (SELECT path, dir FROM files_doc WHERE NOT starts_with(path, 'en/')) SELECT DISTINCT path FROM (SELECT path FROM s UNION ALL SELECT dir FROM s UNION ALL SELECT string_split(dir, '/')[1] FROM s UNION ALL SELECT '' FROM s)")
+def visible_nodes(spark, sf):
+    from marginalia.operators import actions
+
+    return actions.visible(actions.applied(_doc_files(spark, sf), "en", "rejected"))
+
+
+@query()
+def tree_json(spark, sf):
+    from marginalia.operators import actions
+
+    return actions.nested_json(tree.nodes(_doc_files(spark, sf))).select("path", F.sha2("view", 256).alias("view_sha256"))
