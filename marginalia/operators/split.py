@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import MARK, WS, comment_only, content_hash, line_span, newlines, paragraph_class
+from marginalia.functions.text import MARK, WS, content_hash, line_span, newlines, paragraph_class
 
 #: Fixed value: a sentence ends after a stop and the white space that follows it.
 SENTENCE = r"[^.!?]*[.!?][ \t\n\x0C\r]*|[^.!?]+"
@@ -60,6 +60,3 @@ def sections(files: DataFrame) -> DataFrame:
     _, end = line_span(F.col("start_line"), F.col("content"))
     return kept.select("path", "language", F.col("section").alias("ord"), kind.alias("kind"), "content", content_hash(F.col("content")).alias("hash"), "start_line", end.alias("end_line"))
 
-
-def classified(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("comment", comment_only(F.col("content")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,10 +57,14 @@ def schema_valid(r: Column) -> Column:
     return parseable(r) & (F.length(r["check"]) > 0) & r["repo_ref"]["revision"].rlike("^[0-9a-f]{7,64}$") & (r["timestamp"] >= 0)
 
 
-def verify_counts(records: DataFrame, intact: Column) -> DataFrame:
-    """(attested, unattested, invalid): records with and without attestations, and attestations that don't hold."""
+def verify_counts(records: DataFrame, intact: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(attested, unattested, invalid): records with and without attestations, and attestations that don't hold.
+
+    ``intact`` tells of an attestation whether it holds; without it, its structure is checked.
+    """
+    intact = intact or intact_of
     n = F.coalesce(F.size("attestations"), F.lit(0))
-    bad = F.size(F.filter("attestations", lambda a: ~F.coalesce(intact_of(a), F.lit(False))))
+    bad = F.size(F.filter("attestations", lambda a: ~F.coalesce(intact(a), F.lit(False))))
     return records.agg(F.sum((n > 0).cast("bigint")).alias("attested"), F.sum((n <= 0).cast("bigint")).alias("unattested"), F.sum(F.when(n > 0, bad).otherwise(0).cast("bigint")).alias("invalid"))
 
 

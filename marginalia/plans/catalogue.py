@@ -150,7 +150,10 @@ _SPELLED = ["Function", " gap ", "code_paragraph", "FUNCTION-SIGNATURE", "signat
 _SPELLED_LIST = "[" + ", ".join(f"'{x}'" for x in _SPELLED) + "]"
 
 
-@query(f"WITH k AS (SELECT p_partkey, {S.case_of(SPELLINGS, _n, 'NULL')} AS kind FROM (SELECT p_partkey, {_SPELLED_LIST}[(p_partkey % {len(_SPELLED)} + 1)::INT] AS raw FROM part)) SELECT p_partkey, kind, {S.priority()}::BIGINT AS priority, kind IN {S.IMPORTS} AS import_like, {S.group()} AS parent FROM k" if (_n := "regexp_replace(lower(trim(raw)), '[_-]', '', 'g')") else None)
+_SPELLING = "regexp_replace(lower(trim(raw)), '[_-]', '', 'g')"
+
+
+@query(f"WITH k AS (SELECT p_partkey, {S.case_of(SPELLINGS, _SPELLING, 'NULL')} AS kind FROM (SELECT p_partkey, {_SPELLED_LIST}[(p_partkey % {len(_SPELLED)} + 1)::INT] AS raw FROM part)) SELECT p_partkey, kind, {S.priority()}::BIGINT AS priority, kind IN {S.IMPORTS} AS import_like, {S.group()} AS parent FROM k")
 def kind_normalize(spark, sf):
     raw = F.element_at(F.array(*map(F.lit, _SPELLED)), (F.col("p_partkey") % len(_SPELLED) + 1).cast("int"))
     rows = V.table(spark, sf, "part").select("p_partkey", K.kind_of(raw).alias("kind"))
@@ -334,7 +337,7 @@ def verify_counts(spark, sf):
 
     n = F.col("event_id") % 4
     listed = F.when(n == 1, F.array(one(True))).when(n == 2, F.array(one(True), one(False))).when(n == 3, F.array(one(False), one(False)))
-    return verdicts.verify_counts(V.table(spark, sf, "events").select(listed.alias("attestations")), F.lit(True))
+    return verdicts.verify_counts(V.table(spark, sf, "events").select(listed.alias("attestations")))
 
 
 @query(f"""WITH {S.RECORDS} SELECT id, '{{"check":"' || "check" || '","email":"' || email || '","fingerprint":"' || fingerprint || '","id":"' || id || '","note":null,"verdict":"' || verdict || '"}}' AS payload FROM records""")

@@ -113,4 +113,4 @@ class Session:
 
     def verify(self, record_id: str | None = None) -> DataFrame:
         chosen = self.records() if record_id is None else self.records().where(F.col("id") == record_id)
-        return verdicts.verify_counts(chosen, F.lit(True)).fillna(0)
+        return verdicts.verify_counts(chosen).fillna(0)
