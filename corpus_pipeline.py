@@ -22,7 +22,9 @@ def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the base rules fail or that lie far from their language."""
-    rejected = quality.judged(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct()
+    # Written first: a filter on the verdict would be pushed into the expressions it is made of and repeat them.
+    verdicts = written(quality.judged(docs).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "kept"), "verdicts")
+    rejected = verdicts.where(~F.col("kept")).select("_d", "_h").distinct()
     return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
 
 
