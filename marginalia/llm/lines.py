@@ -39,8 +39,10 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     """(digest, first, n_sites): the lines at ``min_sites`` sites or more, each with its first occurrence."""
     lines = sited(docs, site)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h", "place"))
-    sketched = lines.groupBy("digest").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG2_SLOTS))).alias("about"), first.alias("first"), F.count("*").alias("n"))
-    likely = written(sketched.where((F.col("about") * band >= min_sites) & (F.col("n") >= min_sites)), "spread")
+    # A line stands at no more sites than it occurs, so plain counts tell which lines need a sketch at all.
+    frequent = written(lines.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("digest"), "frequent")
+    sketched = lines.join(frequent, "digest", "left_semi").groupBy("digest").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG2_SLOTS))).alias("about"), first.alias("first"))
+    likely = written(sketched.where(F.col("about") * band >= min_sites), "spread")
     near = likely.where(F.col("about") <= min_sites * band).select("digest")
     exact = lines.join(near, "digest", "left_semi").select("digest", "site").distinct().groupBy("digest").agg(F.count("*").alias("exact"))
     known = likely.join(exact, "digest", "left")
