@@ -31,8 +31,10 @@ from marginalia.llm.common import documents
 GAP = re.compile("[\t-\r \x85\xa0  -     　]+")
 ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 CONTROL = re.compile("[\x1c-\x1f]")
-#: Words kept with their ids, per Python worker, and symbols laid out in one index.
-KEPT_WORDS = 1_000_000
+#: Pieces of text and words kept with their ids, per Python worker, and symbols laid out in one index. Workers
+#: outlive their tasks, so this memory stays beside that of the next stage.
+KEPT_PIECES = 400_000
+KEPT_WORDS = 400_000
 BLOCK_SYMBOLS = 2_000_000
 
 
@@ -196,7 +198,7 @@ class Encoder:
 
         def flush() -> None:
             new = {x for parts in held for _, pieces in parts for x in pieces}
-            if len(self.kept) + len(new) > KEPT_WORDS:
+            if len(self.kept) + len(new) > KEPT_PIECES:
                 self.kept.clear()
             self.learn(new.difference(self.kept))
             get = self.kept.__getitem__
