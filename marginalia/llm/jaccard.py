@@ -27,8 +27,9 @@ cost as much as one document.
 
 Defined cases: null and blank texts have an empty set and link with nothing;
 texts of fewer words than the width are one shingle; null doc_ids count as
-larger than all others. Repeated rows are rows of one node. Only doc_id and
-text are read. An empty table gives an empty table.
+larger than all others. Repeated rows are rows of one node; rows that share a
+doc_id, or have none, are told apart by the hash of their text. Only doc_id
+and text are read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -80,16 +81,27 @@ def ordered(shingles: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 def _texts(batches):
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            yield doc, text.as_py()
+        *keys, texts = batch.columns
+        for key, text in zip(zip(*(x.to_pylist() for x in keys)), texts):
+            yield key, text.as_py()
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, text): the rows by what they are told apart by."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
+
+
+def _least():
+    """The least (doc_id, h) of a group, null doc_ids last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
 
 
 def surveyed(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (doc_id, n, node, null, slots) for documents and (null, count, null, shingle, null) for shingles that a task meets twice or more in different sets.
+    """Rows (doc_id, h, n, node, null, slots) for documents and (null, null, count, null, shingle, null) for shingles that a task meets twice or more in different sets.
 
     Slot counts come with the first document of a node in each task.
     """
-    names = ["doc_id", "n", "node", "shingle", "slots"]
+    names = ["doc_id", "h", "n", "node", "shingle", "slots"]
 
     def run(batches):
         hashes, seen, held, size = WordHashes(), set(), [], 0
@@ -99,17 +111,17 @@ def surveyed(docs: DataFrame, width: int) -> DataFrame:
             if held:
                 value, count = np.unique(np.concatenate(held), return_counts=True)
                 keep = count > 1
-                yield pa.RecordBatch.from_arrays([pa.nulls(int(keep.sum()), pa.int64()), pa.array(count[keep].astype(np.int64)), pa.nulls(int(keep.sum()), pa.int64()), pa.array(value[keep].view(np.int64)), pa.nulls(int(keep.sum()), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(int(keep.sum()), pa.int64()), pa.nulls(int(keep.sum()), pa.int64()), pa.array(count[keep].astype(np.int64)), pa.nulls(int(keep.sum()), pa.int64()), pa.array(value[keep].view(np.int64)), pa.nulls(int(keep.sum()), pa.binary())], names)
 
         def flush():
-            doc, n, node, slots = zip(*out)
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(len(doc), pa.int64()), pa.array(slots, pa.binary())], names)
+            doc, h, n, node, slots = zip(*out)
+            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(h, pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(len(doc), pa.int64()), pa.array(slots, pa.binary())], names)
 
-        for doc, text in _texts(batches):
+        for (doc, h), text in _texts(batches):
             shingles = shingle_hashes(words_of(text), width, hashes)
             node = node_of(shingles)
             new = node not in seen and len(shingles) > 0
-            out.append((doc, len(shingles), node, slots_of(shingles) if new else None))
+            out.append((doc, h, len(shingles), node, slots_of(shingles) if new else None))
             if new:
                 if len(seen) >= REMEMBERED:
                     seen.clear()
@@ -126,8 +138,7 @@ def surveyed(docs: DataFrame, width: int) -> DataFrame:
             yield flush()
         yield from tally()
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text"))
-    return written(rows.mapInArrow(run, "doc_id bigint, n bigint, node bigint, shingle bigint, slots binary"), "survey")
+    return written(_keyed(docs).mapInArrow(run, "doc_id bigint, h bigint, n bigint, node bigint, shingle bigint, slots binary"), "survey")
 
 
 def regions(docs: DataFrame, width: int, percent: int, last: np.ndarray) -> DataFrame:
@@ -354,9 +365,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def joined(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Membership (doc_id, n, node), links (a, b) between nodes and components (node, root) of the whole table."""
+    """Membership (doc_id, h, n, node), links (a, b) between nodes and components (node, root) of the whole table."""
     survey = surveyed(docs, width)
-    members = survey.where("node is not null").select("doc_id", "n", "node")
+    members = survey.where("node is not null").select("doc_id", "h", "n", "node")
     often = survey.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("c")).where(F.col("c") > OFTEN)
     # At most LAST_AT_MOST values of 8 bytes pass the driver; which ones are put last never changes the result.
     last = np.sort(np.array([x["shingle"] for x in often.orderBy(F.desc("c"), "shingle").limit(LAST_AT_MOST).select("shingle").collect()], np.int64).view(np.uint64))
@@ -369,32 +380,45 @@ def joined(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFram
     close = written(near(each.select("a", "b", "na", "nb", "sa", "sb"), percent), "close")
     # The text of one document of each node that has to be compared in whole.
     asked = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).unionByName(family.select("node")).distinct()
-    kept = asked.join(members.groupBy("node").agg(F.min("doc_id").alias("kept_id")), "node")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
+    kept = asked.join(members.groupBy("node").agg(_least().alias("first")), "node").select("node", F.col("first.doc_id").alias("kept_id"), F.col("first.h").alias("kept_h"))
     # Merged at every size: these nodes grow with the documents, so they are not broadcast while they are few.
-    texts = rows.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id"))).select("node", "text")
+    texts = _keyed(docs).join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_h"))).select("node", "text")
     sets = written(sets_of(texts, width), "sets")
     links = written(verified(close, sets, percent).unionByName(family_links(family, sets, percent)), "links")
     return members, links, components(links)
 
 
+def grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h, n, node, key) of the whole table and (key, first): the least (doc_id, h) of each component."""
+    members, _, label = joined(docs, width, percent)
+    keyed = members.join(label, "node", "left").select("doc_id", "h", "n", "node", F.coalesce("root", "node").alias("key"))
+    return keyed, keyed.where("n > 0").groupBy("key").agg(_least().alias("first"))
+
+
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, node) of every row; component_id is the least doc_id that links reach."""
-    members, _, label = joined(docs, width, percent)
-    keyed = members.join(label, "node", "left").select("doc_id", "n", "node", F.coalesce("root", "node").alias("key"))
-    least = keyed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
-    own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return keyed.join(least, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "node")
+    keyed, firsts = grouped(docs, width, percent)
+    own = F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id"))
+    return keyed.join(firsts, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "node")
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each component does: the one of the least doc_id.
+    """The rows of ``docs`` that stay when one document of each component does: the least by (doc_id, hash of the text), null doc_ids last.
 
-    Documents without a component of others stay; rows that repeat the staying doc_id stay with it.
+    Documents without a component of others stay; rows that repeat the staying
+    doc_id and text stay with it. Rows of equal texts without a doc_id are
+    copies, not repeats: one of them stays.
     """
-    named = classes(docs, width, percent)
-    gone = named.where((F.col("component_id") != F.col("doc_id")) | (F.col("doc_id").isNull() & F.col("component_id").isNotNull())).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_gone")), "left_anti")
+    keyed, firsts = grouped(docs, width, percent)
+    other = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("h") != F.col("first.h"))
+    gone = written(keyed.where("n > 0").join(firsts, "key").where(other).select(F.col("doc_id").alias("_gone"), F.col("h").alias("_h")).distinct(), "gone")
+
+    def left(rows: DataFrame) -> DataFrame:
+        return rows.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_gone")) & (F.xxhash64(text_of()) == F.col("_h")), "left_anti")
+
+    unnamed = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    copies = left(docs.where(unnamed)).groupBy(F.col("text").alias("_text")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")).select("_row.*")
+    return left(docs.where(~unnamed)).unionByName(copies)
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

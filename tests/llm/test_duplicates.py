@@ -139,3 +139,23 @@ def test_units(spark, edge, empty):
     assert got == {1: (1, "", rows[0][1]), 2: (2, "2:28", "x. Tail of its own kind here"), 3: (2, "26:53", rows[2][1][:26]), 4: (0, "", None), 5: (0, "", "a b c d")}
     assert units.removed(edge).count() == edge.count()
     assert units.removed(empty).count() == 0
+
+
+def test_representatives_tell_rows_of_one_id_apart(spark):
+    text = lambda name, odd=None: " ".join(f"{name}{i}" if i != odd else "odd" for i in range(60))
+    rows = [
+        (1, text("a"), "x"), (None, text("a", 0), "x"), (None, text("b"), "x"),
+        (None, text("c"), "x"), (None, text("c"), "y"), (None, text("c", 59), "x"),
+        (2, text("d"), "x"), (2, text("a", 59), "x"), (3, text("d", 0), "x"),
+        (5, text("e"), "x"), (5, text("e", 0), "x"),
+        (None, None, "x"), (None, " ", "x"), (None, " ", "y"),
+    ]
+    kept = jaccard.representatives(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), 5, 80).collect()
+    found = [(r["doc_id"], r["text"]) for r in kept]
+    assert sorted(str(x) for x in found if x[1] is None or not x[1].strip()) == sorted([str((None, None)), *[str((None, " "))] * 2])
+    worded = [x for x in found if x[1] and x[1].strip()]
+    assert (1, text("a")) in worded and (2, text("d")) in worded and (None, text("b")) in worded
+    # One each of the texts c and e stays, whichever hash is less.
+    assert len(worded) == 5
+    assert sum(x in ((None, text("c")), (None, text("c", 59))) for x in worded) == 1
+    assert sum(x in ((5, text("e")), (5, text("e", 0))) for x in worded) == 1
