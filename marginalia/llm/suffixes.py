@@ -1,7 +1,7 @@
 """Removal of repeated substrings with common-prefix interval trees.
 
 A byte goes if it is covered by a LENGTH-byte string that also starts earlier
-(in a document of a smaller doc_id, or earlier in the same one). Suffixes are
+(in a document of a smaller doc_id and text hash, or earlier in the same one). Suffixes are
 sampled: in every LENGTH-byte string the GRAM-byte string of the least hash is
 an anchor, so equal strings have equal anchors at equal places, and suffixes
 that start at equal anchors meet in one group wherever they come from.
@@ -17,8 +17,9 @@ maximal repeat, output with all its occurrences; all but the earliest are
 removed.
 
 Defined cases: a null text counts as empty; texts below LENGTH bytes lose
-nothing; null doc_ids come after all others; rows that repeat a document
-(doc_id and text) count as that one document and share its result. Runs of one
+nothing; null doc_ids come after all others; texts that share a doc_id, or
+have none, are documents of their own, in order of their hash; rows that repeat
+a document (doc_id and text) count as that one and share its result. Runs of one
 byte give one anchor for all their places. Only doc_id and text are read. An
 empty table gives an empty table.
 """
@@ -78,15 +79,15 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     return at, grams[at], sixteen
 
 
-def document_anchors(block: list[tuple[int, bytes]]):
-    """For each document of at least LENGTH bytes: its anchors as (doc, key, context, place) and spans (doc, start, end) that repeat within it.
+def document_anchors(block: list[tuple[int, int, bytes]]):
+    """For each document of at least LENGTH bytes: its anchors as (doc, h, key, context, place) and spans (doc, h, start, end) that repeat within it.
 
     ``place`` packs the position and the context's extents to the left and right.
     """
     before = LENGTH - GRAM
-    data = np.frombuffer(b"".join(t for _, t in block), np.uint8)
-    ends = np.cumsum([len(t) for _, t in block])
-    starts = ends - [len(t) for _, t in block]
+    data = np.frombuffer(b"".join(t for *_, t in block), np.uint8)
+    ends = np.cumsum([len(t) for *_, t in block])
+    starts = ends - [len(t) for *_, t in block]
     at, key, sixteen = anchors(data)
     own = np.searchsorted(ends, at, side="right")
     keep = at + GRAM <= ends[own]
@@ -109,7 +110,7 @@ def document_anchors(block: list[tuple[int, bytes]]):
     for i in np.nonzero(~whole)[0]:
         piece = data[at[i] - left[i] : at[i] + right[i]].tobytes()
         context[i] = int.from_bytes(hashlib.blake2b(piece, digest_size=8, salt=b"%d" % left[i]).digest(), "little")
-    ids = np.array([d for d, _ in block], np.int64)
+    ids, hashes = (np.array([x[i] for x in block], np.int64) for i in (0, 1))
     order = np.lexsort((at, context, key, own))
     o, k, c = own[order], key[order], context[order]
     again = np.zeros(len(order), bool)
@@ -119,7 +120,17 @@ def document_anchors(block: list[tuple[int, bytes]]):
     pos = at - starts[own]
     place = (pos << 16) | (left << 8) | right
     spans = merged_spans(own[later], (pos - left)[later], (pos + right)[later])
-    return (ids[own[first]], key[first].view(np.int64), context[first].view(np.int64), place[first]), (ids[spans[0]], spans[1], spans[2])
+    return (ids[own[first]], hashes[own[first]], key[first].view(np.int64), context[first].view(np.int64), place[first]), (ids[spans[0]], hashes[spans[0]], spans[1], spans[2])
+
+
+def numbered(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each (doc, h)'s place among the distinct ones in order, and the docs and hashes of those."""
+    order = np.lexsort((h, doc))
+    d, k = doc[order], h[order]
+    new = np.append(True, (d[1:] != d[:-1]) | (k[1:] != k[:-1]))[: len(doc)]
+    number = np.empty(len(doc), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, d[new], k[new]
 
 
 def merged_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,12 +194,12 @@ def maximal_repeats(rights: list[bytes], lefts: list[bytes], length: int = LENGT
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("doc"), text_of().alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
 
 
 def sampled(docs: DataFrame) -> DataFrame:
-    """(key, context, doc, place) of anchors, one of each class and task; spans that are known to repeat have a null key and (start, end) in context and place."""
-    names = ["key", "context", "doc", "place"]
+    """(key, context, doc, h, place) of anchors, one of each class and task; spans that are known to repeat have a null key and (start, end) in context and place."""
+    names = ["key", "context", "doc", "h", "place"]
 
     def run(batches):
         block, size, seen = [], 0, {}
@@ -206,36 +217,38 @@ def sampled(docs: DataFrame) -> DataFrame:
 
         def flush():
             nonlocal waiting
-            doc, key, context, place = (np.concatenate(x) for x in zip(*held)) if held else (np.empty(0, np.int64),) * 4
+            doc, h, key, context, place = (np.concatenate(x) for x in zip(*held)) if held else (np.empty(0, np.int64),) * 5
             held.clear()
             waiting = 0
             # Of a class that several of these documents share only the first one has to be compared with other tasks'.
-            order = np.lexsort((doc, context, key))
-            doc, key, context, place = doc[order], key[order], context[order], place[order]
-            head = np.append(True, (key[1:] != key[:-1]) | (context[1:] != context[:-1]))[: len(doc)]
-            later = doc != doc[np.nonzero(head)[0][np.cumsum(head) - 1]] if len(doc) else head
+            number, docs, hashes = numbered(doc, h)
+            order = np.lexsort((number, context, key))
+            number, key, context, place = number[order], key[order], context[order], place[order]
+            head = np.append(True, (key[1:] != key[:-1]) | (context[1:] != context[:-1]))[: len(number)]
+            later = number != number[np.nonzero(head)[0][np.cumsum(head) - 1]] if len(number) else head
             left, right = (place >> 8) & 255, place & 255
-            spans.append(merged_spans(doc[later], ((place >> 16) - left)[later], ((place >> 16) + right)[later]))
-            yield pa.RecordBatch.from_arrays([pa.array(x[head]) for x in (key, context, doc, place)], names)
-            d, s, e = (np.concatenate(x).astype(np.int64) for x in zip(*spans))
+            of, s, e = merged_spans(number[later], ((place >> 16) - left)[later], ((place >> 16) + right)[later])
+            spans.append((docs[of], hashes[of], s, e))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[head], context[head], docs[number[head]], hashes[number[head]], place[head])], names)
+            d, h, s, e = (np.concatenate(x).astype(np.int64) for x in zip(*spans))
             spans.clear()
             if len(d):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(d), pa.int64()), pa.array(s), pa.array(d), pa.array(e)], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(d), pa.int64()), pa.array(s), pa.array(d), pa.array(h), pa.array(e)], names)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 data = text.as_py().encode("utf-8", "surrogatepass")
                 if len(data) < LENGTH:
                     continue
                 name = hashlib.blake2b(data, digest_size=16).digest()
                 # A whole copy of a document that this task has met under a smaller id is covered as a whole.
                 if (earlier := seen.get(name, doc)) < doc:
-                    spans.append(tuple(np.array([x], np.int64) for x in (doc, 0, len(data))))
+                    spans.append(tuple(np.array([x], np.int64) for x in (doc, h, 0, len(data))))
                     continue
                 if len(seen) > 500_000:
                     seen.clear()
                 seen[name] = doc
-                block.append((doc, data))
+                block.append((doc, h, data))
                 size += len(data)
                 if size >= BLOCK:
                     sample()
@@ -247,74 +260,79 @@ def sampled(docs: DataFrame) -> DataFrame:
         if held or spans:
             yield from flush()
 
-    return _rows(docs).mapInArrow(run, "key bigint, context bigint, doc bigint, place bigint")
+    return _rows(docs).mapInArrow(run, "key bigint, context bigint, doc bigint, h bigint, place bigint")
 
 
 def classed(found: DataFrame, segments: int) -> DataFrame:
-    """(doc, a, b, key): spans [a, b) covered by a class's first occurrence (null key), and the places a of firsts in groups of several classes."""
+    """(doc, h, a, b, key): spans [a, b) covered by a class's first occurrence (null key), and the places a of firsts in groups of several classes."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, context, doc, place = (table.column(n).to_numpy() for n in ("key", "context", "doc", "place"))
-        order = np.lexsort((doc, context, key))
-        key, context, doc, place = key[order], context[order], doc[order], place[order]
+        key, context, place = (table.column(n).to_numpy() for n in ("key", "context", "place"))
+        number, docs, hashes = numbered(table.column("doc").to_numpy(), table.column("h").to_numpy())
+        order = np.lexsort((number, context, key))
+        key, context, number, place = key[order], context[order], number[order], place[order]
         new_key = np.append(True, key[1:] != key[:-1])
         head = new_key | np.append(True, context[1:] != context[:-1])
         heads = np.nonzero(head)[0]
-        first = doc[heads[np.cumsum(head) - 1]]
-        later = doc != first
+        first = number[heads[np.cumsum(head) - 1]]
+        later = number != first
         pos, left, right = place >> 16, (place >> 8) & 255, place & 255
-        spans = merged_spans(doc[later], (pos - left)[later], (pos + right)[later])
+        spans = merged_spans(number[later], (pos - left)[later], (pos + right)[later])
         classes = np.bincount((np.cumsum(new_key) - 1)[heads])
         several = heads[(classes > 1)[(np.cumsum(new_key) - 1)[heads]]]
+        of = np.concatenate([spans[0], number[several]])
         return pa.table({
-            "doc": pa.array(np.concatenate([spans[0], doc[several]]).astype(np.int64)),
+            "doc": pa.array(docs[of]),
+            "h": pa.array(hashes[of]),
             "a": pa.array(np.concatenate([spans[1], place[several]]).astype(np.int64)),
             "b": pa.array(np.concatenate([spans[2], np.zeros(len(several), np.int64)]).astype(np.int64)),
             "key": pa.concat_arrays([pa.nulls(len(spans[0]), pa.int64()), pa.array(key[several])]),
         })
 
     dealt = found.withColumn("segment", F.pmod("key", F.lit(segments)).cast("int"))
-    return dealt.groupBy("segment").applyInArrow(run, "doc bigint, a bigint, b bigint, key bigint")
+    return dealt.groupBy("segment").applyInArrow(run, "doc bigint, h bigint, a bigint, b bigint, key bigint")
 
 
 def contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(key, doc, pos, left, right) for asked (doc, a, key): what precedes the anchor, backwards, and what follows from it on."""
-    wanted = asked.groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("a", "key")).alias("asked"))
-    met = _rows(docs).join(wanted, F.col("doc") == F.col("d")).select("doc", "text", "asked")
+    """(key, doc, h, pos, left, right) for asked (doc, h, a, key): what precedes the anchor, backwards, and what follows from it on."""
+    wanted = asked.groupBy(F.col("doc").alias("d"), F.col("h").alias("k")).agg(F.collect_list(F.struct("a", "key")).alias("asked"))
+    met = _rows(docs).join(wanted, (F.col("doc") == F.col("d")) & (F.col("h") == F.col("k"))).select("doc", "h", "text", "asked")
 
     def run(batches):
         for whole in batches:
             for batch in (whole.slice(i, 200) for i in range(0, len(whole), 200)):
-                key, doc, at, before, after = [], [], [], [], []
-                for d, text, want in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                key, doc, h, at, before, after = [], [], [], [], [], []
+                for d, k, text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                     data = text.as_py().encode("utf-8", "surrogatepass")
                     for x in want.as_py():
                         place = x["a"]
                         pos, left, right = place >> 16, (place >> 8) & 255, place & 255
                         key.append(x["key"])
                         doc.append(d)
+                        h.append(k)
                         at.append(pos)
                         before.append(data[pos - left : pos][::-1])
                         after.append(data[pos : pos + right])
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["key", "doc", "pos", "left", "right"])
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(h, pa.int64()), pa.array(at, pa.int64()), pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["key", "doc", "h", "pos", "left", "right"])
 
-    return met.mapInArrow(run, "key bigint, doc bigint, pos bigint, left binary, right binary")
+    return met.mapInArrow(run, "key bigint, doc bigint, h bigint, pos bigint, left binary, right binary")
 
 
 def repeated(found: DataFrame, segments: int) -> DataFrame:
-    """(doc, a, b): the spans of all occurrences but the earliest of every maximal repeat."""
+    """(doc, h, a, b): the spans of all occurrences but the earliest of every maximal repeat."""
 
     def run(table: pa.Table) -> pa.Table:
         key = table.column("key").to_numpy()
-        doc, pos = table.column("doc").to_numpy(), table.column("pos").to_numpy()
-        order = np.lexsort((pos, doc, key))
+        number, docs, hashes = numbered(table.column("doc").to_numpy(), table.column("h").to_numpy())
+        pos = table.column("pos").to_numpy()
+        order = np.lexsort((pos, number, key))
         lefts, rights = table.column("left").to_pylist(), table.column("right").to_pylist()
         cuts = np.nonzero(np.append(True, key[order][1:] != key[order][:-1]))[0].tolist()
         out: list[tuple[int, int, int]] = []
         for head, tail in zip(cuts, [*cuts[1:], len(order)]):
             own = order[head:tail].tolist()
-            places = list(zip(doc[own].tolist(), pos[own].tolist()))
-            # Members are numbered by (doc, pos), so the least number is the earliest occurrence. Of a member's
+            places = list(zip(number[own].tolist(), pos[own].tolist()))
+            # Members are numbered by (doc, h, pos), so the least number is the earliest occurrence. Of a member's
             # spans only the farthest left extent for each right one is kept: no more than LENGTH of them.
             widest: list[dict[int, int]] = [{} for _ in own]
             for left, right, members in maximal_repeats([rights[i] for i in own], [lefts[i] for i in own]):
@@ -325,21 +343,21 @@ def repeated(found: DataFrame, segments: int) -> DataFrame:
             out.extend((places[i][0], places[i][1] - left, places[i][1] + right) for i, own_spans in enumerate(widest) for right, left in own_spans.items())
         d, s, e = (np.array(x, np.int64) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
         d, s, e = merged_spans(d, s, e)
-        return pa.table({"doc": pa.array(d.astype(np.int64)), "a": pa.array(s.astype(np.int64)), "b": pa.array(e.astype(np.int64))})
+        return pa.table({"doc": pa.array(docs[d]), "h": pa.array(hashes[d]), "a": pa.array(s.astype(np.int64)), "b": pa.array(e.astype(np.int64))})
 
-    return found.withColumn("segment", F.pmod("key", F.lit(segments)).cast("int")).groupBy("segment").applyInArrow(run, "doc bigint, a bigint, b bigint")
+    return found.withColumn("segment", F.pmod("key", F.lit(segments)).cast("int")).groupBy("segment").applyInArrow(run, "doc bigint, h bigint, a bigint, b bigint")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc, a, b): spans of bytes to remove, in UTF-8 of each text; null doc_ids are LAST_ID."""
+    """(doc, h, a, b): spans of bytes to remove, in UTF-8 of each text; null doc_ids are LAST_ID."""
     size = _rows(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     segments = max(1, size // SEGMENT)
     found = sampled(docs)
     grouped = written(classed(found.where("key is not null"), segments), "classes")
-    inner = written(found.where("key is null").select("doc", F.col("context").alias("a"), F.col("place").alias("b")), "inner")
+    inner = written(found.where("key is null").select("doc", "h", F.col("context").alias("a"), F.col("place").alias("b")), "inner")
     asked = grouped.where("key is not null")
     tree = written(repeated(contexts(docs, asked), segments), "repeats")
-    return grouped.where("key is null").select("doc", "a", "b").unionByName(inner).unionByName(tree)
+    return grouped.where("key is null").select("doc", "h", "a", "b").unionByName(inner).unionByName(tree)
 
 
 def joined_runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -355,9 +373,9 @@ def joined_runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept): every row with its removed runs of bytes and the bytes that are left."""
-    spans = repeated_spans(docs).groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("a", "b")).alias("gone"))
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("doc"), text_of().alias("text"))
-    met = rows.join(spans, F.col("doc") == F.col("d"), "left").select("doc_id", "text", "gone")
+    spans = repeated_spans(docs).groupBy(F.col("doc").alias("d"), F.col("h").alias("k")).agg(F.collect_list(F.struct("a", "b")).alias("gone"))
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
+    met = rows.join(spans, (F.col("doc") == F.col("d")) & (F.col("h") == F.col("k")), "left").select("doc_id", "text", "gone")
 
     def run(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

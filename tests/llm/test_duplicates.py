@@ -159,3 +159,18 @@ def test_representatives_tell_rows_of_one_id_apart(spark):
     assert len(worded) == 5
     assert sum(x in ((None, text("c")), (None, text("c", 59))) for x in worded) == 1
     assert sum(x in ((5, text("e")), (5, text("e", 0))) for x in worded) == 1
+
+
+@pytest.mark.parametrize("block", [250_000, 1_000])
+def test_suffixes_tell_texts_of_one_id_apart(spark, monkeypatch, block):
+    monkeypatch.setattr(suffixes, "BLOCK", block)
+    monkeypatch.setattr(suffixes, "SEGMENT", 10_000)
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("ab cé") for _ in range(n))
+    passage, other = text(300), text(200)
+    rows = [(None, passage + text(500)), (None, text(90) + passage + text(200)), (None, text(700)), (7, text(50) + other), (7, other + text(60)), (7, text(400)), (8, other + passage)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = suffixes.without_repeats(frame).collect()
+    # Of one id the text of the least hash comes first.
+    order = [(r["doc_id"], r["text"]) for r in frame.selectExpr("*", "xxhash64(text) AS h").orderBy("doc_id", "h").collect()]
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in got) == removed_bytes(order)
