@@ -61,20 +61,35 @@ def first_parents(commits: DataFrame, head: int, limit: int) -> DataFrame:
     return commits.sparkSession.sql(f"WITH RECURSIVE walk(n, step) AS (SELECT n, 1 FROM {view} WHERE n = {head} UNION ALL SELECT c.first_parent, w.step + 1 FROM walk w JOIN {view} c ON c.n = w.n WHERE c.first_parent IS NOT NULL AND w.step < {limit}) SELECT w.step, c.n, c.summary FROM walk w JOIN {view} c ON c.n = w.n")
 
 
-def merge_base(commits: DataFrame, a: int, b: int) -> DataFrame:
-    """The latest commit that both histories hold: ancestors grow from each tip until nothing is new."""
-    edges = written(commits.select("n", F.explode(F.array_compact(F.array("first_parent", "second_parent"))).alias("p")), "edges")
-
-    def above(tip: int) -> DataFrame:
-        found, new = None, commits.where(F.col("n") == tip).select("n")
-        while True:
-            new = written(new, "reached")
-            if new.isEmpty():
-                return found
-            found = new if found is None else found.unionByName(new)
-            new = new.join(edges, "n").select(F.col("p").alias("n")).distinct().join(found, "n", "left_anti")
-
-    return above(a).join(above(b), "n").agg(F.max("n").alias("base"))
+def merge_base(commits: DataFrame, a: int, b: int, step: int = 20_000) -> DataFrame:
+    """The latest commit that both histories hold, null if there is none.
+
+    Commits are numbered after their parents, so both histories are walked
+    together from the latest commit down, ``step`` numbers at a time: the
+    first one that both reach is the base.
+    """
+    held = written(commits.select("n", "first_parent", "second_parent"), "edges")
+    # For each commit that is reached but not yet visited, by which tips.
+    open_: dict[int, set[int]] = {}
+    for side, tip in enumerate((a, b)):
+        open_.setdefault(tip, set()).add(side)
+    base = None
+    while open_ and base is None:
+        top = max(open_)
+        rows = {r["n"]: (r["first_parent"], r["second_parent"]) for r in held.where(F.col("n").between(top - step + 1, top)).collect()}
+        for n in range(top, top - step, -1):
+            sides = open_.pop(n, set())
+            if n not in rows or not sides:
+                continue
+            if len(sides) == 2:
+                base = n
+                break
+            for parent in rows[n]:
+                if parent is not None:
+                    if parent >= n:
+                        raise ValueError(f"commit {n} is not numbered after its parent {parent}")
+                    open_.setdefault(parent, set()).update(sides)
+    return commits.sparkSession.createDataFrame([(base,)], "base bigint")
 
 
 def myers(before: list[str], after: list[str]) -> list[tuple[str, str]]:

@@ -73,8 +73,17 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return before, after
 
 
+#: Order keys that are numbered together.
+KEYS = 20_000
+
+
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 400 orders as a history: each follows the one before, every tenth also merges the one five before."""
-    orders = table(spark, sf_dir, "orders").where("o_orderkey <= 400")
-    n = F.row_number().over(Window.orderBy("o_orderkey"))
-    return orders.select(n.cast("bigint").alias("n"), F.col("o_orderpriority").alias("summary")).select("n", "summary", F.when(F.col("n") > 1, F.col("n") - 1).alias("first_parent"), F.when((F.col("n") % 10 == 0) & (F.col("n") > 5), F.col("n") - 5).alias("second_parent"))
+    """All orders as a history: each follows the one before, every tenth also merges the one five before."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.floor(F.col("o_orderkey") / KEYS).alias("bucket"))
+    # One row for KEYS keys passes the window that is not partitioned.
+    before = F.coalesce(F.sum("count").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = orders.groupBy("bucket").count().select("bucket", before.alias("before"))
+    n = F.row_number().over(Window.partitionBy("bucket").orderBy("o_orderkey"))
+    numbered = orders.withColumn("i", n).join(offsets, "bucket").select((F.col("i") + F.col("before")).cast("bigint").alias("n"), F.col("o_orderpriority").alias("summary"))
+    n = F.col("n")
+    return numbered.select("n", "summary", F.when(n > 1, n - 1).alias("first_parent"), F.when((n % 10 == 0) & (n > 5), n - 5).alias("second_parent"))

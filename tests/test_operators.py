@@ -152,3 +152,33 @@ def test_complexity():
 def test_function_parts():
     text = "fn f() {\n    let a = 1;\n    for x in y {}\n\n    // note\n    a\n}\n"
     assert [k for k, *_ in code.function_parts(text, "Rust")] == ["FunctionSignature", "CodeParagraph", "comment", "CodeParagraph"]
+
+
+def test_history_holds_all_orders(spark, sf, monkeypatch):
+    from marginalia.operators import diff
+    from marginalia.sources import views
+
+    monkeypatch.setattr(views, "KEYS", 100)
+    orders = sorted((r["o_orderkey"], r["o_orderpriority"]) for r in views.table(spark, sf, "orders").collect())
+    commits = views.commits(spark, sf)
+    rows = sorted(tuple(r) for r in commits.collect())
+    assert rows == [(n, p, n - 1 if n > 1 else None, n - 5 if n % 10 == 0 else None) for n, (_, p) in enumerate(orders, 1)]
+    last = len(rows)
+    log = diff.first_parents(commits, last, 8).collect()
+    assert sorted((r["step"], r["n"], r["summary"]) for r in log) == [(i + 1, last - i, rows[last - i - 1][1]) for i in range(8)]
+    # A second history leaves the first one after its first commit, so the base lies at the far end.
+    side = [(last + i, "s", 1 if i == 1 else last + i - 1, None) for i in range(1, 50)]
+    both = spark.createDataFrame([*rows, *side], commits.schema)
+    parents = {n: [p for p in (a, b) if p] for n, _, a, b in [*rows, *side]}
+
+    def above(tip):
+        seen, todo = set(), [tip]
+        while todo:
+            if (n := todo.pop()) not in seen:
+                seen.add(n)
+                todo += parents[n]
+        return seen
+
+    for a, b in ((last, last - 3), (last, last + 49), (12, 9), (last + 20, last + 49)):
+        assert diff.merge_base(both, a, b, 300).first()["base"] == max(above(a) & above(b))
+    assert diff.merge_base(both.where("n <> 1"), last, last + 49, 300).first()["base"] is None
