@@ -39,7 +39,7 @@ BASE = {
 }
 #: Generators of candidates.
 GENERATORS = {
-    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,256}+(?![A-Za-z0-9_+/=-])",
+    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+(?![A-Za-z0-9_+/=-])",
     "number": r"(?<![0-9A-Za-z+(.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{2,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z-])",
 }
 #: A character that each pattern can't match without: texts without it are not scanned.
@@ -146,8 +146,8 @@ def _word(rng: random.Random) -> str:
 
 def _secret(rng: random.Random) -> tuple[str, str, str, int]:
     name = rng.choice(["token", "api_key", "secret", "password", "auth key", "access token", "client_secret"])
-    random_text = "".join(rng.choice(rng.choice(["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"])) for _ in range(rng.choice([20, 24, 32, 40, 64])))
-    hexadecimal = "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([32, 40, 64])))
+    random_text = "".join(rng.choice(rng.choice(["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"])) for _ in range(rng.choice([20, 24, 32, 40, 64, 300, 1000])))
+    hexadecimal = "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([32, 40, 64, 512])))
     kind = rng.randrange(8)
     if kind < 3:
         return rng.choice([random_text, hexadecimal]), f"{_word(rng)} {name}{rng.choice([' = ', ': ', '='])}{rng.choice(['', chr(34)])}", rng.choice(['"', " ", ""]), 1

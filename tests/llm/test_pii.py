@@ -72,3 +72,13 @@ def test_long_runs_take_linear_time(spark):
 def test_empty(empty):
     assert pii.redacted(empty).count() == 0
     assert pii.detected(empty).agg(F.count("*")).first()[0] == 0
+
+
+def test_long_secrets_are_found_whole(spark):
+    import random
+
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(rng.choice(letters) for _ in range(n)) for n in (64, 256, 257, 400, 1_700, 20_000)]
+    frame = spark.createDataFrame([(i, f'The token = "{k}" here') for i, k in enumerate(keys)], "doc_id bigint, text string")
+    assert [r["redacted"] for r in pii.redacted(frame).orderBy("doc_id").collect()] == ['The token = "[secret]" here'] * len(keys)
