@@ -10,6 +10,8 @@ def session(spark, tmp_path):
     run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), *a], check=True, capture_output=True)
     run("init", "-q", "-b", "main")
     run("config", "user.email", "a@b")
+    run("config", "user.name", "a")
+    run("config", "commit.gpgsign", "false")
     (tmp_path / "src").mkdir()
     (tmp_path / "src" / "lib.py").write_text("import os\n\n\ndef f():\n    return 1\n")
     (tmp_path / "notes.txt").write_text("One. Two.\n\nThree.\n")

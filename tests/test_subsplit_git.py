@@ -28,6 +28,8 @@ def test_repository(spark, tmp_path):
     run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), *a], check=True, capture_output=True)
     run("init", "-q", "-b", "main")
     run("config", "user.email", "a@b")
+    run("config", "user.name", "a")
+    run("config", "commit.gpgsign", "false")
     (tmp_path / "a.txt").write_text("a\n")
     run("add", "-A")
     run("commit", "-qm", "one")
