@@ -9,8 +9,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -67,18 +65,24 @@ class Boosted:
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.scale * self.odds(x) + self.shift)))
 
-    def column(self, features: list[Column]) -> Column:
-        """The calibrated probability over feature columns."""
+    def used(self) -> list[int]:
+        """The features that some tree asks for."""
 
-        def of(node: Node) -> Column:
+        def below(node: Node) -> set[int]:
+            return set() if node.feature < 0 else {node.feature} | below(node.left) | below(node.right)
+
+        return sorted(set().union(*map(below, self.trees)))
+
+    def sql(self, at: str) -> str:
+        """The calibrated probability as SQL over the fields f0, f1 ... of ``at``: one nested CASE a tree."""
+
+        def of(node: Node) -> str:
             if node.feature < 0:
-                return F.lit(node.value)
-            return F.when(features[node.feature] <= node.limit, of(node.left)).otherwise(of(node.right))
+                return f"{node.value!r}D"
+            return f"CASE WHEN {at}.f{node.feature} <= {node.limit!r}D THEN {of(node.left)} ELSE {of(node.right)} END"
 
-        total = F.lit(self.start)
-        for tree in self.trees:
-            total = total + of(tree)
-        return 1 / (1 + F.exp(-(F.lit(self.scale) * total + F.lit(self.shift))))
+        total = " + ".join([f"{self.start!r}D", *map(of, self.trees)])
+        return f"1 / (1 + exp(-({self.scale!r}D * ({total}) + {self.shift!r}D)))"
 
 
 def boosted(x: np.ndarray, y: np.ndarray, rounds: int = 20, depth: int = 3, rate: float = 0.3, ridge: float = 1.0, least: int = 10) -> Boosted:
