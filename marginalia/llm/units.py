@@ -1,23 +1,30 @@
-"""Substring dedup by hashing of units: parts of lines up to a sentence's end.
+"""Substring dedup by hashing of passages: runs of sentences, lines or paragraphs.
 
 A text is cut without loss after every run of full stops, question and
 exclamation marks and line ends. A unit is normalised (A-Z lower-cased, white
-space at its ends dropped and between words made one space) and hashed to 128
-bits; units of at least MIN_WORDS words are grouped by digest over the whole
-table. The earliest occurrence, by doc_id and then place, stays; all others
-are removed, with their spans in the original text (code points, end
-exclusive) reported.
+space at its ends dropped and between words made one space). A passage is a
+shortest run of units with PASSAGE words or more: for each unit with words the
+run that starts at it, and the run that ends at it. So every line, paragraph
+or part of one of that length is made of passages, short units inside it
+included, while a short line that many texts share is left to line dedup. A
+text of fewer words is one passage. Passages are hashed to 128 bits and
+grouped by digest over the whole table. The earliest occurrence, by doc_id and
+then place, stays; the units of all others are removed, with the spans of
+their runs in the original text (code points, end exclusive) reported.
+Occurrences may overlap. Every removed unit has an equal one earlier.
 
 Defined cases: a null text has no units and stays null; null doc_ids rank
 after all others; rows that share a doc_id rank alike, so each of them keeps
-its own first occurrence of a unit that is first there. Other columns play no
-part. An empty table gives an empty table.
+its own first occurrence of a passage that is first there. Other columns play
+no part. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,28 +34,48 @@ from marginalia.llm.common import LOWER_AZ, SPACE, WORD, documents, written
 
 #: Fixed value: the pattern of a unit; matches follow one another without a gap.
 UNIT = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
-MIN_WORDS = 5
+#: Words of a passage: half of the 50 that a repeat should have to be worth removing, since its ends run into sentences around it.
+PASSAGE = 25
 LAST_ID = 2**63 - 1
 
 
-def digests(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of the units of at least ``min_words`` words."""
+def units_of(text: str) -> tuple[list[tuple[int, int]], list[list[bytes]]]:
+    """The spans of the units and their normalised words."""
+    found = list(re.finditer(UNIT, text))
+    return [m.span() for m in found], [m.group().encode("utf-8", "surrogatepass").translate(LOWER_AZ).split() for m in found]
+
+
+def passages(words: list[list[bytes]], least: int = PASSAGE) -> list[tuple[int, int, bytes]]:
+    """(first unit, last unit, digest) of every passage, in order."""
+    upto = list(accumulate(map(len, words)))
+    total = upto[-1] if upto else 0
+    if not total:
+        return []
+    before = [0, *upto[:-1]]
+    own = [i for i, w in enumerate(words) if w]
+    if total < least:
+        runs = {(own[0], own[-1])}
+    else:
+        runs = {(i, bisect_left(upto, before[i] + least)) for i in own if total - before[i] >= least}
+        runs |= {(bisect_right(before, upto[j] - least) - 1, j) for j in own if upto[j] >= least}
+    every = [x for w in words for x in w]
+    ends = list(accumulate(len(x) + 1 for x in every))
+    joined = b" ".join(every)
     out = []
-    for m in re.finditer(UNIT, text):
-        words = m.group().encode("utf-8", "surrogatepass").translate(LOWER_AZ).split()
-        if len(words) >= min_words:
-            out.append((m.start(), m.end(), hashlib.blake2b(b" ".join(words), digest_size=16).digest()))
+    for i, j in sorted(runs):
+        start = ends[before[i] - 1] if before[i] else 0
+        out.append((i, j, hashlib.blake2b(joined[start : ends[upto[j] - 1] - 1], digest_size=16).digest()))
     return out
 
 
-def first_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+def first_documents(docs: DataFrame, least: int = PASSAGE) -> tuple[DataFrame, DataFrame]:
     """Distinct (a, b, doc_id, h) of all rows, and (a, b, first) for digests that more than one doc_id has."""
 
     def run(batches):
         for batch in batches:
             a, b, ids, keys = [], [], [], []
             for doc, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                found = {x for *_, x in digests(text.as_py(), min_words)}
+                found = {x for *_, x in passages(units_of(text.as_py())[1], least)}
                 a += [int.from_bytes(x[:8], "little", signed=True) for x in found]
                 b += [int.from_bytes(x[8:], "little", signed=True) for x in found]
                 ids += [doc] * len(found)
@@ -56,15 +83,27 @@ def first_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFr
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, ids, keys)], ["a", "b", "doc_id", "h"])
 
     rows = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    units = rows.mapInArrow(run, "a bigint, b bigint, doc_id bigint, h bigint")
-    firsts = units.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).select("a", "b", "first")
-    return units, firsts
+    # Written, so that the join below doesn't hash all texts again.
+    found = written(rows.mapInArrow(run, "a bigint, b bigint, doc_id bigint, h bigint"), "passages")
+    firsts = found.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).select("a", "b", "first")
+    return found, firsts
+
+
+def runs_of(units: list[int], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans of consecutive units, joined."""
+    out: list[tuple[int, int]] = []
+    for i in units:
+        if out and out[-1][1] == spans[i][0]:
+            out[-1] = (out[-1][0], spans[i][1])
+        else:
+            out.append(spans[i])
+    return out
 
 
-def removed(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def removed(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
     """(doc_id, text, n_units, n_removed, removed, kept): every row with its removed spans and the text that is left."""
-    units, firsts = first_documents(docs, min_words)
-    later = units.join(firsts, ["a", "b"]).where(F.col("doc_id") > F.col("first"))
+    found, firsts = first_documents(docs, least)
+    later = found.join(firsts, ["a", "b"]).where(F.col("doc_id") > F.col("first"))
     gone = later.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("k")).agg(F.collect_list(F.struct("a", "b")).alias("gone"))
     rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("d1"), F.xxhash64("text").alias("k1"))
     met = rows.join(gone, (F.col("d1") == F.col("d")) & (F.col("k1") == F.col("k")), "left").select("doc_id", "text", "gone")
@@ -79,17 +118,18 @@ def removed(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     out.append((0, 0, "", None))
                     continue
                 bad = {x["a"].to_bytes(8, "little", signed=True) + x["b"].to_bytes(8, "little", signed=True) for x in gone.as_py() or ()}
-                own, spans, n = set(), [], 0
-                for start, end, digest in digests(text, min_words):
-                    n += 1
+                spans, words = units_of(text)
+                own, units = set(), set()
+                for i, j, digest in passages(words, least):
                     if digest in bad or digest in own:
-                        spans.append((start, end))
+                        units.update(range(i, j + 1))
                     own.add(digest)
+                runs = runs_of(sorted(units), spans)
                 kept, at = [], 0
-                for start, end in spans:
+                for start, end in runs:
                     kept.append(text[at:start])
                     at = end
-                out.append((n, len(spans), ",".join(f"{s}:{e}" for s, e in spans), "".join([*kept, text[at:]])))
+                out.append((len(spans), len(units), ",".join(f"{s}:{e}" for s, e in runs), "".join([*kept, text[at:]])))
             columns = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string())))], ["doc_id", "text", *names])
 
@@ -105,21 +145,31 @@ OP5_SQL = rf"""
 WITH cut AS (SELECT doc_id, text, regexp_extract_all(text, '{UNIT}') AS u FROM documents),
 units AS (SELECT doc_id, i, u[i] AS unit FROM (SELECT doc_id, u, unnest(generate_series(1, len(u))) AS i FROM cut)),
 placed AS (
-  SELECT doc_id, i, unit, coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s,
-         translate(trim(regexp_replace(unit, '[{SPACE}]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm,
-         len(regexp_extract_all(unit, '{WORD}')) >= {MIN_WORDS} AS counts
+  SELECT doc_id, i, unit, len(regexp_extract_all(unit, '{WORD}')) AS w,
+         coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s,
+         translate(trim(regexp_replace(unit, '[{SPACE}]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
   FROM units
 ),
-ranked AS (
-  SELECT *, counts AND row_number() OVER (PARTITION BY norm, counts ORDER BY doc_id, i) > 1 AS gone FROM placed
+summed AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS c FROM placed),
+whole AS (
+  SELECT doc_id, list(c ORDER BY i) AS cs, list(c - w ORDER BY i) AS bs, list(norm ORDER BY i) AS norms, sum(w) AS total,
+         min(i) FILTER (w > 0) AS head, max(i) FILTER (w > 0) AS tail
+  FROM summed GROUP BY doc_id
+),
+runs AS (
+  SELECT doc_id, i, list_position(list_transform(cs, lambda x: x >= c - w + {PASSAGE}), true) AS j FROM summed JOIN whole USING (doc_id) WHERE w > 0 AND total - c + w >= {PASSAGE}
+  UNION SELECT doc_id, len(list_filter(bs, lambda x: x <= c - {PASSAGE})) AS i, i AS j FROM summed JOIN whole USING (doc_id) WHERE w > 0 AND c >= {PASSAGE}
+  UNION SELECT doc_id, head, tail FROM whole WHERE total BETWEEN 1 AND {PASSAGE} - 1
 ),
+named AS (SELECT doc_id, i, j, array_to_string(list_filter(norms[i:j], lambda x: x <> ''), ' ') AS passage FROM runs JOIN whole USING (doc_id)),
+later AS (SELECT doc_id, i, j FROM (SELECT *, row_number() OVER (PARTITION BY passage ORDER BY doc_id, i) AS n FROM named) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(generate_series(i, j)) AS i FROM later)),
+islands AS (SELECT doc_id, min(s) AS a, max(s + length(unit)) AS b FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM gone JOIN placed USING (doc_id, i)) GROUP BY doc_id, island),
 put AS (
-  SELECT doc_id, count(*) FILTER (counts) AS n_units, count(*) FILTER (gone) AS n_removed,
-         coalesce(string_agg(CASE WHEN gone THEN s || ':' || (s + length(unit)) END, ',' ORDER BY i), '') AS removed,
-         coalesce(string_agg(CASE WHEN gone THEN '' ELSE unit END, '' ORDER BY i), '') AS kept
-  FROM ranked GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_units, count(g.i) AS n_removed, coalesce(string_agg(CASE WHEN g.i IS NULL THEN unit ELSE '' END, '' ORDER BY p.i), '') AS kept
+  FROM placed p LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id
 )
-SELECT d.doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed,
+SELECT d.doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(r.removed, '') AS removed,
        length(coalesce(kept, text))::BIGINT AS n_kept, sha256(coalesce(kept, text)) AS kept_sha256
-FROM documents d LEFT JOIN put USING (doc_id)
+FROM documents d LEFT JOIN put USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS removed FROM islands GROUP BY doc_id) r USING (doc_id)
 """

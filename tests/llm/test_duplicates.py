@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -7,6 +8,8 @@ import pytest
 from marginalia.llm import jaccard, suffixes, units
 from marginalia.llm.common import words_of
 
+from .conftest import LONG, ROWS
+
 
 def shingles(text, width):
     w = words_of(text)
@@ -133,11 +136,62 @@ def test_interval_tree_lists_all_occurrences():
     assert sorted((left, right, sorted(m)) for left, right, m in found) == [(0, 2, [0, 1, 2]), (1, 2, [0, 1]), (1, 3, [0, 1])]
 
 
+def removed_units(rows, least):
+    """Brute force: every run of units that is shortest with ``least`` words, from its first unit or to its last, against all earlier ones."""
+    seen, out = set(), {}
+    for doc, text in rows:
+        spans = [m.span() for m in re.finditer(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+", text)]
+        words = [words_of(text[s:e]) for s, e in spans]
+        count = lambda i, j: sum(map(len, words[i : j + 1]))
+        gone, n = set(), len(spans)
+        for i in range(n):
+            for j in range(i, n):
+                if not words[i] or not words[j]:
+                    continue
+                enough = count(i, j) >= least and (count(i, j - 1) < least or count(i + 1, j) < least)
+                whole = count(0, n - 1) < least and count(i, j) == count(0, n - 1)
+                if enough or whole:
+                    name = tuple(w for u in words[i : j + 1] for w in u)
+                    if name in seen:
+                        gone.update(range(i, j + 1))
+                    seen.add(name)
+        out[doc] = "".join(text[s:e] for i, (s, e) in enumerate(spans) if i not in gone)
+    return out
+
+
+@pytest.mark.parametrize("least", [5, 12])
+def test_passages_equal_brute_force(spark, least):
+    rng = random.Random(8)
+    sentence = lambda: " ".join(rng.choice("abcd") + rng.choice(["", "é"]) for _ in range(rng.randrange(0, 6))) + rng.choice([". ", "\n", "!? ", "... "])
+    pool = [sentence() for _ in range(30)]
+    rows = []
+    for i in range(40):
+        text = "".join(rng.choice(pool) if rng.random() < 0.4 else sentence() for _ in range(rng.randrange(0, 25)))
+        if rows and rng.random() < 0.4:
+            other = rng.choice(rows)[1]
+            text = text + other[rng.randrange(len(other) + 1) :]
+        rows.append((i, text))
+    got = {r["doc_id"]: r["kept"] for r in units.removed(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), least).collect()}
+    assert got == removed_units(rows, least)
+
+
 def test_units(spark, edge, empty):
-    rows = [(1, "One two three four five. Six."), (2, "x. ONE  two three four five. Tail of its own kind here"), (3, "Tail of its own kind here! Tail of its own kind here!"), (4, None), (5, "a b c d")]
-    got = {r["doc_id"]: (r["n_units"], r["removed"], r["kept"]) for r in units.removed(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert got == {1: (1, "", rows[0][1]), 2: (2, "2:28", "x. Tail of its own kind here"), 3: (2, "26:53", rows[2][1][:26]), 4: (0, "", None), 5: (0, "", "a b c d")}
-    assert units.removed(edge).count() == edge.count()
+    passage = "One two three four five. " * 2 + "Six. Seven eight! " + " ".join(f"w{i}" for i in range(16)) + ". "
+    short = "".join(f"ab{i} cd{i}. " for i in range(30))
+    rows = [
+        (1, "Start here. " + passage + "End."), (2, "x. " + passage.upper() + "Tail."), (3, "Other words. Six. One two three four five. Tail."),
+        (4, None), (5, "a b c d"), (6, "a  B c d"), (7, short), (8, "New. " + short + "Old."), (9, ""),
+    ]
+    got = {r["doc_id"]: (r["n_units"], r["n_removed"], r["removed"], r["kept"]) for r in units.removed(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {
+        1: (7, 0, "", rows[0][1]), 2: got[2], 3: (4, 0, "", rows[2][1]),
+        4: (0, 0, "", None), 5: (1, 0, "", "a b c d"), 6: (1, 1, "0:8", ""), 7: (31, 0, "", short), 8: got[8], 9: (0, 0, "", ""),
+    }
+    assert got[2][3].split() == ["x.", "Tail."] and got[8][3].split() == ["New.", "Old."]
+    found = {(r["doc_id"], r["text"]): (r["n_removed"], r["kept"]) for r in units.removed(edge).collect()}
+    assert len(found) == edge.select("doc_id", "text").distinct().count() and units.removed(edge).count() == edge.count()
+    assert found[(1, ROWS[0][1])] == (0, ROWS[0][1]) and found[(2, ROWS[0][1])][1] == "" and found[(3, None)] == (0, None) and found[(4, "")] == (0, "")
+    assert found[(6, LONG)] == (0, LONG) and found[(None, ROWS[7][1])][1] == "" and found[(8, ROWS[7][1])][0] == 0
     assert units.removed(empty).count() == 0
 
 
