@@ -8,19 +8,24 @@ within the limit of it can have another nearest pivot, but not beyond its
 first n - ceil(similarity * n) + 1 shingles: that window is where boundary
 documents are replicated to. (Document pivots can't take this place: unrelated
 texts all lie at distance 1 from all of them, so windows would replicate
-everything everywhere.) The order puts shingles that some task meets often
-last, so what many documents share parts no region; any order gives the same
-result.
+everything everywhere.) The order puts shingles that many documents hold last,
+by counts over the whole table, so what many share parts no region; any order
+gives the same result.
 
 Within a region of at most REGION documents, two are compared only if their
 sizes and then the counts of their shingles in slots, a projection that does
 not increase the distance, allow it. What passes is verified on the whole
 sets, each sent once to each unit of connected candidates. Larger regions that
-reach one another are a family, joined recursively in pairs of blocks: there
-documents are pivots in turn, distances to earlier pivots exclude others by
-the triangle inequality, and sets that are connected already are not compared
-again, so a large group of near copies costs links in proportion to its size.
-Links form components, found by label propagation with pointer jumping.
+reach one another are a family and joined recursively: pivot documents part it
+into Voronoi cells, a document is a guest in each later cell whose pivot is
+within twice the limit of its nearest one, and cells that are still large are
+parted again. Documents that pivots connect are a group; cells of one group
+end, since all their links are implied, so a large group of near copies costs
+its size times its pivots. What no window parts (cells whose documents are all
+about as far from all pivots) is compared in blocks, again by pivots, distance
+bounds and groups; there the work is the cell's size times the number of its
+documents outside the largest group. Links form components, found by label
+propagation with pointer jumping.
 
 Equal sets are one node from the first step on, so groups of exact copies
 cost as much as one document.
@@ -34,6 +39,8 @@ and text are read. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -44,13 +51,19 @@ from marginalia.llm.common import WORD, WordHashes, documents, shingle_hashes, t
 
 SLOTS = 64
 REGION = 64
-BLOCK = 1_000
+#: A cell of more nodes is parted by pivots; HALF is what each side of a comparison of blocks aims at.
+BLOCK = 512
+HALF = 256
+#: Pivots of a large cell in each round, the rounds, and the most rows for one node that windows may make of a cell before it stays whole.
+PIVOTS = 32
+ROUNDS = 4
+SPREAD = 2
 #: A shingle met more than this often, counting tasks that meet it twice or more, is put last; at most so many are.
 OFTEN = 48
 LAST_AT_MOST = 1_000_000
 UNIT = 400
 #: Nodes aimed at for one task's share of units.
-PART = 2_000
+PART = 400
 #: Nodes that a task remembers to have emitted; forgetting one only repeats rows that are made distinct later.
 REMEMBERED = 500_000
 
@@ -60,13 +73,18 @@ def need(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def node_of(shingles: np.ndarray) -> int:
-    """A signed 64-bit name of a set, from all its hashes."""
+def names_of(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set, as two signed numbers: the first names it, the second tells sets of one first apart."""
     if not len(shingles):
-        return 0
-    import hashlib
+        return 0, 0
+    digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
 
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def node_of(shingles: np.ndarray, clashes: frozenset[int] = frozenset()) -> int:
+    """The name of a set: the first of its two numbers, or the second where different sets share the first."""
+    first, second = names_of(shingles)
+    return second if first in clashes else first
 
 
 def ordered(shingles: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -96,52 +114,65 @@ def _least():
     return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
 
 
-def surveyed(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (doc_id, h, n, node, null, slots) for documents and (null, null, count, null, shingle, null) for shingles that a task meets twice or more in different sets.
+def surveyed(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Rows (doc_id, h, n, node, check, null, slots) for documents and (null, null, count, null, null, shingle, null) for shingles.
 
-    Slot counts come with the first document of a node in each task.
+    Counts are of the different sets of a task, for every shingle that a task
+    meets twice or that stands in a window of hash order; so what crowds the
+    regions is counted over the whole table. Slot counts come with the first
+    document of a node in each task.
     """
-    names = ["doc_id", "h", "n", "node", "shingle", "slots"]
+    names = ["doc_id", "h", "n", "node", "check", "shingle", "slots"]
 
     def run(batches):
-        hashes, seen, held, size = WordHashes(), set(), [], 0
+        hashes, seen, held, windows, size = WordHashes(), set(), [], [], 0
         out: list[tuple] = []
 
         def tally():
             if held:
                 value, count = np.unique(np.concatenate(held), return_counts=True)
                 keep = count > 1
-                yield pa.RecordBatch.from_arrays([pa.nulls(int(keep.sum()), pa.int64()), pa.nulls(int(keep.sum()), pa.int64()), pa.array(count[keep].astype(np.int64)), pa.nulls(int(keep.sum()), pa.int64()), pa.array(value[keep].view(np.int64)), pa.nulls(int(keep.sum()), pa.binary())], names)
+                if windows:
+                    keep[np.searchsorted(value, np.unique(np.concatenate(windows)))] = True
+                none = pa.nulls(int(keep.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(count[keep].astype(np.int64)), none, none, pa.array(value[keep].view(np.int64)), pa.nulls(len(none), pa.binary())], names)
 
         def flush():
-            doc, h, n, node, slots = zip(*out)
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(h, pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(len(doc), pa.int64()), pa.array(slots, pa.binary())], names)
+            doc, h, n, node, check, slots = zip(*out)
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (doc, h, n, node, check)), pa.nulls(len(doc), pa.int64()), pa.array(slots, pa.binary())], names)
 
         for (doc, h), text in _texts(batches):
             shingles = shingle_hashes(words_of(text), width, hashes)
-            node = node_of(shingles)
+            node, check = names_of(shingles)
             new = node not in seen and len(shingles) > 0
-            out.append((doc, h, len(shingles), node, slots_of(shingles) if new else None))
+            out.append((doc, h, len(shingles), node, check, slots_of(shingles) if new else None))
             if new:
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(node)
                 held.append(shingles)
+                if can_link(len(shingles), percent):
+                    windows.append(shingles[: len(shingles) - need(len(shingles), percent) + 1])
                 size += len(shingles)
             if len(out) >= 5000:
                 yield flush()
                 out = []
             if size >= 5_000_000:
                 yield from tally()
-                held, size = [], 0
+                held, windows, size = [], [], 0
         if out:
             yield flush()
         yield from tally()
 
-    return written(_keyed(docs).mapInArrow(run, "doc_id bigint, h bigint, n bigint, node bigint, shingle bigint, slots binary"), "survey")
+    return written(_keyed(docs).mapInArrow(run, "doc_id bigint, h bigint, n bigint, node bigint, check bigint, shingle bigint, slots binary"), "survey")
+
 
+def can_link(n: int, percent: int) -> bool:
+    """Whether a set of ``n`` can link with another one: n / (n + 1) has to reach the limit."""
+    return 100 * n >= percent * (n + 1)
 
-def regions(docs: DataFrame, width: int, percent: int, last: np.ndarray) -> DataFrame:
+
+def regions(docs: DataFrame, width: int, percent: int, last: np.ndarray, clashes: frozenset[int]) -> DataFrame:
     """(shingle, node, n): every set in the region of each shingle in its window."""
     sent = docs.sparkSession.sparkContext.broadcast(last)
 
@@ -153,10 +184,9 @@ def regions(docs: DataFrame, width: int, percent: int, last: np.ndarray) -> Data
 
         for _, text in _texts(batches):
             own = shingle_hashes(words_of(text), width, hashes)
-            # A set of k links with another one only if k / (k + 1) reaches the limit.
-            if 100 * len(own) < percent * (len(own) + 1):
+            if not can_link(len(own), percent):
                 continue
-            name = node_of(own)
+            name = node_of(own, clashes)
             if name in seen:
                 continue
             if len(seen) >= REMEMBERED:
@@ -176,7 +206,7 @@ def regions(docs: DataFrame, width: int, percent: int, last: np.ndarray) -> Data
     return rows.mapInArrow(run, "shingle bigint, node bigint, n bigint").repartition("shingle").dropDuplicates(["shingle", "node"])
 
 
-def sets_of(texts: DataFrame, width: int) -> DataFrame:
+def sets_of(texts: DataFrame, width: int, clashes: frozenset[int]) -> DataFrame:
     """(node, shingles) of rows (node, text) whose text has that node: hashes as bytes."""
 
     def run(batches):
@@ -185,7 +215,7 @@ def sets_of(texts: DataFrame, width: int) -> DataFrame:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
                 made = [(node, shingle_hashes(words_of(t.as_py()), width, hashes)) for node, t in zip(part.column(0).to_pylist(), part.column(1))]
-                made = [(node, x) for node, x in made if node == node_of(x)]
+                made = [(node, x) for node, x in made if node == node_of(x, clashes)]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int64()), pa.array([x.tobytes() for _, x in made], pa.binary())], ["node", "shingles"])
 
     return texts.mapInArrow(run, "node bigint, shingles binary")
@@ -254,20 +284,39 @@ class Forest:
         return self.above
 
 
-def pivot_links(sets: list[np.ndarray], side: np.ndarray, percent: int, kept: int = 8) -> list[tuple[int, int]]:
+def overlaps(sets: list[np.ndarray]):
+    """A function from a set's place to its overlaps with all sets."""
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
+    start = np.concatenate([[0], np.cumsum([len(x) for x in sets])[:-1]])
+    mark = np.zeros(int(code.max()) + 1, bool)
+
+    def of(p: int) -> np.ndarray:
+        own = code[start[p] : start[p] + len(sets[p])]
+        mark[own] = True
+        shared = np.add.reduceat(mark[code], start)
+        mark[own] = False
+        return shared
+
+    return of
+
+
+def pivot_links(sets: list[np.ndarray], side: np.ndarray, percent: int, group: np.ndarray | None = None, kept: int = 8) -> list[tuple[int, int]]:
     """Links that connect the same sets as all links between the two sides do (or within one, if there is but one).
 
-    Each set in turn is a pivot. Its distance to earlier pivots bounds that to
-    any other set from below, by the triangle inequality; only sets that no
-    bound excludes and that are not connected with it yet are compared.
+    Sets of the same ``group`` (0 or more) are connected already. Each set in
+    turn is a pivot. Its distance to earlier pivots bounds that to any other
+    set from below, by the triangle inequality; only sets that no bound
+    excludes and that are not connected with it yet are compared.
     """
-    code = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
     size = np.array([len(x) for x in sets])
-    start = np.concatenate([[0], np.cumsum(size)[:-1]])
-    mark = np.zeros(int(code.max()) + 1, bool)
+    shared_with = overlaps(sets)
     limit = 1 - percent / 100 + 1e-9
     cross = len(np.unique(side)) > 1
     forest, known, out = Forest(len(sets)), [], []
+    if group is not None:
+        for g in np.unique(group[group >= 0]):
+            own = np.nonzero(group == g)[0]
+            forest.above[own] = own[0]
     for p in range(len(sets)):
         if cross and side[p] != side.min():
             continue
@@ -281,10 +330,7 @@ def pivot_links(sets: list[np.ndarray], side: np.ndarray, percent: int, kept: in
             open_ &= np.abs(distance - distance[p]) <= limit
         if not open_.any() and len(known) >= kept:
             continue
-        own = code[start[p] : start[p] + size[p]]
-        mark[own] = True
-        shared = np.add.reduceat(mark[code], start)
-        mark[own] = False
+        shared = shared_with(p)
         union = size + size[p] - shared
         if len(known) < kept:
             known.append(1 - shared / union)
@@ -296,23 +342,161 @@ def pivot_links(sets: list[np.ndarray], side: np.ndarray, percent: int, kept: in
     return out
 
 
-def family_links(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links that connect each family as all its links do; a family is joined block by block."""
-    blocks = F.ceil(F.col("size") / BLOCK)
-    placed = family.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-    units = placed.select("node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own").join(sets, "node")
+def parted(cells: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
+    """One round over large cells (node, cell, own, grp, size), grp 0 for no group: rows of what its pivots tell.
+
+    ``link`` rows (node, other) are links to pivots; ``join`` rows (node,
+    other) are pivots of ``cell`` found connected; ``place`` rows put a node
+    into the region ``q`` of a pivot, ``home`` its nearest one, with the pivot
+    it links with, if any, as ``other``. A node of the cell goes to its nearest
+    pivot and, as a guest, to each later one that is no farther than twice the
+    limit beyond: by the triangle inequality two linked nodes of different
+    regions meet in the later one. Guests go to all such regions.
+    """
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    # Nodes that no pivot has reached yet come first; the least by a hash are as good as random ones.
+    order = Window.partitionBy("cell").orderBy(F.col("grp") != 0, F.xxhash64("node", F.lit(turn)), "node")
+    pivots = cells.where("own").withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS).withColumn("q", F.col("r") - 1)
+    sent = pivots.select("cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "node", "own", F.lit(0).cast("bigint").alias("grp"), "q")
+    own = cells.select("cell", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), "node", "own", "grp", F.lit(-1).alias("q"))
+    rows = own.unionByName(sent).join(sets, "node")
+    window = 2 * (1 - percent / 100) + 1e-9
+    columns = ["kind", "cell", "node", "other", "q", "home", "own", "grp"]
 
     def run(unit: pd.DataFrame) -> pd.DataFrame:
-        unit = unit.drop_duplicates("node").sort_values("node").reset_index(drop=True)
+        unit = unit.sort_values(["q", "node"]).reset_index(drop=True)
+        cell = int(unit["cell"].iat[0])
+        is_pivot = unit["q"].to_numpy() >= 0
+        pivot, rest = np.nonzero(is_pivot)[0], np.nonzero(~is_pivot)[0]
+        node = unit["node"].to_numpy()
         held = [np.frombuffer(x, np.uint64) for x in unit["shingles"]]
-        side = unit["own"].to_numpy()
-        if unit["i"].iat[0] != unit["j"].iat[0] and side.min() == side.max():
+        size = np.array([len(x) for x in held])
+        shared_with = overlaps(held)
+        distance, linked = np.empty((len(pivot), len(held))), np.empty((len(pivot), len(held)), bool)
+        for k, p in enumerate(pivot):
+            shared = shared_with(p)
+            union = size + size[p] - shared
+            distance[k], linked[k] = 1 - shared / union, 100 * shared >= percent * union
+        forest, out = Forest(len(held)), []
+
+        def united(a: int, b: int) -> bool:
+            x, y = forest.root(a), forest.root(b)
+            forest.above[max(x, y)] = min(x, y)
+            return x != y
+
+        for x in range(len(held)):
+            for k in np.nonzero(linked[:, x])[0]:
+                if pivot[k] != x and node[pivot[k]] != node[x] and united(int(pivot[k]), x):
+                    out.append(("link", cell, node[x], node[pivot[k]], -1, -1, False, 0))
+        root = forest.roots()
+        for k in range(1, len(pivot)):
+            for j in range(k):
+                if root[pivot[k]] == root[pivot[j]]:
+                    out.append(("join", cell, node[pivot[k]], node[pivot[j]], -1, -1, False, 0))
+                    break
+        number, done = unit["q"].to_numpy(), set(node[pivot].tolist())
+        own, grp = unit["own"].to_numpy(), unit["grp"].to_numpy()
+        for x in rest:
+            # A pivot has been compared with its whole cell.
+            if int(node[x]) in done:
+                continue
+            d = distance[:, x]
+            home = int(np.argmin(d))
+            near = next((int(node[pivot[k]]) for k in np.nonzero(linked[:, x])[0]), None)
+            for k in np.nonzero(d <= d[home] + window)[0]:
+                if k == home or k > home or not own[x]:
+                    out.append(("place", cell, int(node[x]), near, int(number[pivot[k]]), int(number[pivot[home]]), bool(own[x] and k == home), int(grp[x])))
+        frame = pd.DataFrame(out, columns=columns)
+        return frame.astype({"cell": "int64", "node": "int64", "other": "Int64", "q": "int32", "home": "int32", "own": "bool", "grp": "int64"})
+
+    return rows.groupBy("cell", "part").applyInPandas(run, "kind string, cell bigint, node bigint, other bigint, q int, home int, own boolean, grp bigint")
+
+
+def named_alike(joins: DataFrame) -> DataFrame:
+    """(cell, other, grp): for pivots of a cell the least of those they are connected with; a cell has few pivots."""
+
+    def run(cell: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(np.concatenate([cell["node"], cell["other"]]), return_inverse=True)
+        forest, n = Forest(len(names)), len(cell)
+        for a, b in zip(at[:n], at[n:]):
+            x, y = forest.root(int(a)), forest.root(int(b))
+            forest.above[max(x, y)] = min(x, y)
+        return pd.DataFrame({"cell": cell["cell"].iat[0], "other": names, "name": names[forest.roots()]})
+
+    return joins.select("cell", "node", "other").distinct().groupBy("cell").applyInPandas(run, "cell bigint, other bigint, name bigint")
+
+
+def mixed_cells(cells: DataFrame) -> DataFrame:
+    """The cells (with ``size``) that hold nodes not yet known to be connected, not all of them guests."""
+    kept = cells.groupBy("cell").agg(F.count("*").alias("size"), F.bool_or(F.col("grp") == 0).alias("open"), F.min("grp").alias("low"), F.max("grp").alias("high"), F.bool_or("own").alias("any"))
+    kept = kept.where((F.col("size") > 1) & F.col("any") & (F.col("open") | (F.col("low") != F.col("high")))).select("cell", "size")
+    return cells.select("node", "cell", "own", "grp").join(kept, "cell")
+
+
+def family_links(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) links that connect each family as all its links do.
+
+    A family is a cell. While a cell is large, pivots part it into Voronoi
+    regions, which are cells in turn; where the windows would repeat its nodes
+    too often, it stays whole and only loses its pivots. Nodes that pivots
+    connect form groups, and cells of one group end. What is left after
+    ROUNDS is joined in blocks, all nodes against those outside the cell's
+    largest group.
+    """
+    cells = written(mixed_cells(family.select("node", F.xxhash64("root").alias("cell"), F.lit(True).alias("own"), F.lit(0).cast("bigint").alias("grp"))), "cells")
+    found, leaves = [], [cells.where(F.col("size") <= BLOCK)]
+    for turn in range(ROUNDS):
+        large = cells.where(F.col("size") > BLOCK)
+        if large.isEmpty():
+            break
+        told = written(parted(large, sets, percent, turn), "parted")
+        found.append(told.where("kind = 'link'").select(F.col("node").alias("a"), F.col("other").alias("b")))
+        names = named_alike(told.where("kind = 'join'"))
+        placed = told.where("kind = 'place'").join(names, ["cell", "other"], "left").withColumn("grp", F.coalesce("name", "other", "grp"))
+        spread = told.where("kind = 'place'").groupBy("cell").agg((F.count("*") <= SPREAD * F.sum((F.col("q") == F.col("home")).cast("int"))).alias("split"))
+        placed = placed.join(spread, "cell").where(F.col("split") | (F.col("q") == F.col("home")))
+        region = F.when(F.col("split"), F.xxhash64("cell", "q", F.lit(turn))).otherwise(F.col("cell"))
+        # In a cell that stays whole, what was a guest stays one.
+        cells = written(mixed_cells(placed.select("node", region.alias("cell"), "own", "grp")), "cells")
+        leaves.append(cells.where(F.col("size") <= BLOCK))
+    else:
+        leaves.append(cells.where(F.col("size") > BLOCK))
+    every = leaves[0]
+    for x in leaves[1:]:
+        every = every.unionByName(x)
+    found.append(block_links(every, sets, percent))
+    links = found[0]
+    for x in found[1:]:
+        links = links.unionByName(x)
+    return links
+
+
+def block_links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) links that connect each cell as all its links do: blocks of all nodes against blocks of those outside the largest group."""
+    main = cells.groupBy("cell").agg(F.mode(F.when(F.col("grp") != 0, F.col("grp"))).alias("main"))
+    rows = cells.join(main, "cell").withColumn("odd", ~F.col("grp").eqNullSafe(F.col("main")))
+    count = rows.where("odd").groupBy("cell").agg(F.count("*").alias("odds"))
+    rows = rows.join(count, "cell")
+    whole = F.col("size") <= BLOCK
+    across = F.when(whole, 1).otherwise(F.ceil(F.col("odds") / HALF)).cast("int")
+    down = F.when(whole, 1).otherwise(F.ceil(F.col("size") / HALF)).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    each = rows.select("cell", "node", "grp", whole.alias("whole"), F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), across - 1)).alias("i"), deal(down).alias("j"))
+    odd = rows.where(F.col("odd") & ~whole).select("cell", "node", "grp", whole.alias("whole"), F.lit(0).alias("side"), deal(across).alias("i"), F.explode(F.sequence(F.lit(0), down - 1)).alias("j"))
+    units = each.unionByName(odd).join(sets, "node")
+
+    def run(unit: pd.DataFrame) -> pd.DataFrame:
+        unit = unit.drop_duplicates(["node", "side"]).sort_values(["side", "node"]).reset_index(drop=True)
+        side, node = unit["side"].to_numpy(), unit["node"].to_numpy()
+        if side.all() and not unit["whole"].iat[0]:
             return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        node = unit["node"].to_numpy()
-        links = pivot_links(held, side, percent)
-        return pd.DataFrame({"a": [node[x] for x, _ in links], "b": [node[y] for _, y in links]}).astype("int64")
+        grp = unit["grp"].to_numpy()
+        group = np.where(grp == 0, -1, np.unique(grp, return_inverse=True)[1].reshape(-1))
+        links = pivot_links([np.frombuffer(x, np.uint64) for x in unit["shingles"]], side, percent, group)
+        links = [(node[x], node[y]) for x, y in links if node[x] != node[y]]
+        return pd.DataFrame({"a": [x for x, _ in links], "b": [y for _, y in links]}).astype("int64")
 
-    return units.groupBy("root", "i", "j").applyInPandas(run, "a bigint, b bigint")
+    return units.groupBy("cell", "i", "j").applyInPandas(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -364,18 +548,31 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.groupBy("part").cogroup(dealt.groupBy("unit")).applyInPandas(run, "a bigint, b bigint")
 
 
+def named(rows: DataFrame) -> tuple[DataFrame, frozenset[int]]:
+    """Rows of documents with their nodes' final names, and the first numbers that different sets share.
+
+    Of n sets some n * n / 2**65 pairs share a number: a few in ten thousand
+    million, so the driver holds few.
+    """
+    shared = rows.groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high")
+    clashes = frozenset(x["node"] for x in shared.select("node").collect())
+    if not clashes:
+        return rows, clashes
+    return rows.withColumn("node", F.when(F.col("node").isin(*clashes), F.col("check")).otherwise(F.col("node"))), clashes
+
+
 def joined(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Membership (doc_id, h, n, node), links (a, b) between nodes and components (node, root) of the whole table."""
-    survey = surveyed(docs, width)
-    members = survey.where("node is not null").select("doc_id", "h", "n", "node")
+    survey = surveyed(docs, width, percent)
+    members, clashes = named(survey.where("node is not null"))
     often = survey.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("c")).where(F.col("c") > OFTEN)
     # At most LAST_AT_MOST values of 8 bytes pass the driver; which ones are put last never changes the result.
     last = np.sort(np.array([x["shingle"] for x in often.orderBy(F.desc("c"), "shingle").limit(LAST_AT_MOST).select("shingle").collect()], np.int64).view(np.uint64))
     together = F.count("*").over(Window.partitionBy("shingle"))
-    shared = written(regions(docs, width, percent, last).withColumn("c", together).where("c > 1"), "regions")
+    shared = written(regions(docs, width, percent, last, clashes).withColumn("c", together).where("c > 1"), "regions")
     pairs = written(sized_pairs(shared.where(F.col("c") <= REGION), percent), "pairs")
     family = written(families(shared.where(F.col("c") > REGION)), "families")
-    slots = survey.where("slots is not null").groupBy("node").agg(F.first("slots").alias("slots"))
+    slots = members.where("slots is not null").groupBy("node").agg(F.first("slots").alias("slots"))
     each = pairs.join(slots.select(F.col("node").alias("a"), F.col("slots").alias("sa")), "a").join(slots.select(F.col("node").alias("b"), F.col("slots").alias("sb")), "b")
     close = written(near(each.select("a", "b", "na", "nb", "sa", "sb"), percent), "close")
     # The text of one document of each node that has to be compared in whole.
@@ -383,9 +580,9 @@ def joined(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFram
     kept = asked.join(members.groupBy("node").agg(_least().alias("first")), "node").select("node", F.col("first.doc_id").alias("kept_id"), F.col("first.h").alias("kept_h"))
     # Merged at every size: these nodes grow with the documents, so they are not broadcast while they are few.
     texts = _keyed(docs).join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_h"))).select("node", "text")
-    sets = written(sets_of(texts, width), "sets")
+    sets = written(sets_of(texts, width, clashes), "sets")
     links = written(verified(close, sets, percent).unionByName(family_links(family, sets, percent)), "links")
-    return members, links, components(links)
+    return members.select("doc_id", "h", "n", "node"), links, components(links)
 
 
 def grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:

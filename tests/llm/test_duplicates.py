@@ -93,6 +93,50 @@ def test_pivots_connect_what_links_connect():
             assert [forest.root(i) for i in range(40)] == [true.root(i) for i in range(40)]
 
 
+def family_sets(kind, n=90):
+    rng = np.random.default_rng(6)
+    if kind == "dense":  # edited copies of one text, most of them linked
+        base = rng.choice(9000, 80, replace=False)
+        return [np.unique(np.concatenate([base[rng.random(80) > rng.choice([0.02, 0.06, 0.15])], rng.choice(9000, 2)])) for _ in range(n)]
+    if kind == "chain":  # each links with its neighbours only
+        return [np.arange(5 * i, 5 * i + 80) for i in range(n)]
+    if kind == "bases":  # several groups of copies
+        bases = [rng.choice(9000, 60, replace=False) for _ in range(7)]
+        return [np.unique(np.concatenate([bases[i % 7][rng.random(60) > 0.05], rng.choice(9000, 2)])) for i in range(n)]
+    return [np.unique(np.concatenate([np.arange(9000, 9020), rng.choice(9000, 60)])) for _ in range(n)]  # unrelated but for a common part
+
+
+@pytest.mark.parametrize(("kind", "pivots", "spread"), [("dense", 3, 2), ("dense", 8, 100), ("chain", 4, 2), ("chain", 8, 100), ("bases", 3, 100), ("bases", 9, 2), ("unrelated", 4, 2)])
+def test_families_equal_brute_force(spark, monkeypatch, kind, pivots, spread):
+    for name, value in (("BLOCK", 12), ("HALF", 6), ("PIVOTS", pivots), ("ROUNDS", 2), ("SPREAD", spread)):
+        monkeypatch.setattr(jaccard, name, value)
+    sets = [x.astype(np.uint64) for x in family_sets(kind)]
+    n = len(sets)
+    family = spark.createDataFrame([(1000 + i, 1000, n) for i in range(n)], "node bigint, root bigint, size bigint")
+    held = spark.createDataFrame([(1000 + i, x.tobytes()) for i, x in enumerate(sets)], "node bigint, shingles binary")
+    found = {(r["a"] - 1000, r["b"] - 1000) for r in jaccard.family_links(family, held, 85).collect()}
+    links = {(a, b) for a in range(n) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))}
+    assert all((max(x), min(x)) in links for x in found)
+    roots = []
+    for every in (found, links):
+        forest = jaccard.Forest(n)
+        for a, b in every:
+            x, y = forest.root(a), forest.root(b)
+            forest.above[max(x, y)] = min(x, y)
+        roots.append([forest.root(i) for i in range(n)])
+    assert roots[0] == roots[1]
+
+
+def test_sets_that_share_a_number_get_the_other(spark):
+    rows = spark.createDataFrame([(1, 7, 70), (2, 7, 70), (3, 7, 71), (4, 8, 80)], "doc_id bigint, node bigint, check bigint")
+    found, clashes = jaccard.named(rows)
+    assert clashes == {7}
+    assert sorted(tuple(r) for r in found.select("doc_id", "node").collect()) == [(1, 70), (2, 70), (3, 71), (4, 8)]
+    x = np.arange(5, dtype=np.uint64)
+    first, second = jaccard.names_of(x)
+    assert jaccard.node_of(x) == first and jaccard.node_of(x, frozenset([first])) == second
+
+
 def removed_bytes(rows, length=100):
     seen, out = set(), []
     for doc, text in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0)):
