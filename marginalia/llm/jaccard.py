@@ -58,6 +58,7 @@ HALF = 256
 PIVOTS = 32
 ROUNDS = 4
 SPREAD = 2
+SALTS = 32
 #: A shingle met more than this often, counting tasks that meet it twice or more, is put last; at most so many are.
 OFTEN = 48
 LAST_AT_MOST = 1_000_000
@@ -259,8 +260,10 @@ def sized_pairs(shared: DataFrame, percent: int) -> DataFrame:
 
 def families(crowded: DataFrame) -> DataFrame:
     """(node, root, size): the nodes of large regions by the regions they reach through one another."""
-    hubs = crowded.groupBy("shingle").agg(F.min("node").alias("hub"))
-    label = components(crowded.join(hubs, "shingle").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    # A region of very many nodes is dealt to SALTS tasks.
+    hubs = crowded.groupBy("shingle").agg(F.min("node").alias("hub")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = crowded.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    label = components(dealt.join(hubs, ["shingle", "salt"]).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     return label.join(label.groupBy("root").agg(F.count("*").alias("size")), "root").select("node", "root", "size")
 
 
