@@ -7,18 +7,27 @@ from pyspark.sql import functions as F
 
 #: Fixed value: Unicode white space but the line feed, valid in Java and RE2 classes alike.
 WS = r"\t\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-#: A character no text holds, around gaps while a text is cut.
-MARK = "\x01"
+#: Stands around gaps while a text is cut; ``masked`` takes it out of the text before, ``unmasked`` puts it back.
+MARK, _MASK = "\x01", "\x02"
 
 
 def canonical(text: Column) -> Column:
     """Lines without trailing white space, each ended by one line feed; the empty text stays empty."""
     # Few texts have anything to trim: looking behind line feeds tells which, without trying every blank.
     loose = text.rlike(rf"\n(?<=[{WS}]\n)") | F.substring(text, -1, 1).rlike(f"[{WS}]")
-    trimmed = F.when(loose, F.regexp_replace(text, rf"[{WS}]+(\n|\z)", "$1")).otherwise(text)
+    trimmed = F.when(loose, F.regexp_replace(text, rf"(?<![{WS}])[{WS}]++(?=\n|\z)", "")).otherwise(text)
     return F.when(text == "", F.lit("")).when(text.endswith("\n"), trimmed).otherwise(F.concat(trimmed, F.lit("\n")))
 
 
+def masked(text: Column) -> Column:
+    """A text without MARK that ``unmasked`` turns back."""
+    return F.replace(F.replace(text, F.lit(_MASK), F.lit(_MASK + "b")), F.lit(MARK), F.lit(_MASK + "a"))
+
+
+def unmasked(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(_MASK + "a"), F.lit(MARK)), F.lit(_MASK + "b"), F.lit(_MASK))
+
+
 def content_hash(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 

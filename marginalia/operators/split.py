@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import MARK, WS, content_hash, line_span, newlines, paragraph_class
+from marginalia.functions.text import MARK, WS, content_hash, line_span, masked, newlines, paragraph_class, unmasked
 
 #: Fixed value: a sentence ends after a stop and the white space that follows it.
 SENTENCE = r"[^.!?]*[.!?][ \t\n\x0C\r]*|[^.!?]+"
@@ -17,8 +17,8 @@ def paragraphs(files: DataFrame, code: bool = False) -> DataFrame:
     Positions come from a window over a file's own blocks, so only a file's
     chunks meet in one place.
     """
-    marked = F.regexp_replace("content", rf"(\n[\n{WS}]*\n)", f"{MARK}$1{MARK}")
-    cut = files.select("path", "language", F.posexplode(F.split(marked, MARK)).alias("at", "chunk")).where(F.col("chunk") != "")
+    marked = F.regexp_replace(masked(F.col("content")), rf"(\n[\n{WS}]*\n)", f"{MARK}$1{MARK}")
+    cut = files.select("path", "language", F.posexplode(F.split(marked, MARK)).alias("at", "chunk")).where(F.col("chunk") != "").withColumn("chunk", unmasked(F.col("chunk")))
     order = Window.partitionBy("path").orderBy("at")
     before = F.coalesce(F.sum(newlines(F.col("chunk"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     gap = F.col("chunk").rlike(rf"^\n[\n{WS}]*\n\z")
