@@ -35,13 +35,19 @@ def hunk_parts(lines: Column) -> dict[str, Column]:
     return {"diff_content": F.array_join(_picked(lines, "+-"), ""), "context": F.array_join(_picked(lines, " "), ""), "new_content": F.array_join(stripped, "")}
 
 
-def hunk_changes(hunks: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Hunks (path, new_start, lines) with fingerprint and status; approved ones go."""
+def hunk_changes(hunks: DataFrame, verdicts: DataFrame, covered: DataFrame | None = None, reviews: DataFrame | None = None) -> DataFrame:
+    """Hunks (path, new_start, lines) with fingerprint and status; approved ones and those of covered files go.
+
+    ``reviews`` (fingerprint, n, reviews) are added to the hunks they are of.
+    """
+    if covered is not None:
+        hunks = hunks.join(covered.select("path"), "path", "left_anti")
     parts = hunk_parts(F.col("lines"))
     rows = hunks.select("path", "new_start", *(c.alias(n) for n, c in parts.items()))
     rows = rows.withColumn("fingerprint", fingerprint(F.col("diff_content"), F.col("context")))
     known = rows.join(verdicts, "fingerprint", "left").withColumn("status", F.coalesce("verdict", F.lit("unreviewed"))).drop("verdict")
-    return known.where(F.col("status") != "approved")
+    left = known.where(F.col("status") != "approved")
+    return left if reviews is None else left.join(reviews.select("fingerprint", "reviews"), "fingerprint", "left")
 
 
 def hunk_ids(lines: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ class Session:
         """Whether HEAD holds the block, the path has changed, or neither is known."""
         if path is None or self.repository.head() is None:
             return "unknown"
-        held = self.repository.files_at(self.spark, "HEAD").where(F.col("path") == path)
+        held = self.repository.files_at(self.spark, "HEAD", [path])
         if not held.isEmpty():
             from marginalia.functions.kinds import language
 
@@ -98,9 +98,14 @@ class Session:
         return "uncommitted" if not self.repository.dirty_files(self.spark).where(F.col("path") == path).isEmpty() else "unknown"
 
     def diff(self) -> DataFrame:
-        """Unreviewed hunks between the merge base and HEAD."""
-        sides = [self.repository.files_at(self.spark, r).withColumn("hash", content_hash(F.col("content"))) for r in (self.repository.base(), "HEAD")]
-        return diff.hunk_changes(diff.file_hunks(*sides), verdicts.latest(self.records()))
+        """Unreviewed hunks between the merge base and HEAD, each with its reviews; files that an approved hash covers go."""
+        revisions = (self.repository.base(), "HEAD")
+        changed = [r["path"] for r in self.repository.changed_in_range(self.spark, *revisions).collect()]
+        sides = [self.repository.files_at(self.spark, r, changed).withColumn("hash", content_hash(F.col("content"))) for r in revisions]
+        files, _ = self.scan()
+        records = self.records()
+        known = verdicts.latest(records)
+        return diff.hunk_changes(diff.file_hunks(*sides), known, self._covered(files, verdicts.approved(known)), verdicts.reviews(records))
 
     def check(self) -> None:
         if not self.diff().isEmpty():
@@ -109,7 +114,7 @@ class Session:
     def sync(self, remote: DataFrame) -> None:
         """Merges another log into this one; its records win."""
         columns = [c for c in remote.columns if c not in ("ts", "email")]
-        log.rewrite(verdicts.synced(remote.select(columns), self.records().select(columns)).drop("side", "seq"), self.log_path)
+        log.rewrite(verdicts.synced(remote.select(columns), self.records().select(columns)).orderBy("timestamp", "side", "seq").drop("side", "seq"), self.log_path)
 
     def verify(self, record_id: str | None = None) -> DataFrame:
         chosen = self.records() if record_id is None else self.records().where(F.col("id") == record_id)

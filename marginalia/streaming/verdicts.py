@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.text import content_hash
 from marginalia.sources import views as V
+from marginalia.storage import shared_folder
 
 
 def latest(stream: DataFrame) -> DataFrame:
@@ -30,8 +31,19 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_from_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All that is available, through the stream; the state at its end as a table."""
-    name = f"latest_{uuid.uuid4().hex}"
-    run = latest(events_stream(spark, sf_dir)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    """All that is available, through the stream; the state at its end as a table in the shared folder.
+
+    Each trigger writes the whole state beside the ones before, in parallel and
+    under its own name, so a trigger that is run again replaces itself.
+    """
+    folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    state = latest(events_stream(spark, sf_dir))
+    last: list[int] = []
+
+    def keep(rows: DataFrame, trigger: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/{trigger}")
+        last.append(trigger)
+
+    run = state.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(state.schema).parquet(f"{folder}/{last[-1]}") if last else spark.createDataFrame([], state.schema)
