@@ -295,8 +295,23 @@ def function_parts(text: str, language: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def blocks(files: DataFrame) -> DataFrame:
-    """Blocks of code files: path, language, ord, kind, content, hash, tags, complexity, lines."""
+#: Starts the kinds of blocks that are not to be merged.
+LOOSE = "="
+
+
+def loose_items(text: str) -> list[Item]:
+    """The paragraphs of a file that gives no items, comments and gaps told apart; merging leaves them alone."""
+    from marginalia.operators import subsplit
+
+    return [Item(start, end, LOOSE + ("gap" if gap else subsplit.paragraph_kind(text[start:end]))) for start, end, gap in subsplit.paragraphs(text)]
+
+
+def blocks(files: DataFrame, fallback: bool = False) -> DataFrame:
+    """Blocks of code files: path, language, ord, kind, content, hash, tags, complexity, lines.
+
+    With ``fallback``, a file that can't be parsed or gives no items is cut
+    into paragraphs, whose kinds start with LOOSE.
+    """
     import pandas as pd
 
     names = ["path", "language", "ord", "kind", "content", "tags", "complexity", "start_line", "end_line"]
@@ -305,10 +320,10 @@ def blocks(files: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for path, language, text in zip(batch["path"], batch["language"], batch["content"]):
-                for n, item in enumerate(items(text, language)):
+                for n, item in enumerate(items(text, language) or (loose_items(text) if fallback else [])):
                     piece = text[item.start : item.end]
                     line = text.count("\n", 0, item.start)
-                    out.append((path, language, n, item.kind, piece, item.tags, complexity(piece, language), line, line + piece.count("\n") + (not piece.endswith("\n"))))
+                    out.append((path, language, n, item.kind, piece, item.tags, 0 if item.kind.startswith(LOOSE) else complexity(piece, language), line, line + piece.count("\n") + (not piece.endswith("\n"))))
             yield pd.DataFrame(out, columns=names)
 
     made = files.select("path", "language", "content").mapInPandas(run, "path string, language string, ord int, kind string, content string, tags array<string>, complexity int, start_line int, end_line int")

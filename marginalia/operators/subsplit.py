@@ -28,10 +28,12 @@ def paragraphs(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
+def paragraph_kind(text: str) -> str:
+    return "comment" if text.strip() and all(_COMMENT.match(line) for line in text.strip().split("\n")) else "CodeParagraph"
+
+
 def chunk_kind(text: str) -> str:
-    if not text.strip().strip("};"):
-        return "gap"
-    return "comment" if all(_COMMENT.match(line) for line in text.strip().split("\n")) else "CodeParagraph"
+    return paragraph_kind(text) if text.strip().strip("};") else "gap"
 
 
 def elements(text: str) -> list[tuple[str, int, int]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import content_hash
+from marginalia.functions.text import content_hash, signature
 from marginalia.storage import written
 
 
@@ -52,6 +52,59 @@ def nodes(files: DataFrame) -> DataFrame:
     return done
 
 
+def block_nodes(blocks: DataFrame) -> DataFrame:
+    """(path, kind, name, parent, depth, hash, ord, parent_ord, start_line) of blocks as nodes below their file or, where one encloses them, their impl."""
+    held = enclosing(blocks).select("path", "ord", F.col("impl_ord").alias("parent_ord"))
+    rows = blocks.select("path", "ord", "hash", "content", "start_line", F.col("kind").alias("block_kind")).join(held, ["path", "ord"])
+    above = F.size(F.split("path", "/"))
+    own = rows.select("path", F.lit("block").alias("kind"), signature(F.col("content"), F.col("block_kind")).alias("name"), F.col("path").alias("parent"), "hash", "ord", "parent_ord", "start_line")
+    up = own.select(F.col("path").alias("p"), F.col("ord").alias("o"), F.col("parent_ord").alias("grand"))
+    # An impl within an impl is one deeper; deeper nests than that count as two.
+    nested = F.when(F.col("parent_ord").isNull(), 1).when(F.col("grand").isNull(), 2).otherwise(3)
+    met = own.join(up, (F.col("path") == F.col("p")) & (F.col("parent_ord") == F.col("o")), "left")
+    return met.select("path", "kind", "name", "parent", (above + nested).alias("depth"), "hash", "ord", "parent_ord", "start_line")
+
+
+def by_path(nodes: DataFrame, path: str) -> DataFrame:
+    """The file or directory at a path."""
+    return nodes.where((F.col("path") == path) & (F.col("kind") != "block"))
+
+
+def by_hash(nodes: DataFrame, digest: str, path: str | None = None, start_line: int | None = None) -> DataFrame:
+    """Nodes of a hash; a path and a first line narrow them."""
+    found = nodes.where(F.col("hash") == digest)
+    found = found if path is None else found.where(F.col("path") == path)
+    return found if start_line is None else found.where(F.col("start_line") == start_line)
+
+
+def breadcrumbs(blocks: DataFrame) -> DataFrame:
+    """(path, ord, crumbs): the file, the impl that encloses a block, if one does, and the block's own signature."""
+    own = blocks.select("path", "ord", signature(F.col("content"), F.col("kind")).alias("own"))
+    outer = own.select(F.col("path").alias("p"), F.col("ord").alias("o"), F.col("own").alias("outer"))
+    held = enclosing(blocks).select("path", "ord", "impl_ord").join(own, ["path", "ord"])
+    met = held.join(outer, (F.col("path") == F.col("p")) & (F.col("impl_ord") == F.col("o")), "left")
+    return met.select("path", "ord", F.concat_ws(" > ", "path", "outer", "own").alias("crumbs"))
+
+
+def subtree_blocks(blocks: DataFrame, path: str) -> DataFrame:
+    """The blocks below a file or directory; all of them below the root."""
+    return blocks if path == "" else blocks.where((F.col("path") == path) | F.col("path").startswith(f"{path}/"))
+
+
+def context_lines(files: DataFrame, spans: DataFrame, around: int) -> DataFrame:
+    """(path, ord, line, text, inside): a block's lines (path, ord, start_line, end_line) with ``around`` lines of its file before and after."""
+    lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("line", "text"))
+    near = (F.col("line") >= F.col("start_line") - around) & (F.col("line") < F.col("end_line") + around)
+    met = lines.join(spans.select(F.col("path").alias("p"), "ord", "start_line", "end_line"), (F.col("path") == F.col("p")) & near)
+    return met.select("path", "ord", "line", "text", ((F.col("line") >= F.col("start_line")) & (F.col("line") < F.col("end_line"))).alias("inside"))
+
+
+def first_children(nodes: DataFrame) -> DataFrame:
+    """(parent, path) of the child each directory shows first: files before directories, then by name."""
+    place = F.struct(F.when(F.col("kind") == "file", F.concat(F.lit("file:"), "name")).otherwise(F.concat(F.lit("dir:"), "name")).alias("key"), "path")
+    return nodes.where("path <> ''").groupBy("parent").agg(F.min(place)["path"].alias("path"))
+
+
 def closure(files: DataFrame) -> DataFrame:
     """(path, ancestor) of every file and each directory above it."""
     return files.select("path", F.explode(ancestors(F.col("path"))).alias("ancestor"))

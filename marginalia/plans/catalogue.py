@@ -514,13 +514,13 @@ _DIFF = f"""WITH {_HUNKS}, h AS (SELECT doc_id, sha256({S.content_hash('body')}
 s AS (SELECT 'doc-' || doc_id AS path, fingerprint, CASE WHEN fingerprint[1] <= '5' THEN 'approved' WHEN fingerprint[1] = '6' THEN 'rejected' ELSE 'unreviewed' END AS status, sha256(new_content) AS new_sha256 FROM h)"""
 
 
-def _diff(spark, sf):
+def _diff(spark, sf, covered=None):
     hunks = _hunks(spark, sf).select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), F.lit(1).alias("new_start"), "lines")
     parts = diff.hunk_parts(F.col("lines"))
     prints = hunks.select(T.fingerprint(parts["diff_content"], parts["context"]).alias("fingerprint")).distinct()
     first = F.substring("fingerprint", 1, 1)
     known = prints.withColumn("verdict", F.when(first <= "5", "approved").when(first == "6", "rejected")).where("verdict is not null")
-    return diff.hunk_changes(hunks, known)
+    return diff.hunk_changes(hunks, known, covered)
 
 
 @query(f"{_DIFF} SELECT path, fingerprint, status, new_sha256 FROM s WHERE status <> 'approved'")
@@ -533,6 +533,12 @@ def check_gate(spark, sf):
     return _diff(spark, sf).agg(F.count("*").alias("n_changes"), (F.count("*") == 0).alias("passes"))
 
 
+@query(f"{_DIFF} SELECT path, fingerprint, status FROM s WHERE status <> 'approved' AND right(path, 1) NOT IN ('0', '5')")
+def diff_covered(spark, sf):
+    """Unreviewed hunks of files that are not covered; documents with a number that five divides stand for covered ones."""
+    return _diff(spark, sf, V.table(spark, sf, "documents").where("doc_id % 5 = 0").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"))).select("path", "fingerprint", "status")
+
+
 @query()
 def myers_diff(spark, sf):
     hunks = diff.file_hunks(*V.snapshots(spark, sf))
@@ -594,6 +600,44 @@ def complexity(spark, sf):
     return code.blocks(_sources(spark, sf)).groupBy("language").agg(F.sum("complexity").alias("complexity"), F.max("complexity").cast("bigint").alias("most"))
 
 
+_BROKEN = f"""WITH n AS (SELECT 'src/b' || p_partkey || '.py' AS path, regexp_replace(lower(p_name), '[^a-z]', '_', 'g') AS name FROM part),
+b AS (SELECT path, unnest([{{'ord': 0, 'kind': 'CodeParagraph', 'c': 'def (' || name || ':', 's': 0, 'e': 1}}, {{'ord': 1, 'kind': 'gap', 'c': {S.NL} || {S.NL}, 's': 0, 'e': 2}},
+  {{'ord': 2, 'kind': 'comment', 'c': '# ' || name, 's': 2, 'e': 3}}, {{'ord': 3, 'kind': 'gap', 'c': {S.NL} || {S.NL}, 's': 2, 'e': 4}}, {{'ord': 4, 'kind': 'CodeParagraph', 'c': 'x = 1' || {S.NL}, 's': 4, 'e': 5}}]) AS x FROM n)
+SELECT path, x.ord::BIGINT AS ord, x.kind AS kind, {S.content_hash('x.c')} AS hash, x.s::BIGINT AS start_line, x.e::BIGINT AS end_line FROM b"""
+
+
+@query(_BROKEN)
+def code_fallback(spark, sf):
+    """``part`` rows as Python files that no parser takes: they keep their paragraphs."""
+    from marginalia.sources import directory
+
+    name = F.regexp_replace(F.lower("p_name"), "[^a-z]", "_")
+    text = F.concat(F.lit("def ("), name, F.lit(":\n\n# "), name, F.lit("\n\nx = 1\n"))
+    files = V.table(spark, sf, "part").select(F.concat(F.lit("src/b"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.lit("Python").alias("language"), F.lit("Text").alias("type"), text.alias("content"))
+    return directory.blocks(files).select("path", *big("ord"), "kind", "hash", *big("start_line", "end_line"))
+
+
+@query(f"WITH {_CODE}, {_NESTED}, b AS (SELECT n.path, n.ord, n.kind, n.content, n.start_line, o.content AS outer_content, row_number() OVER (PARTITION BY n.path, n.ord ORDER BY o.start_line DESC NULLS LAST, o.end_line DESC, o.ord DESC) AS r FROM (SELECT n.*, c.content FROM nested n JOIN code c USING (path, ord)) n LEFT JOIN (SELECT n.*, c.content FROM nested n JOIN code c USING (path, ord)) o ON o.path = n.path AND o.kind IN ('impl', 'interface') AND (o.start_line, o.end_line, o.ord) < (n.start_line, n.end_line, n.ord) AND n.start_line >= o.start_line AND n.end_line <= o.end_line) SELECT path, ord, concat_ws(' > ', path, rtrim(outer_content, chr(10)), rtrim(content, chr(10))) AS crumbs FROM b WHERE r = 1")
+def breadcrumbs(spark, sf):
+    blocks = _code(spark, sf).withColumn("end_line", F.when(F.col("kind") == "impl", F.col("end_line") + 6).otherwise(F.col("end_line")))
+    return tree.breadcrumbs(blocks).select("path", *big("ord"), "crumbs")
+
+
+@query(f"WITH {S.FILES_DOC}, {S.TREE}, c AS (SELECT path, CASE WHEN kind = 'file' THEN 'file:' ELSE 'dir:' END || string_split(path, '/')[-1] AS key, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS parent FROM nodes WHERE path <> '') SELECT parent, arg_min(path, key) AS path FROM c GROUP BY parent")
+def first_children(spark, sf):
+    return tree.first_children(tree.nodes(_doc_files(spark, sf)))
+
+
+_SOURCE_LINES = "SELECT path, line - 1 AS line, parts[line] AS text FROM (SELECT path, parts, unnest(generate_series(1, len(parts))) AS line FROM (SELECT path, string_split(content, chr(10)) AS parts FROM files_conv))"
+
+
+@query(rf"WITH {S.FILES_CONV}, {S.BLOCKS}, lines AS ({_SOURCE_LINES}) SELECT s.path, s.ord::BIGINT AS ord, l.line::BIGINT AS line, sha256(l.text) AS text, l.line >= s.start_line AND l.line < s.end_line AS inside FROM spans s JOIN lines l ON l.path = s.path AND l.line >= s.start_line - 2 AND l.line < s.end_line + 2 WHERE s.kind = 'Paragraph'")
+def context_window(spark, sf):
+    files = V.conversation_files(spark, sf)
+    found = tree.context_lines(files, split.paragraphs(files).where("kind = 'Paragraph'"), 2)
+    return found.select("path", *big("ord", "line"), F.sha2("text", 256).alias("text"), "inside")
+
+
 @query()
 def function_subsplit(spark, sf):
     from marginalia.operators import code, subsplit

@@ -73,9 +73,9 @@ def files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def blocks(found: DataFrame) -> DataFrame:
-    """Blocks of files by language: items of code, sections of Markdown, paragraphs of the rest; merged, with hashes."""
+    """Blocks of files by language: items of code, sections of Markdown, paragraphs of the rest; merged, with hashes. Code that can't be parsed keeps its paragraphs."""
     text = found.where(F.col("type") != "Binary").select("path", "language", "content")
-    parsed = code.blocks(text.where(F.col("language").isin(code.LANGUAGES)))
+    parsed = code.blocks(text.where(F.col("language").isin(code.LANGUAGES)), fallback=True)
     marked = split.sections(text.where(F.col("language") == "Markdown"))
     plain = split.paragraphs(text.where(F.col("language").isin("Text", "Toml", "Nix", "Just")))
     lisp = split.paragraphs(text.where(F.col("language") == "Elisp"), code=True)
@@ -84,7 +84,7 @@ def blocks(found: DataFrame) -> DataFrame:
     every = parsed.select(*columns)
     for d in bare:
         every = every.unionByName(d.select(*(F.col(c).cast("int") if c in ("ord", "start_line", "end_line") else F.col(c) for c in columns)))
-    return merge.optimized(every)
+    return merge.optimized(every).withColumn("kind", F.regexp_replace("kind", f"^{code.LOOSE}", ""))
 
 
 def file_hashes(found: DataFrame, split_blocks: DataFrame) -> DataFrame:
