@@ -100,7 +100,7 @@ def context_lines(files: DataFrame, spans: DataFrame, around: int) -> DataFrame:
 
 
 def first_children(nodes: DataFrame) -> DataFrame:
-    """(parent, path) of the child each directory shows first: files before directories, then by name."""
+    """(parent, path) of the child each directory shows first: directories before files, then by name."""
     place = F.struct(F.when(F.col("kind") == "file", F.concat(F.lit("file:"), "name")).otherwise(F.concat(F.lit("dir:"), "name")).alias("key"), "path")
     return nodes.where("path <> ''").groupBy("parent").agg(F.min(place)["path"].alias("path"))
 

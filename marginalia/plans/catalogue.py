@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from marginalia.functions import kinds as K
@@ -245,45 +247,63 @@ def next_to_review(spark, sf):
 # --- merging -------------------------------------------------------------------------------------
 
 
-def _merge_sql(target: str, into: str, absorbed: list[str], limit: int, separator: str) -> str:
+def _merge_step(source: str, step: str, target: str, into: str, absorbed: list[str], limit: int, separator: str) -> str:
+    """Tables of one merging of the blocks in ``source``, the result as ``merged`` with the step's name."""
     member = f"kind IN {S.in_list([target, *absorbed])}"
-    return f"""WITH RECURSIVE {_CODE}, o AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ord) AS n FROM code),
+    made = f"""o AS (SELECT path, ord, kind, content, start_line, end_line, row_number() OVER (PARTITION BY path ORDER BY ord) AS n FROM {source}),
 walk AS (
   SELECT path, n, CASE WHEN {member} THEN 0 ELSE 1 END AS run, CASE WHEN {member} THEN 0 ELSE 2 END AS open, CASE WHEN kind = '{target}' THEN start_line END AS since FROM o WHERE n = 1
   UNION ALL
   SELECT o.path, o.n,
-         CASE WHEN NOT {member} THEN w.open + 1 WHEN kind = '{target}' AND end_line - coalesce(w.since, start_line) > {limit} THEN w.open + 1 ELSE w.open END,
-         CASE WHEN NOT {member} THEN w.open + 2 WHEN kind = '{target}' AND end_line - coalesce(w.since, start_line) > {limit} THEN w.open + 1 ELSE w.open END,
-         CASE WHEN NOT {member} THEN NULL WHEN kind = '{target}' AND end_line - coalesce(w.since, start_line) > {limit} THEN start_line WHEN kind = '{target}' THEN coalesce(w.since, start_line) ELSE w.since END
-  FROM walk w JOIN o ON o.path = w.path AND o.n = w.n + 1
+         CASE WHEN NOT {member} THEN walk.open + 1 WHEN kind = '{target}' AND end_line - coalesce(walk.since, start_line) > {limit} THEN walk.open + 1 ELSE walk.open END,
+         CASE WHEN NOT {member} THEN walk.open + 2 WHEN kind = '{target}' AND end_line - coalesce(walk.since, start_line) > {limit} THEN walk.open + 1 ELSE walk.open END,
+         CASE WHEN NOT {member} THEN NULL WHEN kind = '{target}' AND end_line - coalesce(walk.since, start_line) > {limit} THEN start_line WHEN kind = '{target}' THEN coalesce(walk.since, start_line) ELSE walk.since END
+  FROM walk JOIN o ON o.path = walk.path AND o.n = walk.n + 1
 ),
 g AS (SELECT o.*, run, count(*) FILTER (kind = '{target}') OVER r AS targets, min(ord) FILTER (kind = '{target}') OVER r AS head, max(ord) FILTER (kind = '{target}') OVER r AS tail FROM o JOIN walk USING (path, n) WINDOW r AS (PARTITION BY path, run)),
 k AS (SELECT *, targets >= 2 AND ord BETWEEN head AND tail AS joined FROM g),
 p AS (SELECT *, CASE WHEN joined THEN head ELSE ord END AS key FROM k),
-q AS (SELECT *, CASE WHEN kind = '{target}' AND lag(kind) OVER (PARTITION BY path, key ORDER BY ord) = '{target}' THEN {separator} ELSE '' END || content AS piece FROM p)
-SELECT path, CASE WHEN bool_or(joined) THEN '{into}' ELSE min(kind) END AS kind, sha256(string_agg(piece, '' ORDER BY ord)) AS content_sha256, min(start_line)::BIGINT AS start_line, max(end_line)::BIGINT AS end_line FROM q GROUP BY path, key"""
+q AS (SELECT *, CASE WHEN kind = '{target}' AND lag(kind) OVER (PARTITION BY path, key ORDER BY ord) = '{target}' THEN {separator} ELSE '' END || content AS piece FROM p),
+merged AS (
+  SELECT path, row_number() OVER (PARTITION BY path ORDER BY key) - 1 AS ord, CASE WHEN bool_or(joined) THEN '{into}' ELSE min(kind) END AS kind,
+         string_agg(piece, '' ORDER BY ord) AS content, min(start_line)::BIGINT AS start_line, max(end_line)::BIGINT AS end_line
+  FROM q GROUP BY path, key
+)"""
+    for name in ("o", "walk", "g", "k", "p", "q", "merged"):
+        made = re.sub(rf"(?<=FROM ){name}\b(?! [A-Z ]*\bAS \()|(?<=JOIN ){name}\b", f"{name}_{step} {name}", made)
+        made = re.sub(rf"(?<![\w.']){name}(?= AS \()", f"{name}_{step}", made)
+    return made
+
+
+def _merge_sql(*rule) -> str:
+    return f"WITH RECURSIVE {_CODE}, {_merge_step('code', '1', *rule)} SELECT path, kind, sha256(content) AS content_sha256, start_line, end_line FROM merged_1"
+
+
+_IMPORTS = ("import", "Imports", ["gap"], merge.UNLIMITED, S.NL)
+_MODULES = ("module", "Modules", ["gap", "comment"], 48, "''")
+_PARAGRAPHS = ("CodeParagraph", "CodeParagraph", ["gap"], 8, "''")
 
 
 def _merged(blocks):
     return blocks.select("path", "kind", F.sha2("content", 256).alias("content_sha256"), *big("start_line", "end_line"))
 
 
-@query(_merge_sql("import", "Imports", ["gap"], merge.UNLIMITED, S.NL))
+@query(_merge_sql(*_IMPORTS))
 def import_merge(spark, sf):
     return _merged(merge.merged_imports(_code(spark, sf)))
 
 
-@query(_merge_sql("module", "Modules", ["gap", "comment"], 48, "''"))
+@query(_merge_sql(*_MODULES))
 def module_merge(spark, sf):
     return _merged(merge.merged_modules(_code(spark, sf)))
 
 
-@query(_merge_sql("CodeParagraph", "CodeParagraph", ["gap"], 8, "''"))
+@query(_merge_sql(*_PARAGRAPHS))
 def paragraph_merge(spark, sf):
     return _merged(merge.merged_paragraphs(_code(spark, sf)))
 
 
-@query()
+@query(f"WITH RECURSIVE {_CODE}, {_merge_step('code', '1', *_IMPORTS)}, {_merge_step('merged_1', '2', *_MODULES)}, {_merge_step('merged_2', '3', *_PARAGRAPHS)} SELECT path, ord, kind, {S.content_hash('content')} AS hash, start_line, end_line FROM merged_3")
 def optimized_blocks(spark, sf):
     return merge.optimized(_code(spark, sf)).select("path", *big("ord"), "kind", "hash", *big("start_line", "end_line"))
 
@@ -539,7 +559,17 @@ def diff_covered(spark, sf):
     return _diff(spark, sf, V.table(spark, sf, "documents").where("doc_id % 5 = 0").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"))).select("path", "fingerprint", "status")
 
 
-@query()
+_SIGNED = "array_to_string(list_transform({lines}, lambda x: '{sign}' || x || chr(10)), '')"
+
+
+@query(rf"""WITH {S.FILES_DOC}, d AS (SELECT path, content, CASE WHEN doc_id % 7 = 0 THEN content || chr(10) || 'appended' ELSE content END AS altered, doc_id % 13 <> 0 AS was, doc_id % 11 <> 0 AS stays FROM files_doc),
+b AS (SELECT *, CASE WHEN content = '' THEN [] ELSE string_split(regexp_replace(content, '\n\z', ''), chr(10)) END AS old, CASE WHEN altered = '' THEN [] ELSE string_split(regexp_replace(altered, '\n\z', ''), chr(10)) END AS new FROM d),
+h AS (
+  SELECT path, 1 AS new_start, {_SIGNED.format(lines='old', sign='-')} AS body, '' AS ctx FROM b WHERE was AND NOT stays AND len(old) > 0
+  UNION ALL SELECT path, 1, {_SIGNED.format(lines='new', sign='+')}, '' FROM b WHERE stays AND NOT was AND len(new) > 0
+  UNION ALL SELECT path, greatest(len(old) - 3, 0) + 1, {_SIGNED.format(lines='new[len(old) + 1:]', sign='+')}, {_SIGNED.format(lines='old[greatest(len(old) - 2, 1):]', sign=' ')} FROM b WHERE was AND stays AND content <> altered
+)
+SELECT path, new_start::BIGINT AS new_start, sha256({S.content_hash('body')} || {S.content_hash('ctx')}) AS fingerprint FROM h""")
 def myers_diff(spark, sf):
     hunks = diff.file_hunks(*V.snapshots(spark, sf))
     parts = diff.hunk_parts(F.col("lines"))
@@ -721,7 +751,15 @@ def visible_nodes(spark, sf):
     return actions.visible(actions.applied(_doc_files(spark, sf), "en", "rejected"))
 
 
-@query()
+def _view(kind: str, name: str, path: str, digest: str, children: str) -> str:
+    return f"""'{{"type":"{kind}","name":"' || {name} || '","path":"' || {path} || '","hash":"' || {digest} || '","children":[' || {children} || ']}}'"""
+
+
+@query(f"""WITH {S.FILES_DOC}, {S.TREE},
+leaf AS (SELECT dir AS parent, 'file:' || name AS key, {_view('file', 'name', 'path', 'hash', "''")} AS view FROM tree1),
+inner_ AS (SELECT t.parent, 'dir:' || t.name AS key, {_view('directory', 't.name', 't.path', 't.hash', "string_agg(f.view, ',' ORDER BY f.key)")} AS view FROM tree2 t JOIN leaf f ON f.parent = t.path GROUP BY t.parent, t.name, t.path, t.hash),
+outer_ AS (SELECT 'dir:' || t.path AS key, {_view('directory', 't.path', 't.path', 't.hash', "string_agg(f.view, ',' ORDER BY f.key)")} AS view FROM tree3 t JOIN inner_ f ON f.parent = t.path GROUP BY t.path, t.hash)
+SELECT '' AS path, sha256({_view('root', "''", "''", 'n.hash', "string_agg(f.view, ',' ORDER BY f.key)")}) AS view_sha256 FROM outer_ f, nodes n WHERE n.kind = 'root' GROUP BY n.hash""")
 def tree_json(spark, sf):
     from marginalia.operators import actions
 
