@@ -17,11 +17,12 @@ not read, whatever their names. An empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import WordHashes, documents, shingle_hashes, text_of, words_of
@@ -110,27 +111,58 @@ def merged(parts: DataFrame, key: str, k: int = K) -> DataFrame:
     return least.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("h")), "").alias("fingerprint"))
 
 
+def _ranged(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """``rows`` with the text's hash ``h`` and the number ``slot`` of a range of descending doc_id (nulls last) and, where a doc_id has several ranges, of h; whether one has."""
+    ranges = RANGES_A_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = [i / ranges for i in range(1, ranges)]
+    seen = rows.agg(F.percentile_approx("doc_id", at, max(10_000, 100 * ranges)).alias("at"), F.count("doc_id").alias("known"), F.count("*").alias("n")).first()
+    found = Counter(seen["at"] or [])
+    borders = sorted(found)
+    parts_of_null = max(1, round(ranges * (seen["n"] - seen["known"]) / max(1, seen["n"])))
+    split = parts_of_null > 1 or any(found[b] > 1 for b in borders)
+    doc, below, parts = F.col("doc_id"), F.lit(0), F.lit(1)
+    if borders:
+        # Borders below a doc_id, by binary search in one literal, so neither plan nor rows pay for each border.
+        held = _literal(borders)
+        strides = F.array(*(F.lit(1 << i) for i in reversed(range(len(borders).bit_length()))))
+        below = F.aggregate(strides, F.lit(0), lambda low, stride: F.when(F.get(held, low + stride - 1) < doc, low + stride).otherwise(low))
+        placed = rows.withColumn("below", below)
+        if split:
+            parts = F.when(F.get(held, F.col("below")) == doc, F.get(_literal([found[b] for b in borders]), F.col("below"))).otherwise(1)
+    else:
+        placed = rows.withColumn("below", below)
+    parts = F.when(doc.isNull(), parts_of_null).otherwise(parts) if split else parts
+    placed = placed.withColumn("h", F.xxhash64("text"))
+    # What shares a range with a doc_id that has several comes after all of them.
+    part = F.when(parts > 1, F.least(F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * parts), parts - 1)).otherwise(ranges) if split else F.lit(0)
+    own = F.when(doc.isNull(), len(borders) + 1).otherwise(len(borders) - F.col("below"))
+    return placed.select("doc_id", "text", "h", (own.cast("bigint") * (ranges + 1) + part).cast("bigint").alias("slot")), split
+
+
+def _literal(numbers: list[int]) -> Column:
+    """Numbers as one constant array."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
+
+
 def edited_fingerprints(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likenesses.
 
     One shuffle moves the texts: ranges of descending doc_id, sorted within and
     read as a stream; the first document of a range travels to the end of the
-    range before as well, so every next document is at hand. Only the ranges'
-    borders and first ids, a few for each shuffle partition, pass the driver.
+    range before as well, so every next document is at hand. A doc_id that
+    fills several ranges, and the rows without one, are parted further by
+    ranges of the text's hash. Only the ranges' borders and first keys, a few
+    for each shuffle partition, pass the driver.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    ranges = RANGES_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    at = [i / ranges for i in range(1, ranges)]
-    borders = sorted(set(rows.agg(F.percentile_approx("doc_id", at, max(10_000, 100 * ranges))).first()[0] or []))
-    below = F.array_size(F.filter(F.array(*map(F.lit, borders)).cast("array<bigint>"), lambda b: b < F.col("doc_id")))
-    placed = rows.withColumn("slot", F.when(F.col("doc_id").isNull(), len(borders) + 1).otherwise(len(borders) - below))
-    tops = sorted((x["slot"], x["top"]) for x in placed.groupBy("slot").agg(F.max("doc_id").alias("top")).collect())
-    sent_to = {slot: tops[i - 1][0] for i, (slot, _) in enumerate(tops)}
-    placed = placed.withColumn("h", F.xxhash64("text"))
-    first = F.col("doc_id").isNull() | F.col("doc_id").isin([top for _, top in tops if top is not None])
-    guest_slot = F.create_map(*(F.lit(x) for pair in sent_to.items() for x in pair))[F.col("slot")] if sent_to else F.lit(0)
-    guests = placed.where(first).groupBy("slot").agg(F.min_by(F.struct("doc_id", "text", "h"), "h").alias("g")).select(guest_slot.alias("slot"), F.lit(1).alias("guest"), "g.*")
+    placed, split = _ranged(rows)
+    # The first key of each range: the greatest doc_id, and among its rows the least hash where ranges part by it.
+    back = F.bitwise_not("h") if split else F.lit(0).cast("bigint")
+    tops = sorted((r["slot"], r["top"]["doc_id"], r["top"]["back"]) for r in placed.groupBy("slot").agg(F.max(F.struct("doc_id", back.alias("back"))).alias("top")).collect())
+    # The first range's top follows the last range.
+    firsts = docs.sparkSession.createDataFrame([(slot, tops[i - 1][0], doc, back) for i, (slot, doc, back) in enumerate(tops)], "s bigint, sent_to bigint, d bigint, b bigint")
+    met = placed.join(F.broadcast(firsts), (F.col("slot") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")) & (back == F.col("b")))
+    guests = met.groupBy("sent_to").agg(F.min_by(F.struct("doc_id", "text", "h"), "h").alias("g")).select(F.col("sent_to").alias("slot"), F.lit(1).alias("guest"), "g.*")
     every = placed.select("slot", F.lit(0).alias("guest"), "doc_id", "text", "h").unionByName(guests)
     dealt = every.repartition("slot").sortWithinPartitions("slot", "guest", F.col("doc_id").desc_nulls_last(), "h")
     names, kinds = [n for n, _ in OUTPUT], [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 4]

@@ -104,3 +104,42 @@ def test_sketches_estimate_and_merge(spark):
     k = 64
     parts = spark.createDataFrame([("d", fingerprints.Sketch.of(a, k).text()), ("d", fingerprints.Sketch.of(b, k).text())], "key string, fingerprint string")
     assert fingerprints.merged(parts, "key", k).first()["fingerprint"] == fingerprints.Sketch.of(np.union1d(a, b), k).text()
+
+
+def test_edited_fingerprints_of_hot_ids(spark):
+    """Half of the rows share an id or have none; nulls come last, rows of an id in order of their text's hash."""
+    rows = [(7 if i % 4 == 0 else None if i % 4 == 1 else i, f"text {i} says " + " ".join(f"w{i * j % 50}" for j in range(i % 40))) for i in range(400)]
+    rows += [(7, "the same row"), (7, "the same row"), (None, ""), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    order = [(r["doc_id"], r["t"], r["h"]) for r in frame.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("h", F.xxhash64("t")).collect()]
+    order.sort(key=lambda r: (r[0] is None, -(r[0] or 0), r[2]))
+    tool, want = fingerprints.Fingerprinter(), []
+    for i, (doc, text, _) in enumerate(order):
+        after = order[(i + 1) % len(order)][1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        own = tool.sketch(text)
+        want.append((str(doc), len(text), hashlib.sha256(edited.encode()).hexdigest(), own.text(), own.resemblance(tool.sketch(edited)), own.resemblance(tool.sketch(after))))
+    names = ("n_chars", "edited_sha256", "fingerprint", "near_edited", "near_next")
+    rows = fingerprints.edited_fingerprints(frame).collect()
+    assert sorted((str(r["doc_id"]), *(r[n] for n in names)) for r in rows) == sorted(want)
+    placed, split = fingerprints._ranged(frame.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    assert split and max(r["count"] for r in placed.groupBy("slot").count().collect()) < 60
+
+
+def test_likeness_against_sets(spark, docs):
+    """near_edited and near_next are the resemblance of bottom-k sketches made from whole shingle sets."""
+    source = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), reverse=True)
+    hashes, k = WordHashes(), fingerprints.K
+    least = lambda t: set(shingle_hashes(words_of(t), fingerprints.WIDTH, hashes)[:k].tolist())
+
+    def like(x, y):
+        union = sorted(x | y)[:k]
+        return sum(v in x and v in y for v in union) / len(union) if union else 1.0
+
+    want = {}
+    for i, (doc, text) in enumerate(source):
+        after, half = source[(i + 1) % len(source)][1], len(text) // 2
+        want[doc] = (like(least(text), least(text[: len(text) - half] + after[:half])), like(least(text), least(after)))
+    for r in fingerprints.edited_fingerprints(docs).collect():
+        assert (r["near_edited"], r["near_next"]) == pytest.approx(want[r["doc_id"]])
