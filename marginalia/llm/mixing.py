@@ -15,7 +15,8 @@ a hash of doc_id and text, counted within salted parts of the group.
 
 Defined cases: null and blank texts have size 0 and are taken 0 words; a null
 source is a source of its own, last in order; repeated rows each count. A
-source without words has target 0. An empty table gives an empty table.
+source without words has target 0. A multiplier that STEPS steps don't bring
+within TOLERANCE is an error. An empty table gives an empty table.
 Only doc_id, text and source are read.
 """
 
@@ -33,7 +34,9 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 TOLERANCE = 1e-5
-STEPS = 60
+STEPS = 120
+#: Decimals of a multiplier. Sums in another order differ far below them, so reruns agree.
+DECIMALS = 9
 #: Rows aimed at for one salted part of a group of equal source and size.
 PART_ROWS = 20_000
 
@@ -98,9 +101,11 @@ def multipliers(counts: DataFrame, goals: DataFrame, most: int = MOST, tolerance
         far = F.greatest(F.abs(tilt) * 2, F.lit(1.0))
         within = (newton > F.col("low")) & (newton < F.col("high"))
         step = F.when(F.col("high").isNull(), F.least(F.greatest(newton, far), far * 4)).when(F.col("low").isNull(), F.greatest(F.least(newton, -far), -far * 4)).when(within & F.lit(turn % 3 != 2), newton).otherwise((F.col("low") + F.col("high")) / 2)
-        state = written(joined.select("source", "source_size", "target", "mean", "edge", F.when(F.col("still"), step).otherwise(tilt).alias("tilt"), "low", "high", F.col("still").alias("open")), "duals")
+        state = written(joined.select("source", "source_size", "target", "mean", "edge", F.when(F.col("still"), F.round(step, DECIMALS)).otherwise(tilt).alias("tilt"), "low", "high", F.col("still").alias("open")), "duals")
         if not state.where("open").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"{state.where('open').count()} sources miss their targets after {STEPS} steps")
     return state.select("source", "source_size", "target", F.coalesce("mean", F.lit(1.0)).alias("mean"), F.coalesce("edge", "tilt").alias("tilt"))
 
 

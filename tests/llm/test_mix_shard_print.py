@@ -143,3 +143,17 @@ def test_likeness_against_sets(spark, docs):
         want[doc] = (like(least(text), least(text[: len(text) - half] + after[:half])), like(least(text), least(after)))
     for r in fingerprints.edited_fingerprints(docs).collect():
         assert (r["near_edited"], r["near_next"]) == pytest.approx(want[r["doc_id"]])
+
+
+def test_multipliers_of_uneven_sizes(spark, monkeypatch):
+    """Targets at either end of what a source of very uneven sizes can give are met; no convergence is an error."""
+    sizes = [1, 2, 3, 50, 1_000, 400_000]
+    counts = spark.createDataFrame([(s, z, 10) for s in ("low", "high", "mid") for z in sizes], "source string, size bigint, n bigint")
+    whole = 10 * sum(sizes)
+    goals = spark.createDataFrame([("low", whole, whole * 1e-4), ("high", whole, whole * 1.9999), ("mid", whole, whole * 1.2)], "source string, source_size bigint, target double")
+    for r in mixing.multipliers(counts, goals).collect():
+        got = sum(10 * z * 2 / (1 + np.exp(-np.clip(r["tilt"] * z / r["mean"], -700, 700))) for z in sizes)
+        assert got == pytest.approx(r["target"], rel=1e-4)
+    monkeypatch.setattr(mixing, "STEPS", 2)
+    with pytest.raises(RuntimeError):
+        mixing.multipliers(counts, goals)
