@@ -20,6 +20,7 @@ import json
 import re
 from dataclasses import dataclass, field
 from struct import pack
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,11 @@ from marginalia.llm.common import documents
 GAP = re.compile("[\t-\r \x85\xa0  -     　]+")
 ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 CONTROL = re.compile("[\x1c-\x1f]")
-#: Pieces of text and words kept with their ids, per Python worker, and symbols laid out in one index. Workers
-#: outlive their tasks, so this memory stays beside that of the next stage.
-KEPT_PIECES = 400_000
-KEPT_WORDS = 400_000
+#: Bytes of memory for pieces of text and for words kept with their ids, per Python worker, and symbols laid out in one
+#: index. Workers outlive their tasks, so this memory stays beside that of the next stage. In scripts without spaces a
+#: piece can be a paragraph, so sizes count, not numbers.
+KEPT_BYTES = 80_000_000
+ENTRY_BYTES = 100
 BLOCK_SYMBOLS = 2_000_000
 
 
@@ -140,7 +142,7 @@ class Vocabulary:
 
 
 class Encoder:
-    """Whole texts to ids; keeps the ids of words it has met, up to KEPT_WORDS."""
+    """Whole texts to ids; keeps the ids of pieces and of words it has met, up to KEPT_BYTES each."""
 
     def __init__(self, vocabulary: Vocabulary):
         from tokenizers import Tokenizer
@@ -152,6 +154,7 @@ class Encoder:
         # The ids of pieces of text between white space, and of the words they are made of.
         self.kept: dict[str, bytes] = {}
         self.known: dict[bytes, bytes] = {}
+        self.kept_bytes = self.known_bytes = 0
         self.byte_of = {x: i for i, x in enumerate(byte_symbols())}
 
     def words(self, piece: str) -> list[bytes]:
@@ -163,8 +166,6 @@ class Encoder:
 
     def learn(self, pieces: set[str]) -> None:
         """Give every piece its ids, block by block."""
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
         block, size = {}, 0
         for piece in pieces:
             block[piece] = words = self.words(piece)
@@ -175,12 +176,17 @@ class Encoder:
         self.index(block)
 
     def index(self, block: dict[str, list[bytes]]) -> None:
+        if self.known_bytes > KEPT_BYTES:
+            self.known.clear()
+            self.known_bytes = 0
         known = self.known
         distinct = [w for w in {w for words in block.values() for w in words} if w not in known]
         for w, x in zip(distinct, self.vocabulary.encode_words(distinct)):
-            known[w] = pack(f"<{len(x)}I", *x)
+            known[w] = ids = pack(f"<{len(x)}I", *x)
+            self.known_bytes += getsizeof(w) + getsizeof(ids) + ENTRY_BYTES
         for piece, words in block.items():
-            self.kept[piece] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+            self.kept[piece] = ids = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+            self.kept_bytes += getsizeof(piece) + getsizeof(ids) + ENTRY_BYTES
 
     def segments(self, text: str) -> list[tuple[bytes, list[str]]]:
         """Special tokens found in the text, each before the pieces that follow it."""
@@ -198,8 +204,9 @@ class Encoder:
 
         def flush() -> None:
             new = {x for parts in held for _, pieces in parts for x in pieces}
-            if len(self.kept) + len(new) > KEPT_PIECES:
+            if self.kept_bytes > KEPT_BYTES:
                 self.kept.clear()
+                self.kept_bytes = 0
             self.learn(new.difference(self.kept))
             get = self.kept.__getitem__
             out.extend(b"".join(i + b"".join(map(get, pieces)) for i, pieces in parts) for parts in held)

@@ -36,10 +36,13 @@ def test_ids_equal_the_library(library, docs):
 def test_small_cache_gives_the_same(monkeypatch, docs):
     texts = [r["text"] for r in docs.limit(20).collect()]
     whole = bpe.Encoder(bpe.vocabulary(PATH)).encode_batch(texts)
-    monkeypatch.setattr(bpe, "KEPT_WORDS", 10)
-    monkeypatch.setattr(bpe, "KEPT_PIECES", 10)
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 1_000)
     monkeypatch.setattr(bpe, "BLOCK_SYMBOLS", 50)
-    assert bpe.Encoder(bpe.vocabulary(PATH)).encode_batch(texts) == whole
+    encoder = bpe.Encoder(bpe.vocabulary(PATH))
+    assert encoder.encode_batch(texts) == whole
+    # Caches are emptied between batches.
+    assert [encoder.encode_batch([t])[0] for t in texts] == whole
+    assert encoder.kept_bytes <= max(1_000, 400 * max(map(len, texts)))
 
 
 def test_edge_rows(edge, empty, library):
