@@ -587,17 +587,20 @@ def hunk_header_parse(spark, sf):
     return found.groupBy("path", "hunk").agg(F.max(diff.header_start(F.col("line"))).cast("bigint").alias("new_start"), F.count_if(~F.col("line").startswith("@@")).alias("n_lines")).select("path", *big("hunk"), "new_start", "n_lines")
 
 
-_COMMITS = "c0 AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS n, o_orderpriority AS summary FROM orders WHERE o_orderkey <= 400), commits AS (SELECT n, summary, CASE WHEN n > 1 THEN n - 1 END AS p1, CASE WHEN n % 10 = 0 AND n > 5 THEN n - 5 END AS p2 FROM c0)"
+_COMMITS = "c0 AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS n, o_orderpriority AS summary FROM orders), commits AS (SELECT n, summary, CASE WHEN n > 1 THEN n - 1 END AS p1, CASE WHEN n % 10 = 0 AND n > 5 THEN n - 5 END AS p2 FROM c0)"
 
 
-@query(f"WITH RECURSIVE {_COMMITS}, walk AS (SELECT n, p1, summary, 1 AS step FROM commits WHERE n = 90 UNION ALL SELECT c.n, c.p1, c.summary, w.step + 1 FROM walk w JOIN commits c ON c.n = w.p1 WHERE w.step < 8) SELECT step::BIGINT AS step, n, summary FROM walk")
+@query(f"WITH RECURSIVE {_COMMITS}, walk AS (SELECT n, p1, summary, 1 AS step FROM commits WHERE n = (SELECT max(n) FROM commits) UNION ALL SELECT c.n, c.p1, c.summary, w.step + 1 FROM walk w JOIN commits c ON c.n = w.p1 WHERE w.step < 8) SELECT step::BIGINT AS step, n, summary FROM walk")
 def first_parent_log(spark, sf):
-    return diff.first_parents(V.commits(spark, sf), 90, 8).select(*big("step"), "n", "summary")
+    commits = V.commits(spark, sf)
+    return diff.first_parents(commits, V.last_commit(commits), 8).select(*big("step"), "n", "summary")
 
 
-@query(f"WITH RECURSIVE {_COMMITS}, e AS (SELECT n, p1 AS p FROM commits WHERE p1 IS NOT NULL UNION ALL SELECT n, p2 FROM commits WHERE p2 IS NOT NULL), a AS (SELECT 12 AS n UNION SELECT p FROM a JOIN e ON e.n = a.n), b AS (SELECT 9 AS n UNION SELECT p FROM b JOIN e ON e.n = b.n) SELECT max(a.n)::BIGINT AS base FROM a JOIN b ON a.n = b.n")
+@query(f"WITH RECURSIVE {_COMMITS}, e AS (SELECT n, p1 AS p FROM commits WHERE p1 IS NOT NULL UNION ALL SELECT n, p2 FROM commits WHERE p2 IS NOT NULL), a AS (SELECT max(n) AS n FROM commits UNION SELECT p FROM a JOIN e ON e.n = a.n), b AS (SELECT max(n) - 3 AS n FROM commits UNION SELECT p FROM b JOIN e ON e.n = b.n) SELECT max(a.n)::BIGINT AS base FROM a JOIN b ON a.n = b.n")
 def merge_base(spark, sf):
-    return diff.merge_base(V.commits(spark, sf), 12, 9)
+    commits = V.commits(spark, sf)
+    last = V.last_commit(commits)
+    return diff.merge_base(commits, last, last - 3)
 
 
 # --- code ----------------------------------------------------------------------------------------

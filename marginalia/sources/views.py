@@ -87,3 +87,8 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = orders.withColumn("i", n).join(offsets, "bucket").select((F.col("i") + F.col("before")).cast("bigint").alias("n"), F.col("o_orderpriority").alias("summary"))
     n = F.col("n")
     return numbered.select("n", "summary", F.when(n > 1, n - 1).alias("first_parent"), F.when((n % 10 == 0) & (n > 5), n - 5).alias("second_parent"))
+
+
+def last_commit(commits: DataFrame) -> int:
+    """The number of the latest commit, 0 if there is none."""
+    return commits.agg(F.max("n")).first()[0] or 0
