@@ -16,27 +16,34 @@ from marginalia.schema import RECORD
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Valid records with ``seq``, their place in the log; blank and malformed lines go, a missing log is empty.
 
-    The place is the file, then the split, then the line within it, so it
-    grows along every file without sorting the log.
+    The place is the file, then the split and the line within it. Each write
+    has a folder named by its time, so the names of files are in the order of
+    the log, which need not be sorted.
     """
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], RECORD + ", ts BIGINT, seq BIGINT, email STRING")
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("seq"))
+        return spark.createDataFrame([], RECORD + ", ts BIGINT, seq STRUCT<file: STRING, at: BIGINT>, email STRING")
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("value").alias("line"), place.alias("seq"))
     good = verdicts.parsed(lines.where(F.trim("line") != "")).where("valid")
     return good.select("r.*", F.col("r.timestamp").alias("ts"), "seq", F.col("r.identity.email").alias("email")).fillna({"version": 0})
 
 
+def _now(path: str) -> str:
+    """A folder of a log for what is written now; plain files of an older log sort before it."""
+    return f"{path.rstrip('/')}/t{time.time_ns():020d}-{uuid.uuid4().hex}"
+
+
 def append(records: DataFrame, path: str) -> None:
-    """Adds records as files of their own, so writers need no lock."""
-    records.write.mode("append").json(path)
+    """Adds records in a folder of their own, so writers need no lock."""
+    records.write.json(_now(path))
 
 
 def rewrite(records: DataFrame, path: str) -> None:
     """Replaces a log: the new one is complete beside the old one before names change."""
     spark = records.sparkSession
     fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    records.write.json(fresh)
+    records.write.json(_now(fresh))
     path_of = spark._jvm.org.apache.hadoop.fs.Path
     system = path_of(path).getFileSystem(spark._jsc.hadoopConfiguration())
     old = path_of(f"{fresh}.old")
