@@ -107,7 +107,8 @@ def pooled(rows: DataFrame) -> DataFrame:
 
 
 def own_chars() -> Column:
-    return F.transform("classes", lambda c: c / F.col("n_chars"))
+    # A text without characters has shares of 0; dividing by its length would be an error.
+    return F.transform("classes", lambda c: c / F.greatest(F.col("n_chars"), F.lit(1)))
 
 
 def references(rows: DataFrame) -> DataFrame:
@@ -151,7 +152,7 @@ def judged(docs: DataFrame) -> DataFrame:
     rows = rows.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     rows = rows.withColumn("common", F.when(F.col("ref_words").isNotNull(), F.filter("short", lambda w: F.array_contains("ref_words", w))))
     # Spelled out word by word: within a lambda the optimizer would filter the row's words anew for each of them.
-    hits = F.array(*(F.size(F.filter("common", _equals(k))).cast("double") / F.col("n_words") for k in range(COMMON)))
+    hits = F.array(*(F.size(F.filter("common", _equals(k))).cast("double") / F.greatest(F.col("n_words"), F.lit(1)) for k in range(COMMON)))
     rows = rows.withColumn("hits", F.slice(hits, 1, F.size("ref_words")))
     own_words = F.concat("hits", F.array(1 - F.aggregate("hits", F.lit(0.0), lambda a, x: a + x)))
     rows = rows.withColumn("char_distance", F.when((F.col("n_chars") >= CHAR_LEAST) & F.col("ref_chars").isNotNull(), divergence(own_chars(), F.col("ref_chars"))))

@@ -47,3 +47,19 @@ def test_stages(spark, docs, sf, tmp_path):
 def test_run_equals_stages(spark, sf):
     rows = corpus_pipeline.run(spark, sf).select("doc_id", "n_tokens").collect()
     assert len(rows) > 100 and np.sum([r["n_tokens"] for r in rows]) > 10_000
+
+
+def test_odd_rows_and_no_rows(spark, docs, edge, empty, tmp_path):
+    """Nulls in every column, repeated rows, long texts, clashing names and an empty table, through each stage and through all."""
+    for name, frame in (("edge", edge), ("empty", empty)):
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            got = stage(spark, frame, "")
+            assert i + 1 == len(corpus_pipeline.STAGES) or got.columns == frame.columns
+            # All odd texts are too short or repeat themselves, so the quality rules keep none of them.
+            assert bool(got.collect()) == (name == "edge" and i > 0)
+    rows = {(r["doc_id"], r["text"]) for r in edge.collect()}
+    single = corpus_pipeline.STAGES[2][1](spark, edge, "").collect()
+    # Of the documents 1 and 2, and of 8 and the one without an id, the first stays.
+    assert {(r["doc_id"], r["text"]) for r in single} == {(d, t) for d, t in rows if d not in (2, None)}
+    docs.unionByName(edge, allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 100

@@ -19,7 +19,9 @@ def counts(text):
 
 def test_base_counts(spark, docs, edge):
     odd = spark.createDataFrame([(1, "a b c d e f g h i a b c d e f g h"), (2, "a " * 50), (3, "x\n\nx\n \nx #$"), (4, " ".join(f"q{i}" for i in range(30)) + " " + " ".join(f"q{i}" for i in range(2, 12)))], "doc_id bigint, text string").withColumn("lang", F.lit("en"))
-    for frame in (docs, edge, odd):
+    # Odd rows beside plain ones: null and empty texts of languages that have references.
+    both = docs.withColumn("doc_id", F.col("doc_id") + 1000).unionByName(edge, allowMissingColumns=True)
+    for frame in (docs, edge, odd, both):
         texts = {}
         for r in frame.collect():
             texts.setdefault(r["doc_id"], r["text"])
