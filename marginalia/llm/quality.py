@@ -34,7 +34,8 @@ TRIM = 0.25
 TAKEN = {"space": "[\\x09-\\x0D]", "upper": "[A-Z]", "mark": r"[.,;:!?'\"()\-]", "symbol": "[#*$%&|<>]", "digit": "[0-9]"}
 NAMES = ["lower", *TAKEN, "other"]
 LETTERS = 5
-SHORT = f"^[a-zà-ÿ]{{1,{LETTERS}}}$"
+#: Small letters of any script, letters of scripts without case, and the marks on them.
+SHORT = rf"^[\p{{Ll}}\p{{Lo}}\p{{M}}]{{1,{LETTERS}}}$"
 
 
 def featured(docs: DataFrame) -> DataFrame:

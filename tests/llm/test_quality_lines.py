@@ -72,3 +72,13 @@ def test_lines(spark, docs, edge, empty):
         assert got.columns == [*frame.columns, "_lines", "_removed"]
         assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == line_brute(frame.collect(), least)
     assert lines.without_boilerplate(empty).count() == 0
+
+
+def test_common_words_of_other_scripts(spark):
+    """Short words of any script make a reference, so texts of other words are far from it."""
+    common, rare = "и в не на что с по как это все".split(), [f"{a}{b}{c}дежда" for a in "абвгде" for b in "жзиклм" for c in "нопр"]
+    rows = [(i, " ".join(w for k in range(40) for w in (common[(i + k * 7) % 10], rare[(i * 13 + k) % 144])), "ru") for i in range(60)]
+    rows.append((60, " ".join(rare[k % 144] for k in range(80)), "ru"))
+    found = {r["doc_id"]: r for r in quality.judged(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert all(found[i]["word_distance"] < quality.WORD_LIMIT and found[i]["kept"] for i in range(60))
+    assert found[60]["word_distance"] > quality.WORD_LIMIT and not found[60]["kept"]
