@@ -22,6 +22,10 @@ from marginalia.llm.common import SPACE, WORD, documents, written
 MIN_SITES = 10
 BAND = 2.0
 LOG2_SLOTS = 12
+#: Digests that are handed to every task, some 100 bytes each.
+LISTED = 200_000
+#: Of a longer list only those digests are that make up more than one of HOT of its lines, which are fewer than HOT.
+HOT = 10_000
 #: Fixed value: the white space that parts words, as characters.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -37,19 +41,32 @@ def sited(docs: DataFrame, site: str) -> DataFrame:
     return rows.where(F.btrim("line", F.lit(BLANKS)) != "").select("doc_id", "h", "place", digest(F.col("line")).alias("digest"), "site")
 
 
+def met(lines: DataFrame, listed: DataFrame, how: str) -> DataFrame:
+    """``lines`` joined with ``listed`` (digest, n and others) by digest; ``n`` counts a digest's lines and is dropped.
+
+    Boilerplate is frequent by nature: the lines of a hot digest are joined
+    where they are, only those of the others are dealt by digest.
+    """
+    if listed.count() <= LISTED:
+        return lines.join(F.broadcast(listed.drop("n")), "digest", how)
+    hot = F.col("n") * HOT > (listed.agg(F.sum("n")).first()[0] or 0)
+    near, far = listed.where(hot).drop("n"), listed.where(~hot).drop("n")
+    return lines.join(F.broadcast(near), "digest", how).unionByName(lines.join(far, "digest", how))
+
+
 def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
-    """(digest, first, n_sites): the lines at ``min_sites`` sites or more, each with its first occurrence."""
+    """(digest, first, n_sites, n): the lines at ``min_sites`` sites or more, each with its first occurrence and their number."""
     lines = sited(docs, site)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h", "place"))
     # A line stands at no more sites than it occurs, so plain counts tell which lines need a sketch at all.
-    frequent = written(lines.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("digest"), "frequent")
-    sketched = lines.join(frequent, "digest", "left_semi").groupBy("digest").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG2_SLOTS))).alias("about"), first.alias("first"))
+    frequent = written(lines.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites), "frequent")
+    sketched = met(lines, frequent, "left_semi").groupBy("digest").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG2_SLOTS))).alias("about"), first.alias("first"), F.count("*").alias("n"))
     likely = written(sketched.where(F.col("about") * band >= min_sites), "spread")
-    near = likely.where(F.col("about") <= min_sites * band).select("digest")
-    exact = lines.join(near, "digest", "left_semi").select("digest", "site").distinct().groupBy("digest").agg(F.count("*").alias("exact"))
+    near = likely.where(F.col("about") <= min_sites * band).select("digest", "n")
+    exact = met(lines, near, "left_semi").select("digest", "site").distinct().groupBy("digest").agg(F.count("*").alias("exact"))
     known = likely.join(exact, "digest", "left")
     sites = F.coalesce("exact", "about")
-    return known.where(sites >= min_sites).select("digest", "first", sites.alias("n_sites"))
+    return known.where(sites >= min_sites).select("digest", "first", sites.alias("n_sites"), "n")
 
 
 def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
@@ -57,7 +74,7 @@ def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int =
     spread = written(boilerplate(docs, site, min_sites), "boilerplate")
     lines = sited(docs, site).drop("site")
     own = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h", "place")
-    hits = lines.join(spread, "digest").where(~own.eqNullSafe(F.col("first")))
+    hits = met(lines, spread.drop("n_sites"), "inner").where(~own.eqNullSafe(F.col("first")))
     gone = hits.groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_set("place").alias("_gone"))
     keyed = docs.withColumn("_key", F.xxhash64("text"))
     joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_h")), "left")

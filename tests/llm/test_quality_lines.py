@@ -74,6 +74,17 @@ def test_lines(spark, docs, edge, empty):
     assert lines.without_boilerplate(empty).count() == 0
 
 
+def test_long_lists_of_lines_give_the_same(spark, docs, edge, empty, monkeypatch):
+    """Beyond LISTED digests only hot ones are handed to every task."""
+    monkeypatch.setattr(lines, "LISTED", -1)
+    for hot in (10_000, 3):
+        monkeypatch.setattr(lines, "HOT", hot)
+        for frame, least in ((docs, 3), (edge, 2)):
+            got = lines.without_boilerplate(frame, min_sites=least)
+            assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == line_brute(frame.collect(), least)
+        assert lines.without_boilerplate(empty).count() == 0
+
+
 def test_common_words_of_other_scripts(spark):
     """Short words of any script make a reference, so texts of other words are far from it."""
     common, rare = "и в не на что с по как это все".split(), [f"{a}{b}{c}дежда" for a in "абвгде" for b in "жзиклм" for c in "нопр"]
