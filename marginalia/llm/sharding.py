@@ -26,6 +26,8 @@ from marginalia.llm.common import documents, text_of
 ROUNDS = 6
 #: Rows aimed at for one bucket of row numbers.
 BUCKET_ROWS = 20_000
+#: Copies of one row that are numbered together; more are dealt to several tasks.
+COPIES = 10_000
 
 
 def permuted(number: Column, n: int, seed: int = 0) -> Column:
@@ -72,7 +74,11 @@ def row_numbers(docs: DataFrame) -> tuple[DataFrame, int]:
     within = Window.partitionBy("bucket").orderBy("doc_id", "text_crc32", "size")
     placed = bucketed.withColumn("upto", F.sum("copies").over(within)).join(starts, "bucket")
     last = F.col("start") + F.col("upto") - 1
-    numbered = placed.select("doc_id", "size", "text_crc32", F.explode(F.sequence(last - F.col("copies") + 1, last)).alias("number"))
+    spans = placed.select("doc_id", "size", "text_crc32", "copies", (last - F.col("copies") + 1).alias("first"), last.alias("last"))
+    few, many = spans.where(F.col("copies") <= COPIES), spans.where(F.col("copies") > COPIES)
+    many = many.withColumn("first", F.explode(F.sequence("first", "last", F.lit(COPIES).cast("bigint"))))
+    many = many.withColumn("last", F.least(F.col("first") + COPIES - 1, F.col("last"))).repartition("first")
+    numbered = few.unionByName(many).select("doc_id", "size", "text_crc32", F.explode(F.sequence("first", "last")).alias("number"))
     return numbered, n
 
 

@@ -75,6 +75,15 @@ def test_shards(request, name):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, sharding.shards(frame.repartition(3)).collect())) if name == "docs" else True
 
 
+def test_shards_of_many_copies(spark, monkeypatch):
+    """Copies beyond COPIES are numbered by several tasks; every number is given once."""
+    frame = spark.createDataFrame([(None, "x")] * 95 + [(7, "x")] * 10 + [(i, None) for i in range(5)], "doc_id bigint, text string")
+    want = sorted(map(tuple, sharding.shards(frame, 4).collect()), key=str)
+    monkeypatch.setattr(sharding, "COPIES", 10)
+    assert sorted(map(tuple, sharding.shards(frame, 4).collect()), key=str) == want
+    assert sorted(r[3] for r in want) == list(range(110))
+
+
 @pytest.mark.parametrize("name", ["docs", "edge", "empty"])
 def test_edited_fingerprints(request, name):
     frame = request.getfixturevalue(name)
