@@ -30,6 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -264,9 +265,13 @@ def sampled(docs: DataFrame) -> DataFrame:
 
 
 def classed(found: DataFrame, segments: int) -> DataFrame:
-    """(doc, h, a, b, key): spans [a, b) covered by a class's first occurrence (null key), and the places a of firsts in groups of several classes."""
+    """(doc, h, a, b, key): spans [a, b) covered by a class's first occurrence (null key), and the places a of firsts in groups of several classes.
+
+    Spans that are known already pass through, so that anchors are sampled once.
+    """
 
     def run(table: pa.Table) -> pa.Table:
+        known, table = table.filter(pc.is_null(table.column("key"))), table.filter(pc.is_valid(table.column("key")))
         key, context, place = (table.column(n).to_numpy() for n in ("key", "context", "place"))
         number, docs, hashes = numbered(table.column("doc").to_numpy(), table.column("h").to_numpy())
         order = np.lexsort((number, context, key))
@@ -281,15 +286,16 @@ def classed(found: DataFrame, segments: int) -> DataFrame:
         classes = np.bincount((np.cumsum(new_key) - 1)[heads])
         several = heads[(classes > 1)[(np.cumsum(new_key) - 1)[heads]]]
         of = np.concatenate([spans[0], number[several]])
-        return pa.table({
+        made = pa.table({
             "doc": pa.array(docs[of]),
             "h": pa.array(hashes[of]),
             "a": pa.array(np.concatenate([spans[1], place[several]]).astype(np.int64)),
             "b": pa.array(np.concatenate([spans[2], np.zeros(len(several), np.int64)]).astype(np.int64)),
             "key": pa.concat_arrays([pa.nulls(len(spans[0]), pa.int64()), pa.array(key[several])]),
         })
+        return pa.concat_tables([made, known.select(["doc", "h", "context", "place", "key"]).rename_columns(made.column_names)])
 
-    dealt = found.withColumn("segment", F.pmod("key", F.lit(segments)).cast("int"))
+    dealt = found.withColumn("segment", F.pmod(F.coalesce("key", F.xxhash64("doc", "context")), F.lit(segments)).cast("int"))
     return dealt.groupBy("segment").applyInArrow(run, "doc bigint, h bigint, a bigint, b bigint, key bigint")
 
 
@@ -352,12 +358,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc, h, a, b): spans of bytes to remove, in UTF-8 of each text; null doc_ids are LAST_ID."""
     size = _rows(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     segments = max(1, size // SEGMENT)
-    found = sampled(docs)
-    grouped = written(classed(found.where("key is not null"), segments), "classes")
-    inner = written(found.where("key is null").select("doc", "h", F.col("context").alias("a"), F.col("place").alias("b")), "inner")
+    grouped = written(classed(sampled(docs), segments), "classes")
     asked = grouped.where("key is not null")
     tree = written(repeated(contexts(docs, asked), segments), "repeats")
-    return grouped.where("key is null").select("doc", "h", "a", "b").unionByName(inner).unionByName(tree)
+    return grouped.where("key is null").select("doc", "h", "a", "b").unionByName(tree)
 
 
 def joined_runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
