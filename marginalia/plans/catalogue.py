@@ -559,15 +559,15 @@ def diff_covered(spark, sf):
     return _diff(spark, sf, V.table(spark, sf, "documents").where("doc_id % 5 = 0").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"))).select("path", "fingerprint", "status")
 
 
-_SIGNED = "array_to_string(list_transform({lines}, lambda x: '{sign}' || x || chr(10)), '')"
+_SIGNED_LINES = "array_to_string(list_transform({lines}, lambda x: '{sign}' || x || chr(10)), '')"
 
 
 @query(rf"""WITH {S.FILES_DOC}, d AS (SELECT path, content, CASE WHEN doc_id % 7 = 0 THEN content || chr(10) || 'appended' ELSE content END AS altered, doc_id % 13 <> 0 AS was, doc_id % 11 <> 0 AS stays FROM files_doc),
 b AS (SELECT *, CASE WHEN content = '' THEN [] ELSE string_split(regexp_replace(content, '\n\z', ''), chr(10)) END AS old, CASE WHEN altered = '' THEN [] ELSE string_split(regexp_replace(altered, '\n\z', ''), chr(10)) END AS new FROM d),
 h AS (
-  SELECT path, 1 AS new_start, {_SIGNED.format(lines='old', sign='-')} AS body, '' AS ctx FROM b WHERE was AND NOT stays AND len(old) > 0
-  UNION ALL SELECT path, 1, {_SIGNED.format(lines='new', sign='+')}, '' FROM b WHERE stays AND NOT was AND len(new) > 0
-  UNION ALL SELECT path, greatest(len(old) - 3, 0) + 1, {_SIGNED.format(lines='new[len(old) + 1:]', sign='+')}, {_SIGNED.format(lines='old[greatest(len(old) - 2, 1):]', sign=' ')} FROM b WHERE was AND stays AND content <> altered
+  SELECT path, 1 AS new_start, {_SIGNED_LINES.format(lines='old', sign='-')} AS body, '' AS ctx FROM b WHERE was AND NOT stays AND len(old) > 0
+  UNION ALL SELECT path, 1, {_SIGNED_LINES.format(lines='new', sign='+')}, '' FROM b WHERE stays AND NOT was AND len(new) > 0
+  UNION ALL SELECT path, greatest(len(old) - 3, 0) + 1, {_SIGNED_LINES.format(lines='new[len(old) + 1:]', sign='+')}, {_SIGNED_LINES.format(lines='old[greatest(len(old) - 2, 1):]', sign=' ')} FROM b WHERE was AND stays AND content <> altered
 )
 SELECT path, new_start::BIGINT AS new_start, sha256({S.content_hash('body')} || {S.content_hash('ctx')}) AS fingerprint FROM h""")
 def myers_diff(spark, sf):
