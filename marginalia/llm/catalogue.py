@@ -4,6 +4,7 @@ from marginalia.llm.bpe import op1_bpe
 from marginalia.llm.fingerprints import op9_fingerprints
 from marginalia.llm.jaccard import OP8_SQL, op8_jaccard
 from marginalia.llm.lines import OP7_SQL, op7_line_dedup
+from marginalia.llm.manifest import OP13_SQL, op13_manifest
 from marginalia.llm.mixing import op2_mixing
 from marginalia.llm.pii import op3_pii
 from marginalia.llm.quality import OP4_SQL, op4_quality
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_fingerprints": op9_fingerprints,
     "op10_suffixes": op10_suffixes,
+    "op13_manifest": op13_manifest,
 }
-ORACLE_SQL: dict[str, str] = {"op4_quality": OP4_SQL, "op5_substrings": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_jaccard": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_quality": OP4_SQL, "op5_substrings": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_jaccard": OP8_SQL, "op13_manifest": OP13_SQL}
