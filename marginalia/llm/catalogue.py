@@ -1,6 +1,7 @@
 """The training-data queries and their SQL."""
 
 from marginalia.llm.bpe import op1_bpe
+from marginalia.llm.chat import OP12_SQL, op12_chat
 from marginalia.llm.fingerprints import op9_fingerprints
 from marginalia.llm.jaccard import OP8_SQL, op8_jaccard
 from marginalia.llm.lines import OP7_SQL, op7_line_dedup
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_fingerprints": op9_fingerprints,
     "op10_suffixes": op10_suffixes,
+    "op12_chat": op12_chat,
     "op13_manifest": op13_manifest,
 }
-ORACLE_SQL: dict[str, str] = {"op4_quality": OP4_SQL, "op5_substrings": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_jaccard": OP8_SQL, "op13_manifest": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_quality": OP4_SQL, "op5_substrings": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_jaccard": OP8_SQL, "op12_chat": OP12_SQL, "op13_manifest": OP13_SQL}
