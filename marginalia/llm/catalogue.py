@@ -2,6 +2,7 @@
 
 from marginalia.llm.bpe import op1_bpe
 from marginalia.llm.chat import OP12_SQL, op12_chat
+from marginalia.llm.codes import OP11_SQL, op11_codes
 from marginalia.llm.fingerprints import op9_fingerprints
 from marginalia.llm.jaccard import OP8_SQL, op8_jaccard
 from marginalia.llm.lines import OP7_SQL, op7_line_dedup
@@ -24,7 +25,8 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_fingerprints": op9_fingerprints,
     "op10_suffixes": op10_suffixes,
+    "op11_codes": op11_codes,
     "op12_chat": op12_chat,
     "op13_manifest": op13_manifest,
 }
-ORACLE_SQL: dict[str, str] = {"op4_quality": OP4_SQL, "op5_substrings": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_jaccard": OP8_SQL, "op12_chat": OP12_SQL, "op13_manifest": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_quality": OP4_SQL, "op5_substrings": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_jaccard": OP8_SQL, "op11_codes": OP11_SQL, "op12_chat": OP12_SQL, "op13_manifest": OP13_SQL}
