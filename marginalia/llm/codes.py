@@ -65,6 +65,7 @@ class Tree:
 
     def __init__(self, entries: np.ndarray):
         self.entries, self.compared = entries, 0
+        self._most = int(np.abs(entries).max(initial=0))
         # Of equal entries only the first can be an answer.
         first = {row.tobytes(): i for i, row in reversed(list(enumerate(entries)))}
         self.root = self._built(np.array(sorted(first.values()), np.int64))
@@ -85,17 +86,21 @@ class Tree:
 
     def nearest(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each query the index of its nearest entry, the lowest of equally near ones, and the squared distance."""
-        self._queries = queries
-        self._best = np.full(len(queries), np.iinfo(np.int64).max)
+        # Integers all the same: while no sum passes 2**52, doubles hold them exactly and multiply faster.
+        most = max(self._most, int(np.abs(queries).max(initial=0)))
+        kind = np.float64 if 4 * most * most * queries.shape[1] < 2**52 else np.int64
+        self._queries, self._held = queries.astype(kind), self.entries.astype(kind)
+        self._norms, self._held_norms = (self._queries**2).sum(axis=1), (self._held**2).sum(axis=1)
+        self._best = np.full(len(queries), 2**62, kind)
         self._index = np.full(len(queries), len(self.entries), np.int64)
         every = np.arange(len(queries))
         self._descend(self.root, every)
         self._visit(self.root, every)
-        return self._index, self._best
+        return self._index, self._best.astype(np.int64)
 
     def _verify(self, entries: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Distances of the queries ``at`` to ``entries``; better ones become the best."""
-        found = _squares(self._queries[at], self.entries[entries])
+        found = self._norms[at][:, None] + self._held_norms[entries] - 2 * (self._queries[at] @ self._held[entries].T)
         self.compared += found.size
         column = found.argmin(axis=1)
         least, index = found[np.arange(len(at)), column], entries[column]
@@ -137,7 +142,8 @@ def _ceil_root(square: int) -> int:
 
 def _roots(squares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Integer square roots, rounded down and up."""
-    low = np.sqrt(squares.astype(np.float64)).astype(np.int64)
+    squares = squares.astype(np.int64)
+    low = np.sqrt(squares).astype(np.int64)
     low -= low * low > squares
     low += (low + 1) * (low + 1) <= squares
     return low, low + (low * low < squares)
