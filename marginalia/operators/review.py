@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import kinds
+from marginalia.operators import order
 from marginalia.schema import IMPORT_LIKE, SPELLINGS, normalized
 
 
@@ -88,3 +89,13 @@ def session_order(blocks: DataFrame) -> DataFrame:
     """Adds the keys of an interactive session's order: group, band, priority; test tags move the group only."""
     keyed = blocks.withColumn("group", kinds.review_group(F.col("path"), F.col("tags"))).withColumn("band", kinds.band(F.col("kind"))).withColumn("priority", kinds.priority(F.col("kind")))
     return keyed.withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy("group", "band", "priority", "start_line", "ord")))
+
+
+#: The order of a session over all files: places within equals follow a block's own number.
+SESSION = ["group", "path", "band", "priority", "start_line", "ord"]
+
+
+def session_ranks(blocks: DataFrame) -> DataFrame:
+    """Blocks in session order with ``rank``, their place over all files from 0."""
+    keyed = session_order(blocks).withColumn("_all", F.lit(0))
+    return order.ranked(keyed, "_all", SESSION).drop("_all")

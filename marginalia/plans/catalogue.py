@@ -179,9 +179,10 @@ _GROUP = "CASE WHEN test THEN 0 WHEN starts_with(path, 'src/') THEN 1 ELSE 2 END
 _BAND = f"CASE {S.priority()} WHEN 0 THEN 0 WHEN 20 THEN 1 ELSE 2 END"
 
 
-@query(f'WITH {_CODE} SELECT path, ord, {_GROUP}::BIGINT AS "group", ({_BAND})::BIGINT AS band, {S.priority()}::BIGINT AS priority, row_number() OVER (PARTITION BY path ORDER BY {_GROUP}, {_BAND}, {S.priority()}, start_line, ord) AS place FROM code')
+@query(f'WITH {_CODE} SELECT path, ord, {_GROUP}::BIGINT AS "group", ({_BAND})::BIGINT AS band, {S.priority()}::BIGINT AS priority, row_number() OVER (PARTITION BY path ORDER BY {_GROUP}, {_BAND}, {S.priority()}, start_line, ord) AS place, row_number() OVER (ORDER BY {_GROUP}, path, {_BAND}, {S.priority()}, start_line, ord) - 1 AS rank FROM code')
 def tui_order(spark, sf):
-    return review.session_order(_code(spark, sf)).select("path", *big("ord", "group", "band", "priority", "place"))
+    """Blocks with their place in their file and their rank in the session, over all files."""
+    return review.session_ranks(_code(spark, sf)).select("path", *big("ord", "group", "band", "priority", "place", "rank"))
 
 
 # --- hierarchy -----------------------------------------------------------------------------------
@@ -218,6 +219,14 @@ def covered_by_ancestor(spark, sf):
     return tree.covered(files, nodes, nodes.where(_flag("hash", "0", "1")).select("hash").distinct())
 
 
+@query(f"""WITH {S.FILES_DOC}, p AS (SELECT path, string_split(path, '/') AS l, row_number() OVER (ORDER BY string_split(path, '/')) - 1 AS n FROM files_doc),
+d AS (SELECT array_to_string(l[1:i], '/') AS path, i, n, i = len(l) AS leaf FROM (SELECT l, n, unnest(generate_series(0, len(l))) AS i FROM p))
+SELECT path, CASE WHEN leaf THEN 'file' WHEN i = 0 THEN 'root' ELSE 'directory' END AS kind, i AS depth, min(n) AS first, max(n) AS last FROM d GROUP BY path, i, leaf""")
+def tree_labels(spark, sf):
+    """The interval of file numbers of every node."""
+    return tree.labels(_doc_files(spark, sf))[1].select("path", "kind", *big("depth", "first", "last"))
+
+
 _NESTED = "nested AS (SELECT path, ord, kind, start_line, CASE WHEN kind = 'impl' THEN end_line + 6 ELSE end_line END AS end_line FROM code)"
 
 
@@ -239,9 +248,31 @@ def sibling_nav(spark, sf):
     return tree.siblings(_code(spark, sf)).select("path", *big("ord", "before", "after"))
 
 
-@query(f"WITH {_CODE} SELECT path, ord, min(CASE WHEN test THEN ord END) OVER (PARTITION BY path ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_ord FROM code")
+#: Blocks in three trees, of which one is a library's; those that are left to review are told by their hash.
+_SESSION = f"""{_CODE}, moved AS (SELECT CASE regexp_extract(path, '[0-9]+')::INT % 3 WHEN 0 THEN path ELSE 'd' || regexp_extract(path, '[0-9]+')::INT % 3 || '/' || path END AS path, ord, kind, start_line, test, sha256(content)[1] <= '2' AS remains FROM code),
+placed AS (SELECT *, row_number() OVER (ORDER BY {_GROUP}, path, {_BAND}, {S.priority()}, start_line, ord) AS n FROM moved)"""
+
+
+def _session(spark, sf):
+    tree_ = F.regexp_extract("path", "[0-9]+", 0).cast("int") % 3
+    blocks = _code(spark, sf).withColumn("path", F.when(tree_ == 0, F.col("path")).otherwise(F.concat(F.lit("d"), tree_.cast("string"), F.lit("/"), "path")))
+    return review.session_order(blocks), _flag(F.sha2("content", 256), "0", "2")
+
+
+@query(f"WITH {_SESSION}, f AS (SELECT *, min(CASE WHEN remains THEN n END) OVER (ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM placed) SELECT f.path, f.ord, p.path AS next_path, p.ord AS next_ord FROM f LEFT JOIN placed p ON p.n = f.following")
 def next_to_review(spark, sf):
-    return tree.next_remaining(_code(spark, sf), F.array_contains("tags", "test")).select("path", *big("ord", "next_ord"))
+    """The next block left to review after each, over all files."""
+    return tree.next_remaining(*_session(spark, sf)).select("path", *big("ord"), F.col("next.path").alias("next_path"), F.col("next.ord").cast("bigint").alias("next_ord"))
+
+
+@query(f"""WITH {_SESSION}, parts AS (SELECT path, string_split(path, '/') AS l FROM (SELECT DISTINCT path FROM moved)),
+below AS (SELECT path, array_to_string(l[1:i], '/') AS node FROM (SELECT path, l, unnest(generate_series(0, len(l))) AS i FROM parts)),
+starts AS (SELECT node, min(n) AS start FROM below JOIN placed USING (path) GROUP BY node),
+found AS (SELECT node, min(n) AS n FROM starts s JOIN placed p ON p.n > s.start AND p.remains AND NOT EXISTS (SELECT 1 FROM below b WHERE b.node = s.node AND b.path = p.path) GROUP BY node)
+SELECT s.node, p.path AS next_path, p.ord AS next_ord FROM starts s LEFT JOIN found f USING (node) LEFT JOIN placed p ON p.n = f.n""")
+def next_after_subtree(spark, sf):
+    """The next block left to review outside each file and directory."""
+    return tree.next_after_subtree(*_session(spark, sf)).select("node", F.col("next.path").alias("next_path"), F.col("next.ord").cast("bigint").alias("next_ord"))
 
 
 # --- merging -------------------------------------------------------------------------------------
@@ -650,10 +681,25 @@ def code_fallback(spark, sf):
     return directory.blocks(files).select("path", *big("ord"), "kind", "hash", *big("start_line", "end_line"))
 
 
-@query(f"WITH {_CODE}, {_NESTED}, b AS (SELECT n.path, n.ord, n.kind, n.content, n.start_line, o.content AS outer_content, row_number() OVER (PARTITION BY n.path, n.ord ORDER BY o.start_line DESC NULLS LAST, o.end_line DESC, o.ord DESC) AS r FROM (SELECT n.*, c.content FROM nested n JOIN code c USING (path, ord)) n LEFT JOIN (SELECT n.*, c.content FROM nested n JOIN code c USING (path, ord)) o ON o.path = n.path AND o.kind IN ('impl', 'interface') AND (o.start_line, o.end_line, o.ord) < (n.start_line, n.end_line, n.ord) AND n.start_line >= o.start_line AND n.end_line <= o.end_line) SELECT path, ord, concat_ws(' > ', path, rtrim(outer_content, chr(10)), rtrim(content, chr(10))) AS crumbs FROM b WHERE r = 1")
+#: Impls of several lengths, so that some enclose others.
+_DEEP = "deep AS (SELECT path, ord, kind, rtrim(content, chr(10)) AS label, start_line, CASE WHEN kind = 'impl' THEN end_line + 10 + 30 * (ord % 4) ELSE end_line END AS end_line FROM code)"
+
+
+@query(f"""WITH RECURSIVE {_CODE}, {_DEEP}, up AS (
+  SELECT b.path, b.ord, b.kind, b.label, o.ord AS above, row_number() OVER (PARTITION BY b.path, b.ord ORDER BY o.start_line DESC NULLS LAST, o.end_line DESC, o.ord DESC) AS r
+  FROM deep b LEFT JOIN deep o ON o.path = b.path AND o.kind IN ('impl', 'interface') AND (o.start_line, o.end_line, o.ord) < (b.start_line, b.end_line, b.ord) AND b.start_line >= o.start_line AND b.end_line <= o.end_line
+),
+near AS (SELECT * FROM up WHERE r = 1),
+walk AS (
+  SELECT path, ord, above, CASE WHEN kind IN ('impl', 'interface') THEN label || ' -> ' ELSE '' END || label AS crumbs, 0 AS depth FROM near
+  UNION ALL SELECT w.path, w.ord, n.above, n.label || ' -> ' || w.crumbs, w.depth + 1 FROM walk w JOIN near n ON n.path = w.path AND n.ord = w.above
+)
+SELECT path, ord, 'File (' || path || ') -> ' || crumbs AS crumbs, depth FROM walk WHERE above IS NULL""")
 def breadcrumbs(spark, sf):
-    blocks = _code(spark, sf).withColumn("end_line", F.when(F.col("kind") == "impl", F.col("end_line") + 6).otherwise(F.col("end_line")))
-    return tree.breadcrumbs(blocks).select("path", *big("ord"), "crumbs")
+    """The chain of enclosing blocks, and how many they are."""
+    blocks = _code(spark, sf).withColumn("end_line", F.when(F.col("kind") == "impl", F.col("end_line") + 10 + 30 * (F.col("ord") % 4)).otherwise(F.col("end_line"))).withColumn("hash", F.sha2("content", 256))
+    depths = tree.block_nodes(blocks).select(F.col("path").alias("p"), F.col("ord").alias("o"), (F.col("depth") - F.size(F.split("path", "/")) - 1).cast("bigint").alias("depth"))
+    return tree.breadcrumbs(blocks).join(depths, (F.col("path") == F.col("p")) & (F.col("ord") == F.col("o"))).select("path", *big("ord"), "crumbs", "depth")
 
 
 @query(f"WITH {S.FILES_DOC}, {S.TREE}, c AS (SELECT path, CASE WHEN kind = 'file' THEN 'file:' ELSE 'dir:' END || string_split(path, '/')[-1] AS key, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS parent FROM nodes WHERE path <> '') SELECT parent, arg_min(path, key) AS path FROM c GROUP BY parent")

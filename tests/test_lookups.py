@@ -42,8 +42,8 @@ def test_block_nodes_and_lookups(spark, blocks):
 
 def test_breadcrumbs(blocks):
     got = {(r["path"], r["ord"]): r["crumbs"] for r in tree.breadcrumbs(blocks).collect()}
-    assert got[("src/a.rs", 2)] == "src/a.rs > impl A > fn m"
-    assert got[("b.txt", 0)] == "b.txt > One."
+    assert got[("src/a.rs", 2)] == "File (src/a.rs) -> impl A -> fn m"
+    assert got[("b.txt", 0)] == "File (b.txt) -> One."
 
 
 def test_context_lines(spark):
