@@ -555,6 +555,12 @@ def snapshot_changed_paths(spark, sf):
     return diff.changed_paths(*V.snapshots(spark, sf))
 
 
+@query()
+def renamed_paths(spark, sf):
+    """Changed paths, files that moved as one row each; the greedy choice among equals is beyond SQL."""
+    return diff.changes(*V.moved_snapshots(spark, sf))
+
+
 @query(f"WITH {_SNAPS} SELECT b.path, b.hash, CASE WHEN EXISTS (SELECT 1 FROM snap_a a WHERE a.path = b.path AND a.hash = b.hash) THEN 'committed' WHEN b.path IN (SELECT path FROM changed WHERE status IS NOT NULL) THEN 'uncommitted' ELSE 'unknown' END AS state FROM snap_b b")
 def block_state(spark, sf):
     before, after = V.snapshots(spark, sf)

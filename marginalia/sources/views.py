@@ -73,6 +73,17 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return before, after
 
 
+def moved_snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(path, hash, content) of documents before and after: every ninth in another folder, the next after it too with a line more, every eleventh gone, every thirteenth new."""
+    files = document_files(spark, sf_dir)
+    n = F.col("doc_id")
+    before = files.where("doc_id % 13 <> 0").select("path", content_hash(F.col("content")).alias("hash"), "content")
+    text = F.when(n % 9 == 1, F.concat("content", F.lit("\nappended"))).otherwise(F.col("content"))
+    path = F.when(n % 9 < 2, F.concat(F.lit("moved/"), F.col("path"))).otherwise(F.col("path"))
+    after = files.where("doc_id % 11 <> 0").select(path.alias("path"), content_hash(text).alias("hash"), text.alias("content"))
+    return before, after
+
+
 #: Order keys that are numbered together.
 KEYS = 20_000
 

@@ -125,7 +125,7 @@ def test_myers_scripts_apply():
 def test_unified_hunks():
     old = [str(i) for i in range(30)]
     new = old[:2] + ["x"] + old[2:20] + old[21:]
-    hunks = diff.unified(old, new)
+    hunks = list(diff.unified(old, new))
     assert [start for start, _ in hunks] == [1, 19]
     assert hunks[0][1] == [" 0\n", " 1\n", "+x\n", " 2\n", " 3\n", " 4\n"]
     assert hunks[1][1] == [" 17\n", " 18\n", " 19\n", "-20\n", " 21\n", " 22\n", " 23\n"]
