@@ -8,16 +8,35 @@ from pyspark.sql import functions as F
 from marginalia.storage import written
 
 
+#: Leading hash digits that name a folder of an index.
+DIGITS = 2
+
+
+def indexed(blocks: DataFrame, folder: str) -> None:
+    """Writes blocks as a table clustered by hash: a folder for the first digits, sorted within, so a lookup reads one folder's few row groups."""
+    keyed = blocks.withColumn("digits", F.substring("hash", 1, DIGITS))
+    keyed.repartitionByRange("hash").sortWithinPartitions("hash").write.mode("overwrite").partitionBy("digits").parquet(folder)
+
+
+def with_prefix(blocks: DataFrame, prefix: str) -> DataFrame:
+    """Blocks whose hash starts with ``prefix``; of an index only the folder that can hold them is read."""
+    found = blocks.where(F.col("hash").startswith(prefix))
+    if "digits" in blocks.columns:
+        digits = F.col("digits")
+        found = found.where(digits == prefix[:DIGITS] if len(prefix) >= DIGITS else digits.startswith(prefix))
+    return found
+
+
 def by_prefix(blocks: DataFrame, sub_split, prefix: str) -> DataFrame:
     """The one block whose hash starts with ``prefix``; sub-blocks are looked at only if no block matches."""
-    found = blocks.where(F.col("hash").startswith(prefix)).limit(2)
+    found = with_prefix(blocks, prefix).limit(2)
     if found.isEmpty():
         found = sub_split(blocks).where(F.col("hash").startswith(prefix)).limit(2)
     n = found.count()
     if n == 0:
-        raise LookupError("Block not found")
+        raise LookupError(f"nothing has a hash that starts with {prefix}")
     if n > 1:
-        raise LookupError("Multiple blocks matched fingerprint. Use a longer prefix.")
+        raise LookupError(f"several hashes start with {prefix}: give more digits")
     return found
 
 
@@ -27,7 +46,7 @@ def by_content(blocks: DataFrame, text: str) -> DataFrame:
     own = holding.where(F.col("kind").isin("function", "method")).limit(2)
     found = holding.limit(2) if own.isEmpty() else own
     if found.count() != 1:
-        raise LookupError(f"{'No block' if found.isEmpty() else 'Multiple blocks'} matched '{text}'")
+        raise LookupError(f"{'nothing holds' if found.isEmpty() else 'several blocks hold'} {text!r}")
     return found
 
 

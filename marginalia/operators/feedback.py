@@ -24,8 +24,9 @@ def as_json(reviews: Column) -> Column:
 def as_xml() -> Column:
     """One block's element over columns start_line, kind, hash, content and reviews."""
     end = F.col("start_line") + newlines(F.col("content")) + F.when(F.col("content").endswith("\n"), 0).otherwise(1)
-    listed = F.transform("reviews", lambda r: F.concat(F.lit('        <review verdict="'), escaped(r["verdict"]), F.lit('" author="'), escaped(r["email"]), F.lit('">\n        </review>\n')))
+    said = lambda note: F.when(note.isNull(), "").otherwise(F.concat(F.lit("          <comment>"), escaped(note), F.lit("</comment>\n")))
+    listed = F.transform("reviews", lambda r: F.concat(F.lit('        <review verdict="'), escaped(r["verdict"]), F.lit('" author="'), escaped(r["email"]), F.lit('">\n'), said(r["note"]), F.lit("        </review>\n")))
     return F.concat(
         F.lit('    <block start_line="'), F.col("start_line").cast("string"), F.lit('" end_line="'), end.cast("string"), F.lit('" kind="'), escaped(F.col("kind")), F.lit('" hash="'), F.col("hash"), F.lit('">\n'),
-        F.lit("      <context><![CDATA[\n"), cdata(F.col("content")), F.lit("\n]]></context>\n\n      <reviews>\n"), F.array_join(listed, ""), F.lit("      </reviews>\n    </block>\n"),
+        F.lit("      <context><![CDATA[\n"), cdata(F.col("content")), F.lit("\n]]></context>\n      <reviews>\n"), F.array_join(listed, ""), F.lit("      </reviews>\n    </block>\n"),
     )

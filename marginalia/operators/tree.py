@@ -87,6 +87,23 @@ def nodes(files: DataFrame) -> DataFrame:
     return done
 
 
+def renewed(old: DataFrame, files: DataFrame, changed: DataFrame) -> DataFrame:
+    """The nodes of ``files`` (path, hash) from those before some paths changed: only directories above ``changed`` paths are hashed again, all others are kept."""
+    affected = written(changed.select(F.explode(ancestors(F.col("path"))).alias("path")).distinct().withColumn("depth", F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/")))), "affected")
+    columns = ["path", "kind", "name", "parent", "depth", "hash"]
+    leaves = files.select("path", F.lit("file").alias("kind"), name(F.col("path")).alias("name"), parent(F.col("path")).alias("parent"), F.size(F.split("path", "/")).alias("depth"), "hash")
+    kept = old.where("kind <> 'file'").join(affected.select("path"), "path", "left_anti").select(*columns)
+    level, done = leaves.where(F.lit(False)), leaves.unionByName(kept)
+    for depth in range((affected.agg(F.max("depth")).first()[0] if not affected.isEmpty() else -1), -1, -1):
+        above = affected.where(F.col("depth") == depth).select(F.col("path").alias("parent"))
+        children = leaves.unionByName(kept).where(F.col("depth") == depth + 1).join(above, "parent", "left_semi").select(*columns).unionByName(level)
+        level = digests(children.select("parent", F.concat(F.when(F.col("kind") == "file", "file:").otherwise("dir:"), "name").alias("entry"), "hash"))
+        level = level.select("path", F.lit("root" if depth == 0 else "directory").alias("kind"), name(F.col("path")).alias("name"), parent(F.col("path")).alias("parent"), F.lit(depth).alias("depth"), "hash")
+        level = written(level, "level")
+        done = done.unionByName(level)
+    return done
+
+
 def labels(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Interval labels of the tree: (path, rank) of files, and (path, kind, depth, first, last) of every directory, the root and every file.
 

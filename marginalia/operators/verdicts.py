@@ -26,8 +26,9 @@ def approved(verdicts: DataFrame) -> DataFrame:
 
 
 def reviews(records: DataFrame) -> DataFrame:
-    """All records of a fingerprint, in log order."""
-    return records.groupBy("fingerprint").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("seq", "verdict", "email", "check"))).alias("reviews"))
+    """All records of a fingerprint, in log order, with their notes if the log has any."""
+    note = F.col("note") if "note" in records.columns else F.lit(None).cast("string").alias("note")
+    return records.groupBy("fingerprint").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("seq", "verdict", "email", "check", note))).alias("reviews"))
 
 
 def synced(remote: DataFrame, local: DataFrame) -> DataFrame:

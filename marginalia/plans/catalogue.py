@@ -336,7 +336,11 @@ def paragraph_merge(spark, sf):
 
 @query(f"WITH RECURSIVE {_CODE}, {_merge_step('code', '1', *_IMPORTS)}, {_merge_step('merged_1', '2', *_MODULES)}, {_merge_step('merged_2', '3', *_PARAGRAPHS)} SELECT path, ord, kind, {S.content_hash('content')} AS hash, start_line, end_line FROM merged_3")
 def optimized_blocks(spark, sf):
-    return merge.optimized(_code(spark, sf)).select("path", *big("ord"), "kind", "hash", *big("start_line", "end_line"))
+    """All three merges, called from SQL."""
+    merge.register(spark)
+    _code(spark, sf).select("path", "ord", "kind", "content", "tags", "start_line", "end_line").createOrReplaceTempView("_code_blocks")
+    found = spark.sql("SELECT * FROM optimize_blocks(TABLE(_code_blocks) PARTITION BY path ORDER BY ord)")
+    return found.select("path", *big("ord"), "kind", T.content_hash(F.col("content")).alias("hash"), *big("start_line", "end_line"))
 
 
 # --- the log -------------------------------------------------------------------------------------
@@ -504,8 +508,8 @@ def _xml(c: str) -> str:
     return c
 
 
-@query(f"""{_FEEDBACK}, r AS (SELECT fingerprint, string_agg('        <review verdict="' || {_xml('verdict')} || '" author="' || {_xml('email')} || '">' || {S.NL} || '        </review>' || {S.NL}, '' ORDER BY seq) AS reviews FROM records GROUP BY fingerprint)
-SELECT path, sha256('    <block start_line="0" end_line="' || ({S.newlines('content')} + CASE WHEN suffix(content, {S.NL}) THEN 0 ELSE 1 END) || '" kind="Paragraph" hash="' || hash || '">' || {S.NL} || '      <context><![CDATA[' || {S.NL} || replace(content, ']]>', ']]]]><![CDATA[>') || {S.NL} || ']]></context>' || {S.NL} || {S.NL} || '      <reviews>' || {S.NL} || reviews || '      </reviews>' || {S.NL} || '    </block>' || {S.NL}) AS xml_sha256 FROM f JOIN r ON fingerprint = hash""")
+@query(f"""{_FEEDBACK}, r AS (SELECT fingerprint, string_agg('        <review verdict="' || {_xml('verdict')} || '" author="' || {_xml('email')} || '">' || {S.NL} || coalesce('          <comment>' || {_xml('note')} || '</comment>' || {S.NL}, '') || '        </review>' || {S.NL}, '' ORDER BY seq) AS reviews FROM records GROUP BY fingerprint)
+SELECT path, sha256('    <block start_line="0" end_line="' || ({S.newlines('content')} + CASE WHEN suffix(content, {S.NL}) THEN 0 ELSE 1 END) || '" kind="Paragraph" hash="' || hash || '">' || {S.NL} || '      <context><![CDATA[' || {S.NL} || replace(content, ']]>', ']]]]><![CDATA[>') || {S.NL} || ']]></context>' || {S.NL} || '      <reviews>' || {S.NL} || reviews || '      </reviews>' || {S.NL} || '    </block>' || {S.NL}) AS xml_sha256 FROM f JOIN r ON fingerprint = hash""")
 def feedback_xml(spark, sf):
     from marginalia.operators import feedback
 
@@ -555,6 +559,27 @@ def snapshot_changed_paths(spark, sf):
     return diff.changed_paths(*V.snapshots(spark, sf))
 
 
+_ALTERED = f"files_doc AS (SELECT doc_id, lang || '/' || source AS dir, lang || '/' || source || '/doc-' || doc_id || '.txt' AS path, CASE WHEN doc_id % 7 = 0 THEN text || {S.NL} || 'appended' ELSE text END AS content FROM documents WHERE doc_id % 11 <> 0)"
+
+
+@query(f"WITH {_ALTERED}, {S.TREE} SELECT path, kind, hash FROM nodes")
+def incremental_scan(spark, sf):
+    """The tree of the later snapshot, from the earlier one's and the files that changed."""
+    from marginalia.plans import incremental
+
+    def files(snapshot):
+        return snapshot.select("path", F.lit(0).cast("bigint").alias("mtime"), F.length("content").cast("bigint").alias("size"), "content")
+
+    def process(found):
+        done = found.withColumn("hash", F.sha2(T.content_hash(F.col("content")), 256))
+        return done.select("path", "mtime", "size", "hash"), done.select("path", T.content_hash(F.col("content")).alias("hash"))
+
+    before, after = (files(x) for x in V.snapshots(spark, sf))
+    old = incremental.scanned(before.drop("content"), lambda listed: before, process)
+    new = incremental.updated(old, after.drop("content"), lambda listed: after.join(listed.select("path"), "path", "left_semi"), process)
+    return new.nodes.select("path", "kind", "hash")
+
+
 @query()
 def renamed_paths(spark, sf):
     """Changed paths, files that moved as one row each; the greedy choice among equals is beyond SQL."""

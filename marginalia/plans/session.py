@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.text import content_hash
 from marginalia.operators import actions, diff, feedback, review, subsplit, tree, verdicts
 from marginalia.operators.review import Filters
+from marginalia.plans import incremental
 from marginalia.sources import directory, git, log
 
 LOG_FOLDER = ".marginalia"
@@ -46,6 +47,11 @@ class Session:
         hashes = directory.file_hashes(found, blocks)
         return found.select("path", "language").join(hashes, "path"), blocks.join(found.select("path", "language"), "path")
 
+    def rescan(self) -> tuple[DataFrame, DataFrame]:
+        """As ``scan``, reading only files that changed since the last rescan, which is kept beside the log."""
+        found = incremental.scan_tree(self.spark, self.root, os.path.join(os.path.dirname(self.log_path), "scan"))
+        return found.files.select("path", "language", "hash"), found.blocks.join(found.files.select("path", "language"), "path")
+
     def _subs(self, blocks: DataFrame) -> DataFrame:
         return subsplit.sub_blocks(blocks.withColumn("complexity", F.lit(0)))
 

@@ -54,7 +54,7 @@ SENTENCE = r"[^.!?]*[.!?][ \t\n\x0C\r]*|[^.!?]+"
 RECORDS = f"""doc_hashes AS (SELECT doc_id, {content_hash('text')} AS fingerprint FROM documents),
 records AS (
   SELECT event_id::VARCHAR AS id, fingerprint, CASE WHEN event_type IN ('purchase', 'signup') THEN 'approved' WHEN event_type = 'error' THEN 'rejected' WHEN event_type = 'click' THEN 'comment' ELSE 'question' END AS verdict,
-         CASE WHEN event_type = 'signup' THEN 'security' ELSE 'review' END AS "check", epoch(date_trunc('day', ts))::BIGINT AS ts, event_id AS seq, 'u' || user_id || '@example.com' AS email
+         CASE WHEN event_type = 'signup' THEN 'security' ELSE 'review' END AS "check", epoch(date_trunc('day', ts))::BIGINT AS ts, event_id AS seq, 'u' || user_id || '@example.com' AS email, CASE WHEN event_type = 'click' THEN 'see <' || event_id || '> & more' END AS note
   FROM events JOIN doc_hashes ON doc_id = event_id % (SELECT count(*) FROM documents)
 )"""
 LATEST = """latest AS (SELECT fingerprint, verdict FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY ts DESC, seq DESC) AS r FROM records WHERE "check" = 'review') WHERE r = 1)"""

@@ -25,7 +25,8 @@ class DirectorySource(DataSource):
 
     Files that can't be read are skipped. Names that start with an underscore
     are kept, which Spark's own binary reader would drop. The path has to be
-    readable on all executors.
+    readable on all executors. With the option ``content`` set to false only
+    times and sizes are read.
     """
 
     @classmethod
@@ -36,12 +37,12 @@ class DirectorySource(DataSource):
         return "path string, mtime bigint, size bigint, content binary"
 
     def reader(self, schema) -> DataSourceReader:
-        return _DirectoryReader(self.options["path"])
+        return _DirectoryReader(self.options["path"], self.options.get("content", "true") == "true")
 
 
 class _DirectoryReader(DataSourceReader):
-    def __init__(self, root: str):
-        self.root = root
+    def __init__(self, root: str, content: bool = True):
+        self.root, self.content = root, content
 
     def partitions(self) -> list[_Files]:
         found = []
@@ -56,6 +57,9 @@ class _DirectoryReader(DataSourceReader):
             try:
                 if os.path.isfile(full):
                     stat = os.stat(full)
+                    if not self.content:
+                        yield path, int(stat.st_mtime), stat.st_size, None
+                        continue
                     with open(full, "rb") as file:
                         yield path, int(stat.st_mtime), stat.st_size, file.read()
             except OSError:
@@ -65,7 +69,36 @@ class _DirectoryReader(DataSourceReader):
 def files(spark: SparkSession, root: str) -> DataFrame:
     """Files with language and type; texts that aren't UTF-8 go, binaries stay without content."""
     spark.dataSource.register(DirectorySource)
-    raw = spark.read.format("review_directory").load(root)
+    return typed(spark.read.format("review_directory").load(root))
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, mtime, size) of the files, unread."""
+    spark.dataSource.register(DirectorySource)
+    return spark.read.format("review_directory").option("content", "false").load(root).select("path", "mtime", "size")
+
+
+def read_files(listed: DataFrame, root: str) -> DataFrame:
+    """The files of a listing, read in tasks; those that can't be read are skipped."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, mtime, size in zip(*(batch[c] for c in ("path", "mtime", "size"))):
+                try:
+                    with open(os.path.join(root, path), "rb") as file:
+                        rows.append((path, mtime, size, file.read()))
+                except OSError:
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "mtime", "size", "content"])
+
+    import pandas as pd
+
+    return typed(listed.select("path", "mtime", "size").repartition("path").mapInPandas(run, "path string, mtime bigint, size bigint, content binary"))
+
+
+def typed(raw: DataFrame) -> DataFrame:
+    """Files (path, mtime, size, content in bytes) with language and type; texts that aren't UTF-8 go, binaries stay without content."""
     path = F.col("path")
     kind = K.file_type(path, F.col("content"))
     rows = raw.select("path", "mtime", "size", kind.alias("type"), F.coalesce(K.language(path), F.when(kind == "Binary", "Unknown").otherwise("Text")).alias("language"), F.col("content").cast("string").alias("content"))

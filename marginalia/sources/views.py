@@ -25,7 +25,7 @@ def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as review records on documents: id, fingerprint, check, verdict, ts, seq, email."""
+    """``events`` as review records on documents: id, fingerprint, check, verdict, ts, seq, email, note."""
     hashes = table(spark, sf_dir, "documents").select("doc_id", content_hash(F.col("text")).alias("fingerprint"))
     n = table(spark, sf_dir, "documents").count()
     kind = F.col("event_type")
@@ -38,6 +38,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.unix_seconds(F.date_trunc("day", "ts").cast("timestamp")).alias("ts"),
         F.col("event_id").alias("seq"),
         F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.com")).alias("email"),
+        F.when(kind == "click", F.concat(F.lit("see <"), F.col("event_id").cast("string"), F.lit("> & more"))).alias("note"),
     )
     return events.join(hashes, "doc_id").drop("doc_id")
 

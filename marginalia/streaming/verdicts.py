@@ -13,9 +13,13 @@ from marginalia.storage import shared_folder
 
 
 def latest(stream: DataFrame) -> DataFrame:
-    """The latest verdict of the review check. The greatest time wins in whatever order records arrive, so no watermark is needed."""
-    once = stream.where(F.col("check") == "review").dropDuplicates(["id"])
-    return once.groupBy("fingerprint").agg(F.max_by("verdict", F.struct("ts", "seq")).alias("verdict"))
+    """(fingerprint, last): the verdict, time and place of the latest record of the review check.
+
+    The greatest (time, place) wins in whatever order records arrive, and a
+    record that arrives twice changes nothing, so neither ids nor a watermark
+    are kept: the state is one row for each fingerprint.
+    """
+    return stream.where(F.col("check") == "review").groupBy("fingerprint").agg(F.max(F.struct("ts", "seq", "verdict")).alias("last"))
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,20 +34,31 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(hashes, "doc_id").drop("doc_id")
 
 
-def latest_from_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All that is available, through the stream; the state at its end as a table in the shared folder.
+def follow(state: DataFrame, folder: str) -> None:
+    """Runs all that is available and writes what each trigger changed to ``folder``, in a folder of the trigger's own.
 
-    Each trigger writes the whole state beside the ones before, in parallel and
-    under its own name, so a trigger that is run again replaces itself.
+    A trigger that is run again replaces its own folder only.
     """
-    folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    state = latest(events_stream(spark, sf_dir))
-    last: list[int] = []
 
     def keep(rows: DataFrame, trigger: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{folder}/{trigger}")
-        last.append(trigger)
+        rows.write.mode("overwrite").parquet(f"{folder}/changes/{trigger}")
 
-    run = state.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start()
+    run = state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(state.schema).parquet(f"{folder}/{last[-1]}") if last else spark.createDataFrame([], state.schema)
+
+
+def merged(spark: SparkSession, folder: str, state: DataFrame) -> DataFrame:
+    """The table that the changes of all triggers add up to: the latest one of each fingerprint."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/changes")
+    if not found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found):
+        return spark.createDataFrame([], state.schema)
+    every = spark.read.schema(state.schema).option("recursiveFileLookup", True).parquet(f"{folder}/changes")
+    return every.groupBy("fingerprint").agg(F.max("last").alias("last"))
+
+
+def latest_from_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(fingerprint, verdict) of all that is available, through the stream."""
+    folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    state = latest(events_stream(spark, sf_dir))
+    follow(state, folder)
+    return merged(spark, folder, state).select("fingerprint", F.col("last.verdict").alias("verdict"))

@@ -15,7 +15,7 @@ def test_nested_view(spark):
 def test_lookups(spark):
     blocks = spark.createDataFrame([("p", 0, "function", "fn alpha() {}", "aa1"), ("p", 1, "code", "alpha beta. gamma", "ab2"), ("p", 2, "code", "beta", "ac3")], "path string, ord int, kind string, content string, hash string")
     assert actions.by_prefix(blocks, split.sentences, "ab").first()["ord"] == 1
-    for prefix, words in (("a", "Multiple"), ("zz", "not found")):
+    for prefix, words in (("a", "several"), ("zz", "nothing")):
         with pytest.raises(LookupError, match=words):
             actions.by_prefix(blocks, split.sentences, prefix)
     inner = split.sentences(blocks).where("content = 'gamma'").first()["hash"]
