@@ -180,21 +180,26 @@ def test_interval_tree_lists_all_occurrences():
     assert sorted((left, right, sorted(m)) for left, right, m in found) == [(0, 2, [0, 1, 2]), (1, 2, [0, 1]), (1, 3, [0, 1])]
 
 
-def removed_units(rows, least):
-    """Brute force: every run of units that is shortest with ``least`` words, from its first unit or to its last, against all earlier ones."""
+def removed_units(rows, least, whole):
+    """Brute force: every run of units that is shortest with ``least`` words, from its first unit or to its last, every line and paragraph of ``whole`` words, against all earlier ones."""
     seen, out = set(), {}
     for doc, text in rows:
         spans = [m.span() for m in re.finditer(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+", text)]
         words = [words_of(text[s:e]) for s, e in spans]
         count = lambda i, j: sum(map(len, words[i : j + 1]))
         gone, n = set(), len(spans)
+        at = lambda pattern: {k for k, (s, e) in enumerate(spans) if re.search(pattern, text[s:e]) or k == n - 1}
+        line_ends = at("\n")
+        block_ends = at("\n\n") | {k for k in line_ends if not words[k]}
+        is_run = lambda i, j, ends: j in ends and (i == 0 or i - 1 in ends) and not any(k in ends for k in range(i, j))
         for i in range(n):
             for j in range(i, n):
-                if not words[i] or not words[j]:
+                line = whole <= count(i, j) < least and (is_run(i, j, line_ends) or is_run(i, j, block_ends))
+                if not line and (not words[i] or not words[j]):
                     continue
                 enough = count(i, j) >= least and (count(i, j - 1) < least or count(i + 1, j) < least)
-                whole = count(0, n - 1) < least and count(i, j) == count(0, n - 1)
-                if enough or whole:
+                all_of_it = count(0, n - 1) < least and count(i, j) == count(0, n - 1) and words[i] and words[j]
+                if enough or all_of_it or line:
                     name = tuple(w for u in words[i : j + 1] for w in u)
                     if name in seen:
                         gone.update(range(i, j + 1))
@@ -203,10 +208,10 @@ def removed_units(rows, least):
     return out
 
 
-@pytest.mark.parametrize("least", [5, 12])
-def test_passages_equal_brute_force(spark, least):
+@pytest.mark.parametrize("least, whole", [(5, 15), (12, 4), (40, 3)])
+def test_passages_equal_brute_force(spark, least, whole):
     rng = random.Random(8)
-    sentence = lambda: " ".join(rng.choice("abcd") + rng.choice(["", "é"]) for _ in range(rng.randrange(0, 6))) + rng.choice([". ", "\n", "!? ", "... "])
+    sentence = lambda: " ".join(rng.choice("abcd") + rng.choice(["", "é"]) for _ in range(rng.randrange(0, 6))) + rng.choice([". ", "\n", "\n\n", "\n \n", "!? ", "... "])
     pool = [sentence() for _ in range(30)]
     rows = []
     for i in range(40):
@@ -215,8 +220,30 @@ def test_passages_equal_brute_force(spark, least):
             other = rng.choice(rows)[1]
             text = text + other[rng.randrange(len(other) + 1) :]
         rows.append((i, text))
-    got = {r["doc_id"]: r["kept"] for r in units.removed(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), least).collect()}
-    assert got == removed_units(rows, least)
+    got = {r["doc_id"]: r["kept"] for r in units.removed(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), least, whole).collect()}
+    assert got == removed_units(rows, least, whole)
+
+
+def test_units_of_shared_and_null_ids(spark):
+    text = " ".join(f"a{i}" for i in range(30)) + "."
+    line = " ".join(f"l{i}" for i in range(20))
+    rows = [(None, text)] * 3 + [(5, text + " b.")] * 2 + [(5, "other. " + text)] + [(i, f"Own start {i}.\n{line}\nOwn end {i}.") for i in range(10, 15)]
+    got = [(r["doc_id"], r["kept"]) for r in units.removed(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()]
+    assert len(got) == len(rows) and sorted(k for d, k in got if d is None) == ["", "", ""]
+    # Of the rows of id 5 one keeps the passage.
+    assert sum("a0 a1" in k for d, k in got if d == 5) == 1
+    assert [line in k for d, k in sorted((d, k) for d, k in got if d and d >= 10)] == [True, *[False] * 4]
+    alone = [(r["doc_id"], r["kept"]) for r in units.removed(spark.createDataFrame([(None, text)] * 3, "doc_id bigint, text string").repartition(3)).collect()]
+    assert sorted(k for _, k in alone) == ["", "", text]
+
+
+def test_a_frequent_passage_is_dealt_to_several_tasks(spark):
+    common = " ".join(f"c{i}" for i in range(26)) + ". "
+    rows = [(i, f"Own {i}. " + common + f"End {i}.") for i in range(200)] + [(None, common.strip())] * 40
+    got = {}
+    for r in units.removed(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect():
+        got.setdefault(r["doc_id"], []).append(r["kept"])
+    assert got[0] == [rows[0][1]] and all(got[i] == [f"Own {i}. End {i}."] for i in range(1, 200)) and got[None] == [""] * 40
 
 
 def test_units(spark, edge, empty):
