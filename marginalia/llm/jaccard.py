@@ -12,16 +12,18 @@ everything everywhere.) The order puts shingles that many documents hold last,
 by counts over the whole table, so what many share parts no region; any order
 gives the same result.
 
-Within a region of at most REGION documents, two are compared only if their
-sizes and then the counts of their shingles in slots, a projection that does
-not increase the distance, allow it. What passes is verified on the whole
-sets, each sent once to each unit of connected candidates. Larger regions that
-reach one another are a family and joined recursively: pivot documents part it
-into Voronoi cells, a document is a guest in each later cell whose pivot is
-within twice the limit of its nearest one, and cells that are still large are
-parted again. Documents that pivots connect are a group; cells of one group
-end, since all their links are implied, so a large group of near copies costs
-its size times its pivots. What no window parts (cells whose documents are all
+These regions only route documents to families. Within a region of at most
+REGION documents, two belong together only if their sizes and then the counts
+of their shingles in slots, a projection that does not increase the distance,
+allow a link; documents connected that way are a family. Larger regions that
+reach one another are a family as a whole. Every family is joined recursively
+on the whole sets: pivot documents part it into Voronoi cells, a document is a
+guest in each later cell whose pivot is within twice the limit of its nearest
+one, and cells of more than LEAF documents are parted again. Documents that
+pivots connect are a group; cells of one group end, since all their links are
+implied, so a large group of near copies costs its size times its pivots.
+Leaves are compared by pivots as well, whose distances exclude pairs by the
+triangle inequality. What no window parts (cells whose documents are all
 about as far from all pivots) is compared in blocks, again by pivots, distance
 bounds and groups; there the work is the cell's size times the number of its
 documents outside the largest group. Links form components, found by label
@@ -51,10 +53,12 @@ from marginalia.llm.common import WORD, WordHashes, documents, shingle_hashes, t
 
 SLOTS = 64
 REGION = 64
-#: A cell of more nodes is parted by pivots; HALF is what each side of a comparison of blocks aims at.
+#: A cell of more nodes is parted by pivots; smaller ones are compared at once, by pivots too.
+LEAF = 4
+#: A cell of more nodes is dealt to several tasks; HALF is what each side of a comparison of blocks aims at.
 BLOCK = 512
 HALF = 256
-#: Pivots of a large cell in each round, the rounds, and the most rows for one node that windows may make of a cell before it stays whole.
+#: Pivots of a cell in each round at most (the root of its size before), the rounds, and the most rows for one node that windows may make of a cell before it stays whole.
 PIVOTS = 32
 ROUNDS = 4
 SPREAD = 2
@@ -62,8 +66,7 @@ SALTS = 32
 #: A shingle met more than this often, counting tasks that meet it twice or more, is put last; at most so many are.
 OFTEN = 48
 LAST_AT_MOST = 1_000_000
-UNIT = 400
-#: Nodes aimed at for one task's share of units.
+#: Nodes of small cells that are joined together in one group.
 PART = 400
 #: Nodes that a task remembers to have emitted; forgetting one only repeats rows that are made distinct later.
 REMEMBERED = 500_000
@@ -259,12 +262,11 @@ def sized_pairs(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def families(crowded: DataFrame) -> DataFrame:
-    """(node, root, size): the nodes of large regions by the regions they reach through one another."""
+    """(node, root): the nodes of large regions by the regions they reach through one another."""
     # A region of very many nodes is dealt to SALTS tasks.
     hubs = crowded.groupBy("shingle").agg(F.min("node").alias("hub")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = crowded.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    label = components(dealt.join(hubs, ["shingle", "salt"]).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    return label.join(label.groupBy("root").agg(F.count("*").alias("size")), "root").select("node", "root", "size")
+    return components(dealt.join(hubs, ["shingle", "salt"]).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
 
 
 class Forest:
@@ -359,7 +361,7 @@ def parted(cells: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFr
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     # Nodes that no pivot has reached yet come first; the least by a hash are as good as random ones.
     order = Window.partitionBy("cell").orderBy(F.col("grp") != 0, F.xxhash64("node", F.lit(turn)), "node")
-    pivots = cells.where("own").withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS).withColumn("q", F.col("r") - 1)
+    pivots = cells.where("own").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.least(F.lit(PIVOTS), F.ceil(F.sqrt("size")) + 1)).withColumn("q", F.col("r") - 1)
     sent = pivots.select("cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "node", "own", F.lit(0).cast("bigint").alias("grp"), "q")
     own = cells.select("cell", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), "node", "own", "grp", F.lit(-1).alias("q"))
     rows = own.unionByName(sent).join(sets, "node")
@@ -409,8 +411,10 @@ def parted(cells: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFr
             for k in np.nonzero(d <= d[home] + window)[0]:
                 if k == home or k > home or not own[x]:
                     out.append(("place", cell, int(node[x]), near, int(number[pivot[k]]), int(number[pivot[home]]), bool(own[x] and k == home), int(grp[x])))
-        frame = pd.DataFrame(out, columns=columns)
-        return frame.astype({"cell": "int64", "node": "int64", "other": "Int64", "q": "int32", "home": "int32", "own": "bool", "grp": "int64"})
+        # Column by column: rows with and without a number together would make doubles of it, which don't hold 64 bits.
+        kinds = ("int64", "int64", "Int64", "int32", "int32", "bool", "int64")
+        values = list(zip(*out)) or [()] * len(columns)
+        return pd.DataFrame({"kind": pd.Series(values[0], dtype=object)} | {c: pd.array(list(v), dtype=t) for c, v, t in zip(columns[1:], values[1:], kinds)})
 
     return rows.groupBy("cell", "part").applyInPandas(run, "kind string, cell bigint, node bigint, other bigint, q int, home int, own boolean, grp bigint")
 
@@ -439,7 +443,7 @@ def mixed_cells(cells: DataFrame) -> DataFrame:
 def family_links(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) links that connect each family as all its links do.
 
-    A family is a cell. While a cell is large, pivots part it into Voronoi
+    A family is a cell. While a cell has more than LEAF nodes, pivots part it into Voronoi
     regions, which are cells in turn; where the windows would repeat its nodes
     too often, it stays whole and only loses its pivots. Nodes that pivots
     connect form groups, and cells of one group end. What is left after
@@ -447,9 +451,9 @@ def family_links(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     largest group.
     """
     cells = written(mixed_cells(family.select("node", F.xxhash64("root").alias("cell"), F.lit(True).alias("own"), F.lit(0).cast("bigint").alias("grp"))), "cells")
-    found, leaves = [], [cells.where(F.col("size") <= BLOCK)]
+    found, leaves = [], [cells.where(F.col("size") <= LEAF)]
     for turn in range(ROUNDS):
-        large = cells.where(F.col("size") > BLOCK)
+        large = cells.where(F.col("size") > LEAF)
         if large.isEmpty():
             break
         told = written(parted(large, sets, percent, turn), "parted")
@@ -461,9 +465,9 @@ def family_links(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         region = F.when(F.col("split"), F.xxhash64("cell", "q", F.lit(turn))).otherwise(F.col("cell"))
         # In a cell that stays whole, what was a guest stays one.
         cells = written(mixed_cells(placed.select("node", region.alias("cell"), "own", "grp")), "cells")
-        leaves.append(cells.where(F.col("size") <= BLOCK))
+        leaves.append(cells.where(F.col("size") <= LEAF))
     else:
-        leaves.append(cells.where(F.col("size") > BLOCK))
+        leaves.append(cells.where(F.col("size") > LEAF))
     every = leaves[0]
     for x in leaves[1:]:
         every = every.unionByName(x)
@@ -486,9 +490,16 @@ def block_links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     each = rows.select("cell", "node", "grp", whole.alias("whole"), F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), across - 1)).alias("i"), deal(down).alias("j"))
     odd = rows.where(F.col("odd") & ~whole).select("cell", "node", "grp", whole.alias("whole"), F.lit(0).alias("side"), deal(across).alias("i"), F.explode(F.sequence(F.lit(0), down - 1)).alias("j"))
-    units = each.unionByName(odd).join(sets, "node")
+    # Small cells share a group, so there are no more groups than the rows ask for.
+    packs = max(1, cells.where(whole).count() // PART)
+    pack = F.when(F.col("whole"), F.pmod(F.xxhash64("cell"), F.lit(packs))).otherwise(F.col("cell"))
+    units = each.unionByName(odd).withColumn("pack", pack).join(sets, "node")
 
-    def run(unit: pd.DataFrame) -> pd.DataFrame:
+    def run(units: pd.DataFrame) -> pd.DataFrame:
+        found = [links_of(unit) for _, unit in units.groupby("cell", sort=False)]
+        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}).astype("int64")
+
+    def links_of(unit: pd.DataFrame) -> pd.DataFrame:
         unit = unit.drop_duplicates(["node", "side"]).sort_values(["side", "node"]).reset_index(drop=True)
         side, node = unit["side"].to_numpy(), unit["node"].to_numpy()
         if side.all() and not unit["whole"].iat[0]:
@@ -499,7 +510,7 @@ def block_links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         links = [(node[x], node[y]) for x, y in links if node[x] != node[y]]
         return pd.DataFrame({"a": [x for x, _ in links], "b": [y for _, y in links]}).astype("int64")
 
-    return units.groupBy("cell", "i", "j").applyInPandas(run, "a bigint, b bigint")
+    return units.groupBy("whole", "pack", "i", "j").applyInPandas(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -520,37 +531,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return label
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) that link, by their whole sets.
-
-    Pairs are parted into units by their component of candidates and, where a
-    component is large, by blocks of its nodes; each node's set travels once to
-    each unit that has a pair of it.
-    """
-    label = components(pairs)
-    sizes = label.groupBy("root").agg(F.count("*").alias("size"))
-    placed = written(label.join(sizes, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / UNIT)).alias("block")), "units")
-    parts = max(1, placed.count() // PART)
-    unit = F.pmod(F.xxhash64("root", F.least("ba", "bb"), F.greatest("ba", "bb")), F.lit(parts))
-    dealt = pairs.join(placed.select(F.col("node").alias("a"), "root", F.col("block").alias("ba")), "a").join(placed.select(F.col("node").alias("b"), F.col("block").alias("bb")), "b").select(unit.alias("unit"), "a", "b")
-    dealt = written(dealt, "dealt")
-    wanted = dealt.select(F.col("unit").alias("part"), F.col("a").alias("node")).unionByName(dealt.select(F.col("unit").alias("part"), F.col("b").alias("node"))).distinct()
-    held = wanted.join(sets, "node")
-
-    def run(nodes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        own = dict(zip(nodes["node"], (np.frombuffer(x, np.uint64) for x in nodes["shingles"])))
-        keep = []
-        for a, b in zip(asked["a"], asked["b"]):
-            x, y = own[a], own[b]
-            both = np.searchsorted(y, x)
-            both[both == len(y)] = 0
-            shared = int((y[both] == x).sum())
-            keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-        return asked.loc[keep, ["a", "b"]] if len(keep) else asked[["a", "b"]]
-
-    return held.groupBy("part").cogroup(dealt.groupBy("unit")).applyInPandas(run, "a bigint, b bigint")
-
-
 def named(rows: DataFrame) -> tuple[DataFrame, frozenset[int]]:
     """Rows of documents with their nodes' final names, and the first numbers that different sets share.
 
@@ -578,13 +558,15 @@ def joined(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFram
     slots = members.where("slots is not null").groupBy("node").agg(F.first("slots").alias("slots"))
     each = pairs.join(slots.select(F.col("node").alias("a"), F.col("slots").alias("sa")), "a").join(slots.select(F.col("node").alias("b"), F.col("slots").alias("sb")), "b")
     close = written(near(each.select("a", "b", "na", "nb", "sa", "sb"), percent), "close")
+    # What small regions leave as near is a family as well: its cells, not its pairs, are compared in whole.
+    family = written(family.unionByName(components(close).select("node", F.xxhash64("root", F.lit("close")).alias("root"))), "cells")
     # The text of one document of each node that has to be compared in whole.
-    asked = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).unionByName(family.select("node")).distinct()
+    asked = family.select("node").distinct()
     kept = asked.join(members.groupBy("node").agg(_least().alias("first")), "node").select("node", F.col("first.doc_id").alias("kept_id"), F.col("first.h").alias("kept_h"))
     # Merged at every size: these nodes grow with the documents, so they are not broadcast while they are few.
     texts = _keyed(docs).join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_h"))).select("node", "text")
     sets = written(sets_of(texts, width, clashes), "sets")
-    links = written(verified(close, sets, percent).unionByName(family_links(family, sets, percent)), "links")
+    links = written(family_links(family, sets, percent), "links")
     return members.select("doc_id", "h", "n", "node"), links, components(links)
 
 

@@ -54,9 +54,9 @@ def near_copies(seed=1):
     return [(i, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("region", "block", "often"), [(64, 1000, 48), (3, 4, 2)])
-def test_jaccard_equals_brute_force(spark, monkeypatch, region, block, often):
-    for name, value in (("REGION", region), ("BLOCK", block), ("OFTEN", often), ("UNIT", 3), ("PART", 5)):
+@pytest.mark.parametrize(("region", "leaf", "block", "often"), [(64, 4, 1000, 48), (3, 2, 4, 2)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, region, leaf, block, often):
+    for name, value in (("REGION", region), ("LEAF", leaf), ("BLOCK", block), ("OFTEN", often), ("PART", 5)):
         monkeypatch.setattr(jaccard, name, value)
     rows = near_copies()
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -64,6 +64,27 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, region, block, often):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == components(rows, 4, 85)
 
 
+def test_documents_are_pivots_of_cells_in_the_given_tables(spark, monkeypatch):
+    """Pivots, Voronoi cells and guests of windows on the main path, at every size of table."""
+    from collections import Counter
+
+    from marginalia.llm.common import written
+
+    met, parted = Counter(), jaccard.parted
+
+    def counted(*given):
+        told = written(parted(*given), "counted")
+        for r in told.groupBy("kind", "own").count().collect():
+            met[r["kind"], r["own"]] += r["count"]
+        return told
+
+    monkeypatch.setattr(jaccard, "parted", counted)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    assert jaccard.classes(docs, 4, 85).count() == docs.count()
+    print(met)
+    assert met["link", False] > 0 and met["place", True] > 0 and met["place", False] > 0
+
+
 def test_jaccard_edges(edge, empty):
     rows = [(r["doc_id"], r["text"]) for r in edge.select("doc_id", "text").collect()]
     got = jaccard.classes(edge, 5, 80).collect()
