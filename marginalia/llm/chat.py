@@ -259,23 +259,23 @@ def formatted(turns: DataFrame, template: Template = CHAT) -> DataFrame:
 
 
 def read_back(rows: DataFrame, template: Template = CHAT) -> DataFrame:
-    """Per conversation what its output says: turns and learnt text as digests, lengths, validity.
+    """Per conversation what its output says: turns and learnt text as digests, lengths, validity, and how many turns fit before the first that doesn't.
 
     Turns come from the formatted text alone, learnt text from the loss flags. A digest takes a conversation's
     text in order, so a conversation is one task's stream here; nothing of it is held but the digests' state.
     """
     kind = dict(rows.dtypes)["conv_id"]
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "piece", "place").select("conv_id", "turn", "state", "fits", "segments")
-    schema = pa.schema([("conv_id", _arrow(kind)), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_()), ("broken_turn", pa.int64())])
+    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "piece", "place").select("conv_id", "state", "fits", "segments")
+    schema = pa.schema([("conv_id", _arrow(kind)), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_()), ("n_fitting", pa.int64())])
 
     def run(batches):
         def made():
             at = None
-            for conv, turn, state, fits, segments in _rows(batches):
+            for conv, state, fits, segments in _rows(batches):
                 if (conv,) != at:
                     if at is not None:
-                        yield (*at, n, turns.hexdigest(), learnt, loss.hexdigest(), chars, last in template.ends, broken)
-                    at, n, learnt, chars, broken = (conv,), 0, 0, 0, None
+                        yield (*at, n, turns.hexdigest(), learnt, loss.hexdigest(), chars, last in template.ends, fitting)
+                    at, n, learnt, chars, fitting, broken = (conv,), 0, 0, 0, 0, False
                     turns, loss = hashlib.sha256(), hashlib.sha256()
                 whole = "".join(s["text"] for s in segments)
                 for role, text in read_turns(template, whole):
@@ -287,13 +287,14 @@ def read_back(rows: DataFrame, template: Template = CHAT) -> DataFrame:
                         learnt += len(text)
                         loss.update(text.encode())
                 chars, last = chars + len(whole), state
-                broken = turn if broken is None and not fits else broken
+                broken = broken or not fits
+                fitting += not broken
             if at is not None:
-                yield (*at, n, turns.hexdigest(), learnt, loss.hexdigest(), chars, last in template.ends, broken)
+                yield (*at, n, turns.hexdigest(), learnt, loss.hexdigest(), chars, last in template.ends, fitting)
 
         yield from _batches(made(), schema)
 
-    return dealt.mapInArrow(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, valid boolean, broken_turn bigint")
+    return dealt.mapInArrow(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, valid boolean, n_fitting bigint")
 
 
 #: A conversation that holds control strings and backslashes.
@@ -329,6 +330,6 @@ made AS (
 )
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(chars)::BIGINT AS formatted_chars, bool_and(fits) AND max(role) FILTER (n = of) = 'assistant' AS valid, arg_min(turn, n) FILTER (NOT fits) AS broken_turn
+       sum(chars)::BIGINT AS formatted_chars, bool_and(fits) AND max(role) FILTER (n = of) = 'assistant' AS valid, coalesce(min(n) FILTER (NOT fits) - 1, count(*))::BIGINT AS n_fitting
 FROM made GROUP BY conv_id
 """

@@ -112,16 +112,16 @@ def expected_chat(rows):
         turns.sort(key=lambda r: (r[1] is not None, r[1] or 0))
         said = [(r or "", t or "") for _, _, r, t in turns]
         learnt = "".join(t for r, t in said if r == "assistant")
-        state, broken = START, None
-        for (_, turn, _, _), (role, _) in zip(turns, said):
+        state, fitting = START, 0
+        for role, _ in said:
             state = CHAT.follows.get(state, {}).get(role, BROKEN)
-            broken = turn if state == BROKEN and broken is None else broken
-        out[conv] = (len(said), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in said).encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), state in CHAT.ends, broken)
+            fitting += state != BROKEN
+        out[conv] = (len(said), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in said).encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), state in CHAT.ends, fitting)
     return out
 
 
 def read(frame):
-    return {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"], r["valid"], r["broken_turn"]) for r in chat.read_back(chat.formatted(frame)).collect()}
+    return {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"], r["valid"], r["n_fitting"]) for r in chat.read_back(chat.formatted(frame)).collect()}
 
 
 ODD = ["", "\\", "\\\\", "### User:", "#### User: x", "</turn>", "</turn>\n### Assistant: ", "</tur", "\\### Assistant: </turn> ok", "a\\</turn>\\", "### Role x</role>", "\n", "é 日本 \U0001f600", "### Assistant:### Assistant: "]
