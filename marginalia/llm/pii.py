@@ -2,10 +2,11 @@
 
 Base spans are the leftmost non-overlapping matches of fixed patterns, each
 checked. High-recall generators propose further spans: runs that may be
-secrets, values assigned to secret names, keys with known prefixes, bank
-numbers, grouped digits (phone and identity numbers), runs of digits, IPv6,
-written-out mail addresses, street addresses and dates. Proposals overlap
-freely, with one another and with base spans. Boosted trees score each from its
+secrets, values assigned to secret names, keys with known prefixes, names and
+passwords in URLs, bank numbers, grouped digits (phone and identity numbers),
+runs of digits, identity numbers with letters, IPv6, written-out mail
+addresses, street addresses and dates. Proposals overlap freely, with one
+another and with base spans. Boosted trees score each from its
 format and context, and those whose calibrated probability reaches their
 generator's threshold are redacted. All selected spans are reported, so an
 overlap never costs a span; ``redacted`` merges what overlaps.
@@ -17,7 +18,10 @@ Defined cases: a null text has no spans; positions count code points; every
 pattern enters a run only at its start or repeats a bounded number of times,
 each match's context is cut while matching, and a candidate's features are
 computed once, so ``detected`` takes time in proportion to the text and its
-matches (``redacted`` copies the text once a span).
+matches (``redacted`` copies the text once a span). What lies beyond a
+generator's bounds is no candidate of it: written-out mail addresses with local
+parts over 64 or labels over 63 characters, street names with words over 21
+letters (31 before a joined ending), identity numbers over 14 characters.
 Repeated rows repeat their result. Only doc_id and text are read; an empty
 table gives an empty table.
 """
@@ -45,21 +49,34 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: A name that a value is assigned to, up to the value.
-ASSIGNED = r"(?i)(?:passwords?|passwd|pwd|passphrase|secret|token|key|credentials?)[\x22\x27]?\x20{0,2}[:=]\x20{0,2}[\x22\x27]?"
+ASSIGNED = r"(?i)(?:passwor[dt]s?|passwd|kennwort|mot\x20de\x20passe|contraseña|pwd|passphrase|secret|token|key|credentials?|(?<![A-Z])(?:pw|pass|passcode|pin))[\x22\x27]?(?:\x20{0,2}[:=]\x20{0,2}|\x20(?:is|was|ist|est|es)\x20)[\x22\x27]?"
+#: Month names in English, French, German and Spanish, short ones among them.
+MONTHS = (
+    "January|February|March|April|May|June|July|August|September|October|November|December|"
+    "janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|novembre|décembre|"
+    "Januar|Februar|März|Juni|Juli|Oktober|Dezember|"
+    "enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|octubre|noviembre|diciembre|"
+    "Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec"
+)
+DAY = r"[0-9]{1,2}(?:st|nd|rd|th|er|º|\.)?"
+#: What keys of well-known services start with.
+PREFIXES = r"A[KS]IA|gh[oprsu]_|github_pat_|glpat-|xox[abeprs]-|sk-|[rs]k_(?:live|test)_|whsec_|npm_|hf_|SG\.|ya29\.|AIza|eyJ|-----BEGIN"
 GAP = r"\x20{0,2}[\[({<]?\x20?"
 SHUT = r"\x20?[\])}>]?\x20{0,2}"
 #: Generators of candidates.
 GENERATORS = {
     "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+",
     "assigned": ASSIGNED + r"[^\s\x22\x27,;]{4,}+",
-    "key": r"(?<![A-Za-z0-9_-])(?:A[KS]IA[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{36,}+|xox[abeprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+(?:\.[A-Za-z0-9_-]++)?|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)",
+    "key": r"(?<![A-Za-z0-9_-])(?:A[KS]IA[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{22,}+|glpat-[A-Za-z0-9_-]{20,}+|xox[abeprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}+|whsec_[A-Za-z0-9]{20,}+|npm_[A-Za-z0-9]{36,}+|hf_[A-Za-z0-9]{30,}+|SG\.[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}+|ya29\.[A-Za-z0-9_-]{20,}+|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+(?:\.[A-Za-z0-9_-]++)?|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)",
+    "login": r"(?<=://)[^\s/@:?#\x22\x27<>]*+:[^\s/@\x22\x27<>]++(?=@)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "number": r"(?<![0-9A-Za-z.,+-])\(?[0-9]{1,8}\)?(?:[\x20./-]{1,2}\(?[0-9]{1,8}\)?){1,7}+(?![0-9A-Za-z])",
     "digits": r"(?<![0-9A-Za-z._-])[0-9]{7,19}+(?![0-9A-Za-z_-])",
-    "ipv6": r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,8}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])",
+    "identity": r"(?<![A-Za-z0-9_./-])(?:[A-Z]{1,3}[\x20-]?[0-9]{5,9}-?[A-Z]?|[0-9]{7,9}-?[A-Z]|[A-Z]{2}(?:\x20[0-9]{2}){3}\x20[A-Z]|(?=[A-Z]{0,9}[0-9])[A-Z][A-Z0-9]{7,9})(?![A-Za-z0-9_-])",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?!(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:]))(?:[0-9A-Fa-f]{0,4}:){2,8}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])",
     "mail": rf"(?i)(?<![{LOCAL}])[{LOCAL}]{{1,64}}+{GAP}(?:at|@){SHUT}(?<=[\x20\])}}>])[A-Z0-9-]{{1,63}}+(?:{GAP}(?:dot|punkt|punto|point){SHUT}(?<=[\x20\])}}>])[A-Z0-9-]{{2,24}}+|\.[A-Z0-9-]{{2,24}}+){{1,3}}+",
     "address": r"(?<![0-9A-Za-z])[0-9]{1,5}[a-zA-Z]?,?\x20(?:(?:\p{Lu}\p{L}{1,20}\x20){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Square|Way)(?!\p{L})|(?:rue|avenue|boulevard|place|chemin|impasse)(?:\x20\p{L}[\p{L}\x27-]{0,20}){1,3})|(?:(?<!\p{L})\p{Lu}[\p{L}-]{1,30}(?:straße|strasse|str\.|weg|platz|allee|gasse)|(?<!\p{L})(?:[Cc]alle|[Aa]venida|[Pp]laza|[Pp]aseo)(?:\x20\p{L}{1,20}){1,4},?)\x20[0-9]{1,4}[a-z]?(?![0-9A-Za-z])",
-    "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:[0-9]{4}|[0-9]{2}))(?![0-9A-Za-z])",
+    "date": rf"(?<![0-9A-Za-z./-])(?:[0-9]{{4}}[./-][0-9]{{1,2}}[./-][0-9]{{1,2}}|[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-](?:[0-9]{{4}}|[0-9]{{2}})|(?i:{DAY}[\x20-](?:of\x20|de\x20)?(?:{MONTHS})\.?,?[\x20-](?:de\x20|del\x20)?[0-9]{{4}}|(?:{MONTHS})\.?\x20{DAY},?\x20[0-9]{{4}}))(?![0-9A-Za-z])",
 }
 #: What each pattern can't match without: texts without it are not scanned.
 NEEDS = {
@@ -68,15 +85,17 @@ NEEDS = {
     "card": "[0-9]{2}|[0-9][ -][0-9]",
     "phone": r"\+[0-9]",
     "secret": None,
-    "assigned": "[:=]",
-    "key": "A[KS]IA|gh[oprsu]_|xox[abeprs]-|sk-|AIza|eyJ|-----BEGIN",
+    "assigned": "(?i)[:=]| (?:is|was|ist|est|es) ",
+    "key": PREFIXES,
+    "login": "://",
     "iban": "[A-Z]{2}[0-9]{2}",
     "number": r"[0-9]\)?[\x20./-]",
     "digits": "[0-9]{7}",
+    "identity": "[A-Z][0-9]|[0-9]-?[A-Z]|[A-Z][ -][0-9]",
     "ipv6": ":[0-9A-Fa-f]{0,4}:",
     "mail": "(?i)(?:at|@)[ \\])}>]",
     "address": "[0-9]",
-    "date": "[0-9][./-][0-9]{1,2}[./-][0-9]",
+    "date": "[0-9][./-][0-9]{1,2}[./-][0-9]|[0-9A-Za-z.,][ -][0-9]{4}",
 }
 #: Kinds whose match starts with a name that is no part of the span.
 LEADS = {"assigned": "^" + ASSIGNED}
@@ -165,22 +184,27 @@ FORMS = [
     f"^[0-9a-f]+{END}",
     "::",
     r"([0-9A-Za-z=_*-])\1{5}",
-    "^(?:A[KS]IA|gh[a-z]_|xox[a-z]-|sk-|AIza|eyJ|-----BEGIN)",
+    f"^(?:{PREFIXES})",
     "[^A-Za-z](?:dot|DOT)[^A-Za-z]",
     r"[^A-Za-z](?:at|AT)[^A-Za-z ]|[\[({<](?:at|AT)|@",
     "[.](?:com|org|net|de|fr|es|io|co)" + END,
     "(?i)(?:^|[^a-z])(?:com|org|net|de|fr|es|io|co|edu)" + END,
     "(?:Street|Avenue|Road|Lane|Drive|Boulevard|rue|stra(?:ß|ss)e|Calle|avenue|boulevard)",
+    f"^[A-Z]{{1,3}}[ -]?[0-9]{{5,9}}{END}",
+    f"^(?:[A-Z]{{2}}[ ]?(?:[0-9]{{2}}[ ]?){{3}}[A-Z]|[XYZ]?[0-9]{{7,8}}-?[A-Z]){END}",
+    r"^[^:]*:(?:[<{$*\[%]|(?i:password|passwd|pass|secret|token|xxx))",
+    "(?i)^(?:[<{$*%]|null|none|true|false|required|undefined|changed|invalid|missing|wrong|optional|expired)",
 ]
 BEFORE = [
-    "(?i)(?:token|secret|passw|pwd|api|key|auth|bearer|credential|passphrase)",
+    "(?i)(?:token|secret|passw|kennwort|de passe|contrase|pwd|api|key|auth|bearer|credential|passphrase|passcode|(?<![a-z])(?:pw|pass|pin)(?![a-z]))",
     "(?i)(?:phone|tel|call|mobile|cell|fax|number|handy|contact|ring|reach)",
-    "(?i)(?:ssn|social|passport|tax|national|license|dni|ausweis|insurance|account|konto)",
+    "(?i)(?:ssn|social|passport|passeport|pasaporte|reisepass|tax|national|licen[cs]e|permis|dni|(?<![a-z])(?:nie|nif|nino|id)(?![a-z])|identity|identit[éy]|ausweis|insurance|account|konto)",
     "(?i)(?:born|birth|dob|geb|n[ée]e? le|nacid)",
     "(?i)(?:iban|bank|account|konto|compte|transfer)",
     "(?i)(?:mail|contact|write)",
     "(?i)(?:live|address|adresse|wohn|ship|home|habite|direcc|visit)",
     rf"[=:][ \t]{{0,2}}[\x22\x27`]?{END}",
+    rf"(?i) (?:is|was|ist|est|es) [\x22\x27`]?{END}",
     f"[\\x22\\x27`]{END}",
     f"[0-9][^0-9A-Za-z]{{0,3}}{END}",
     f"[/@#]{END}",

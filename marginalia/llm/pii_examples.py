@@ -9,8 +9,10 @@ import string
 SYLLABLES = ["ba", "the", "en", "ri", "tion", "lo", "sch", "heit", "ar", "un", "que", "os", "ment", "ción", "keit", "eau", "er", "an", "th", "ou"]
 SECRET_NAMES = ["token", "api_key", "secret", "password", "auth key", "access token", "client_secret", "API_KEY", "passwd", "pwd", "credential", "secret key", "Password", "private_key"]
 PHONE_NAMES = ["phone", "tel", "call", "mobile", "call me at", "my number is", "cell", "fax", "Telefon", "téléphone", "teléfono", "Tel.", "Handy", "reach us on", "ring", "contact"]
-ID_NAMES = ["ssn", "SSN", "social security number", "passport", "passport no", "tax id", "Ausweis", "DNI", "national id", "insurance number", "driver license", "account number", "konto"]
-BIRTH_NAMES = ["born on", "born", "date of birth", "dob", "DOB", "geboren am", "né le", "née le", "nacido el", "birthday", "Geburtsdatum"]
+ID_NAMES = ["ssn", "SSN", "social security number", "passport", "passport no", "tax id", "Ausweis", "DNI", "national id", "insurance number", "driver license", "account number", "konto", "Passport No.", "passport number", "Personalausweis", "Reisepass Nr.", "NIE", "NIF", "passeport", "pasaporte", "driving licence", "identity card", "ID", "NINO", "national insurance"]
+BIRTH_NAMES = ["born on", "born", "date of birth", "dob", "DOB", "geboren am", "né le", "née le", "nacido el", "birthday", "Geburtsdatum", "was born on", "geboren", "née", "nacida el", "geb.", "birth date"]
+#: Months in four languages, with the word between day, month and year.
+MONTHS = [(m, "") for m in ("January", "March", "May", "July", "October", "December", "Feb", "Sept", "mai", "août", "février", "juin", "März", "Juli", "Oktober", "Dezember")] + [(m, "de ") for m in ("enero", "mayo", "julio", "octubre")]
 BANK_NAMES = ["IBAN", "iban", "account", "bank account", "Konto", "transfer to", "compte"]
 PLACES = ["lives at", "address", "Adresse", "wohnt", "ship to", "home", "habite", "dirección", "visit us at"]
 
@@ -75,7 +77,10 @@ def secret(rng: random.Random) -> tuple[str, str, str, int]:
 
 
 def assigned(rng: random.Random) -> tuple[str, str, str, int]:
-    before, after = _assignment(rng, ["password", "passwd", "pwd", "secret", "token", "api key", "credential", "Password", "passphrase"])
+    names = ["password", "passwd", "pwd", "secret", "token", "api key", "credential", "Password", "passphrase", "pw", "pass", "passcode", "PW", "Passwort", "Kennwort", "mot de passe", "contraseña"]
+    before, after = _assignment(rng, names)
+    if rng.random() < 0.35:
+        before, after = f"{word(rng)} {rng.choice(names)} {rng.choice(['is', 'is', 'was', 'ist', 'est', 'es'])} ", rest(rng)
     kind = rng.randrange(8)
     if kind < 4:
         core = word(rng, 3)
@@ -83,17 +88,37 @@ def assigned(rng: random.Random) -> tuple[str, str, str, int]:
         return value, before, after, 1
     if kind == 4:
         return rng.choice(["null", "none", "None", "true", "false", "required", "****", "xxxx", "<password>", "{password}", "${TOKEN}", "********", "undefined"]), before, after, 0
+    if kind == 5:
+        return word(rng, 3).ljust(4, "e") + rng.choice(["", "", ".", "!", ")"]), f"{words(rng, 2)} {rng.choice(['password', 'token', 'secret', 'key', 'pass', 'pin'])} {rng.choice(['is', 'was', 'ist', 'est', 'es'])} ", rest(rng), 0
     return word(rng, 3).ljust(4, "e"), f"{words(rng, 2)} {rng.choice(['password', 'token', 'secret', 'key'])}: ", rest(rng), 0
 
 
 def key(rng: random.Random) -> tuple[str, str, str, int]:
     both = string.ascii_letters + string.digits
     if rng.random() < 0.6:
-        made = rng.choice(["AKIA" + drawn(rng, string.ascii_uppercase + string.digits, 16), "gh" + rng.choice("oprsu") + "_" + rng.choice([drawn(rng, both, 36), drawn(rng, string.ascii_lowercase + string.digits, 36)]), f"xoxb-{digits(rng, 11)}-{drawn(rng, both, 24)}", "sk-" + drawn(rng, both, 40), "AIza" + drawn(rng, both + "_-", 35), f"eyJ{drawn(rng, both, 20)}.{drawn(rng, both, 60)}.{drawn(rng, both, 40)}", "-----BEGIN RSA PRIVATE KEY-----"])
+        made = rng.choice(["AKIA" + drawn(rng, string.ascii_uppercase + string.digits, 16), "gh" + rng.choice("oprsu") + "_" + rng.choice([drawn(rng, both, 36), drawn(rng, string.ascii_lowercase + string.digits, 36)]), f"xoxb-{digits(rng, 11)}-{drawn(rng, both, 24)}", "sk-" + drawn(rng, both, 40), "AIza" + drawn(rng, both + "_-", 35), f"eyJ{drawn(rng, both, 20)}.{drawn(rng, both, 60)}.{drawn(rng, both, 40)}", "-----BEGIN RSA PRIVATE KEY-----", f"{rng.choice('rs')}k_{rng.choice(['live', 'test'])}_{drawn(rng, both, rng.choice([16, 24, 32, 40]))}", "github_pat_" + drawn(rng, both, 40), "glpat-" + drawn(rng, both, 20), "whsec_" + drawn(rng, both, 32), "npm_" + drawn(rng, both, 36), "hf_" + drawn(rng, both, 34), f"SG.{drawn(rng, both, 22)}.{drawn(rng, both, 43)}", "ya29." + drawn(rng, both + "_-", 60)])
         return made, rng.choice([plain(rng), named(rng, SECRET_NAMES), "aws "]), rest(rng), 1
     return rng.choice(["sk-" + "-".join(word(rng) for _ in range(8))[:40].ljust(20, "a"), "xoxb-" + "-".join(word(rng) for _ in range(4)).ljust(10, "a"), "eyJ" + "".join(word(rng) for _ in range(4)).ljust(8, "a") + "." + word(rng).ljust(4, "a")]), plain(rng), rest(rng), 0
 
 
+def login(rng: random.Random) -> tuple[str, str, str, int]:
+    user = rng.choice([word(rng), word(rng) + digits(rng, 2), "admin", "root", "postgres", ""])
+    scheme = rng.choice(["postgres", "mysql", "https", "http", "ftp", "redis", "mongodb+srv", "amqp", "smb"])
+    before, after = f"{words(rng, 2)} {scheme}://", f"@{word(rng)}.{rng.choice(['com', 'org', 'de', 'local'])}"
+    if rng.random() < 0.65:
+        secret = rng.choice([word(rng, 3).ljust(4, "e"), word(rng) + digits(rng, rng.randrange(1, 5)), word(rng).title() + rng.choice("!#$%&*") + digits(rng, 2), drawn(rng, string.ascii_letters + string.digits, rng.randrange(6, 40))])
+        return f"{user}:{secret}", before, after, 1
+    return rng.choice([f"{user}:{x}" for x in ("****", "<password>", "{password}", "${PASSWORD}", "password", "pass", "%s", "[secret]", "xxxx", "secret")] + ["${USER}:${PASS}", "{user}:{pw}"]), before, after, 0
+
+
+def identity(rng: random.Random) -> tuple[str, str, str, int]:
+    up = string.ascii_uppercase
+    made = [f"{drawn(rng, up, rng.randrange(1, 4))}{digits(rng, rng.randrange(6, 10))}", f"{drawn(rng, up, 2)}{digits(rng, 6)}{rng.choice('ABCD')}", f"{digits(rng, 8)}{rng.choice(['', '-'])}{rng.choice(up)}", f"{rng.choice('XYZ')}{digits(rng, 7)}{rng.choice(['', '-'])}{rng.choice(up)}", f"{drawn(rng, up, 2)} {digits(rng, 2)} {digits(rng, 2)} {digits(rng, 2)} {rng.choice('ABCD')}", f"{rng.choice('CFGHJKL')}{drawn(rng, 'CFGHJKLMNPRTVWXYZ0123456789', 7)}{digits(rng, 1)}"]
+    if rng.random() < 0.5:
+        return rng.choice(made), named(rng, ID_NAMES), rest(rng), 1
+    return rng.choice([*made, f"{drawn(rng, up, 3)} {digits(rng, 5)}", f"{drawn(rng, up, 2)}-{digits(rng, 5)}"]), rng.choice([plain(rng), plain(rng), named(rng, ["model", "part", "order", "ref", "version", "room", "flight", "type", "item", "code", "invoice"])]), rest(rng), 0
+
+
 def iban(rng: random.Random) -> tuple[str, str, str, int]:
     country, body = rng.choice([("DE", 18), ("FR", 23), ("ES", 20), ("GB", 18), ("NL", 14), ("IT", 23)]), ""
     body = ("" if country[0] in ("DE", "ES") else drawn(rng, string.ascii_uppercase, 4)) + digits(rng, country[1])
@@ -140,7 +165,7 @@ def run_of_digits(rng: random.Random) -> tuple[str, str, str, int]:
 def ipv6(rng: random.Random) -> tuple[str, str, str, int]:
     h = lambda: f"{rng.randrange(65536):x}"
     if rng.random() < 0.5:
-        return rng.choice([":".join(h() for _ in range(8)), f"{rng.choice(['2001', 'fe80', '2a02', 'fd00'])}:{h()}::{h()}", f"{rng.choice(['2001', 'fe80'])}::{h()}:{h()}:{h()}:{h()}"]), plain(rng), rest(rng), 1
+        return rng.choice([":".join(h() for _ in range(8)), f"{rng.choice(['2001', 'fe80', '2a02', 'fd00'])}:{h()}::{h()}", f"{rng.choice(['2001', 'fe80'])}::{h()}:{h()}:{h()}:{h()}", f"{rng.choice(['2001', '2a00', 'fd12', '2606'])}:{h()}::{rng.randrange(1, 16):x}", f"{rng.choice(['2001', '2a00', '2606'])}:{h()}:{h()}::{rng.choice(['', h()])}", f"{rng.choice(['fe80', 'fd00', '2001'])}::{rng.randrange(1, 256):x}"]), plain(rng), rest(rng), 1
     d = lambda: f"{rng.randrange(60):02d}"
     return rng.choice([f"{d()}:{d()}:{d()}", "::", f"{rng.randrange(9)}:{d()}:", "a::", "::b", f"{rng.randrange(1, 9)}:{rng.randrange(1, 9)}:{rng.randrange(1, 9)}", ":::"]), plain(rng), rest(rng), 0
 
@@ -164,8 +189,11 @@ def address(rng: random.Random) -> tuple[str, str, str, int]:
 def date(rng: random.Random) -> tuple[str, str, str, int]:
     day, month, year = rng.randrange(1, 29), rng.randrange(1, 13), rng.randrange(1900, 2030)
     made = rng.choice([f"{day:02d}.{month:02d}.{year}", f"{year}-{month:02d}-{day:02d}", f"{month}/{day}/{year}", f"{day}.{month}.{year % 100:02d}", f"{day}/{month}/{year}"])
+    if rng.random() < 0.5:
+        month, of = rng.choice(MONTHS)
+        made = rng.choice([f"{day} {of}{month} {of}{year}", f"{day}. {month} {year}", f"{month} {day}, {year}", f"{month} {day} {year}", f"{day}{'st' if day == 1 else 'th'} of {month} {year}", f"{month} {day}{'st' if day == 1 else 'th'}, {year}"])
     born = rng.random() < 0.5
     return made, named(rng, BIRTH_NAMES) if born else rng.choice([plain(rng), named(rng, ["on", "since", "published", "dated", "version", "until", "le", "am", "updated"])]), rest(rng), int(born)
 
 
-EXAMPLES = {"secret": secret, "assigned": assigned, "key": key, "iban": iban, "number": number, "digits": run_of_digits, "ipv6": ipv6, "mail": mail, "address": address, "date": date}
+EXAMPLES = {"secret": secret, "assigned": assigned, "key": key, "login": login, "iban": iban, "number": number, "digits": run_of_digits, "identity": identity, "ipv6": ipv6, "mail": mail, "address": address, "date": date}
