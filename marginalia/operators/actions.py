@@ -98,3 +98,29 @@ def nested_json(nodes: DataFrame) -> DataFrame:
         met = rows.join(joined, F.col("path") == F.col("p"), "left")
         below = written(own(met, F.coalesce("inner", F.lit(""))), "views")
     return below.select("path", "view")
+
+
+def view_pieces(nodes: DataFrame) -> DataFrame:
+    """(key, piece): the text of ``nested_json`` in pieces, whose order by key gives the whole.
+
+    A file is one piece, a directory opens with one and closes with another, so
+    no row grows with the tree. A key holds the entries from the root down;
+    what closes a directory sorts behind all entries below it.
+    """
+    parts = F.split("path", "/")
+    entry = F.concat(F.when(F.col("kind") == "file", "file:").otherwise("dir:"), "name")
+    above = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.concat(F.lit("dir:"), p))
+    key = F.when(F.col("kind") == "root", F.array().cast("array<string>")).otherwise(F.concat(above, F.array(entry)))
+    first = nodes.where("kind <> 'root'").groupBy("parent").agg(F.min_by("path", entry).alias("path")).select("path", F.lit(True).alias("leads"))
+    head = F.to_json(F.struct(F.col("kind").alias("type"), "name", "path", "hash"))
+    comma = F.when((F.col("kind") == "root") | F.col("leads"), "").otherwise(",")
+    opened = F.concat(comma, F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"children":['))
+    closing = F.struct(F.concat(key, F.array(F.lit("~"))).alias("key"), F.lit("]}").alias("piece"))
+    alone = F.array(F.struct(key.alias("key"), F.concat(opened, F.lit("]}")).alias("piece")))
+    both = F.array(F.struct(key.alias("key"), opened.alias("piece")), closing)
+    return nodes.join(first, "path", "left").select(F.inline(F.when(F.col("kind") == "file", alone).otherwise(both)))
+
+
+def write_view(nodes: DataFrame, path: str) -> None:
+    """Writes the nested view as text files that make one JSON document when joined in the order of their numbers."""
+    view_pieces(nodes).orderBy("key").select("piece").write.text(path)

@@ -701,15 +701,25 @@ b AS (SELECT path, unnest([{{'ord': 0, 'kind': 'CodeParagraph', 'c': 'def (' ||
 SELECT path, x.ord::BIGINT AS ord, x.kind AS kind, {S.content_hash('x.c')} AS hash, x.s::BIGINT AS start_line, x.e::BIGINT AS end_line FROM b"""
 
 
-@query(_BROKEN)
-def code_fallback(spark, sf):
-    """``part`` rows as Python files that no parser takes: they keep their paragraphs."""
+def _broken_blocks(spark, sf, as_text):
     from marginalia.sources import directory
 
     name = F.regexp_replace(F.lower("p_name"), "[^a-z]", "_")
     text = F.concat(F.lit("def ("), name, F.lit(":\n\n# "), name, F.lit("\n\nx = 1\n"))
     files = V.table(spark, sf, "part").select(F.concat(F.lit("src/b"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.lit("Python").alias("language"), F.lit("Text").alias("type"), text.alias("content"))
-    return directory.blocks(files).select("path", *big("ord"), "kind", "hash", *big("start_line", "end_line"))
+    return directory.blocks(files, as_text).select("path", *big("ord"), "kind", "hash", *big("start_line", "end_line"))
+
+
+@query(_BROKEN)
+def code_fallback(spark, sf):
+    """``part`` rows as Python files that no parser takes: they keep their paragraphs."""
+    return _broken_blocks(spark, sf, False)
+
+
+@query(_BROKEN.replace("CodeParagraph", "Paragraph").replace("'comment'", "'Paragraph'"))
+def head_fallback(spark, sf):
+    """The same files as the blobs of a revision: their paragraphs are plain text."""
+    return _broken_blocks(spark, sf, True)
 
 
 #: Impls of several lengths, so that some enclose others.
@@ -844,3 +854,18 @@ def tree_json(spark, sf):
     from marginalia.operators import actions
 
     return actions.nested_json(tree.nodes(_doc_files(spark, sf))).select("path", F.sha2("view", 256).alias("view_sha256"))
+
+
+@query(f"""WITH {S.FILES_DOC}, {S.TREE},
+every AS (
+  SELECT 'file' AS kind, dir AS parent, name, path, hash, 'dir:' || replace(dir, '/', '/dir:') || '/file:' || name AS key FROM tree1
+  UNION ALL SELECT 'directory', parent, name, path, hash, 'dir:' || parent || '/dir:' || name FROM tree2
+  UNION ALL SELECT 'directory', '', path, path, hash, 'dir:' || path FROM tree3
+  UNION ALL SELECT 'root', NULL, '', '', hash, '' FROM nodes WHERE kind = 'root'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY key) AS place FROM every)
+SELECT key, CASE WHEN place = 1 THEN '' ELSE ',' END || {_view("' || kind || '", 'name', 'path', 'hash', "''").removesuffix(" || ']}'")} || CASE WHEN kind = 'file' THEN ']}}' ELSE '' END AS piece FROM ranked
+UNION ALL SELECT CASE WHEN key = '' THEN '~' ELSE key || '/~' END, ']}}' FROM ranked WHERE kind <> 'file'""")
+def tree_json_pieces(spark, sf):
+    from marginalia.operators import actions
+
+    return actions.view_pieces(tree.nodes(_doc_files(spark, sf))).select(F.array_join("key", "/").alias("key"), "piece")

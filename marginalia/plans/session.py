@@ -8,6 +8,7 @@ import tomllib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.functions.kinds import language
 from marginalia.functions.text import content_hash
 from marginalia.operators import actions, diff, feedback, review, subsplit, tree, verdicts
 from marginalia.operators.review import Filters
@@ -90,17 +91,18 @@ class Session:
         head = self.repository.head()
         log.append(log.record(self.spark, fingerprint, verdict, self.repository.email(), check, head or "unknown", self._state(path, fingerprint), path, line, note), self.log_path)
 
+    def blocks_at(self, revision: str = "HEAD", paths: list[str] | None = None) -> DataFrame:
+        """Blocks of a revision's text blobs, or of those at ``paths``; code that can't be parsed is cut as plain text."""
+        held = self.repository.files_at(self.spark, revision, paths)
+        rows = held.select("path", F.coalesce(language(F.col("path")), F.lit("Text")).alias("language"), "content", F.lit("Text").alias("type"))
+        return directory.blocks(rows, as_text=True)
+
     def _state(self, path: str | None, fingerprint: str) -> str:
         """Whether HEAD holds the block, the path has changed, or neither is known."""
         if path is None or self.repository.head() is None:
             return "unknown"
-        held = self.repository.files_at(self.spark, "HEAD", [path])
-        if not held.isEmpty():
-            from marginalia.functions.kinds import language
-
-            rows = held.select("path", F.coalesce(language(F.col("path")), F.lit("Text")).alias("language"), "content", F.lit("Text").alias("type"))
-            if not directory.blocks(rows).where(F.col("hash") == fingerprint).isEmpty():
-                return "committed"
+        if not self.blocks_at("HEAD", [path]).where(F.col("hash") == fingerprint).isEmpty():
+            return "committed"
         return "uncommitted" if not self.repository.dirty_files(self.spark).where(F.col("path") == path).isEmpty() else "unknown"
 
     def diff(self) -> DataFrame:

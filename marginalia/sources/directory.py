@@ -105,19 +105,26 @@ def typed(raw: DataFrame) -> DataFrame:
     return rows.where((F.col("type") == "Binary") | F.is_valid_utf8("content"))
 
 
-def blocks(found: DataFrame) -> DataFrame:
-    """Blocks of files by language: items of code, sections of Markdown, paragraphs of the rest; merged, with hashes. Code that can't be parsed keeps its paragraphs."""
+def blocks(found: DataFrame, as_text: bool = False) -> DataFrame:
+    """Blocks of files by language: items of code, sections of Markdown, paragraphs of the rest; merged, with hashes.
+
+    Code that can't be parsed keeps its paragraphs, told apart as comments and
+    code, or as plain text with ``as_text``, which the blobs of a revision take.
+    """
     text = found.where(F.col("type") != "Binary").select("path", "language", "content")
     parsed = code.blocks(text.where(F.col("language").isin(code.LANGUAGES)), fallback=True)
     marked = split.sections(text.where(F.col("language") == "Markdown"))
     plain = split.paragraphs(text.where(F.col("language").isin("Text", "Toml", "Nix", "Just")))
-    lisp = split.paragraphs(text.where(F.col("language") == "Elisp"), code=True)
+    lisp = split.paragraphs(text.where(F.col("language") == "Elisp"), code=not as_text)
     bare = [d.withColumn("tags", F.array().cast("array<string>")) for d in (marked, plain, lisp)]
     columns = ["path", "ord", "kind", "content", "tags", "start_line", "end_line"]
     every = parsed.select(*columns)
     for d in bare:
         every = every.unionByName(d.select(*(F.col(c).cast("int") if c in ("ord", "start_line", "end_line") else F.col(c) for c in columns)))
-    return merge.optimized(every).withColumn("kind", F.regexp_replace("kind", f"^{code.LOOSE}", ""))
+    kind = F.regexp_replace("kind", f"^{code.LOOSE}", "")
+    if as_text:
+        kind = F.when(F.col("kind").startswith(code.LOOSE) & (kind != "gap"), "Paragraph").otherwise(kind)
+    return merge.optimized(every).withColumn("kind", kind)
 
 
 def file_hashes(found: DataFrame, split_blocks: DataFrame) -> DataFrame:

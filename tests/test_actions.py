@@ -12,6 +12,25 @@ def test_nested_view(spark):
     assert names(view) == ("", "root", [("a", "directory", [("y", "directory", [("z", "file", [])])]), ("b", "directory", [("x", "file", [])]), ("c", "file", [])])
 
 
+def test_the_view_in_pieces(spark, tmp_path):
+    """Names that need escapes, that start alike, of files beside directories; the joined files equal the view in one row."""
+    paths = ["b/x", "a/y/z", "c", "a/~", "a-b/q", 'a/"quote"', "a/y.txt", "ab/é/ü/deep", "~"] + [f"many/f{i}" for i in range(300)]
+    nodes = tree.nodes(spark.createDataFrame([(p, f"h{i}") for i, p in enumerate(paths)], "path string, hash string"))
+    folder = tmp_path / "view"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        actions.write_view(nodes.repartition(5), str(folder))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(folder.glob("part-*"))
+    assert len(files) > 1
+    assert json.loads("".join(f.read_text() for f in files)) == json.loads(actions.nested_json(nodes).first()["view"])
+
+
+def test_the_view_of_an_empty_tree(spark):
+    assert actions.view_pieces(tree.nodes(spark.createDataFrame([], "path string, hash string"))).count() == 0
+
+
 def test_lookups(spark):
     blocks = spark.createDataFrame([("p", 0, "function", "fn alpha() {}", "aa1"), ("p", 1, "code", "alpha beta. gamma", "ab2"), ("p", 2, "code", "beta", "ac3")], "path string, ord int, kind string, content string, hash string")
     assert actions.by_prefix(blocks, split.sentences, "ab").first()["ord"] == 1

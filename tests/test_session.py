@@ -44,6 +44,22 @@ def test_a_review(session):
     assert kinds == ["FunctionSignature", "CodeParagraph"]
 
 
+def test_blocks_of_a_revision(session, tmp_path):
+    """Code that can't be parsed, and code without a parser, is plain text at HEAD; in the work tree it is not."""
+    (tmp_path / "src" / "bad.py").write_text("def (:\n\n# why\n\nx = 1\n")
+    (tmp_path / "src" / "a.el").write_text(";; say\n\n(setq a 1)\n")
+    subprocess.run(["git", "-C", str(tmp_path), "add", "-A"], check=True)
+    subprocess.run(["git", "-C", str(tmp_path), "commit", "-qm", "three"], check=True)
+    kinds = lambda rows: {p: [r["kind"] for r in sorted(rows, key=lambda r: r["ord"]) if r["path"] == p and r["kind"] != "gap"] for p in ("src/bad.py", "src/a.el", "src/lib.py")}
+    held = kinds(session.blocks_at().collect())
+    assert held["src/bad.py"] == ["Paragraph"] * 3
+    assert set(held["src/a.el"]) == {"Paragraph"}
+    scanned = kinds(session.scan()[1].collect())
+    assert scanned["src/bad.py"] == ["CodeParagraph", "comment", "CodeParagraph"]
+    assert held["src/lib.py"] == scanned["src/lib.py"]
+    assert session.blocks_at(paths=["none"]).count() == 0
+
+
 def test_changes(session):
     hunks = session.diff().collect()
     assert [(r["path"], r["diff_content"]) for r in hunks] == [("notes.txt", "+Four.\n")]
