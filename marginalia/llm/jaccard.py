@@ -352,11 +352,12 @@ def parted(cells: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFr
 
     ``link`` rows (node, other) are links to pivots; ``join`` rows (node,
     other) are pivots of ``cell`` found connected; ``place`` rows put a node
-    into the region ``q`` of a pivot, ``home`` its nearest one, with the pivot
+    into the regions ``at`` of pivots, ``home`` its nearest one, with the pivot
     it links with, if any, as ``other``. A node of the cell goes to its nearest
     pivot and, as a guest, to each later one that is no farther than twice the
     limit beyond: by the triangle inequality two linked nodes of different
-    regions meet in the later one. Guests go to all such regions.
+    regions meet in the later one. Guests go to all such regions. One row
+    holds the home and one all other regions: of near copies these are many.
     """
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     # Nodes that no pivot has reached yet come first; the least by a hash are as good as random ones.
@@ -366,7 +367,7 @@ def parted(cells: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFr
     own = cells.select("cell", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), "node", "own", "grp", F.lit(-1).alias("q"))
     rows = own.unionByName(sent).join(sets, "node")
     window = 2 * (1 - percent / 100) + 1e-9
-    columns = ["kind", "cell", "node", "other", "q", "home", "own", "grp"]
+    columns = ["kind", "cell", "node", "other", "home", "own", "grp", "at"]
 
     def run(unit: pd.DataFrame) -> pd.DataFrame:
         unit = unit.sort_values(["q", "node"]).reset_index(drop=True)
@@ -392,12 +393,12 @@ def parted(cells: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFr
         for x in range(len(held)):
             for k in np.nonzero(linked[:, x])[0]:
                 if pivot[k] != x and node[pivot[k]] != node[x] and united(int(pivot[k]), x):
-                    out.append(("link", cell, node[x], node[pivot[k]], -1, -1, False, 0))
+                    out.append(("link", cell, node[x], node[pivot[k]], -1, False, 0, []))
         root = forest.roots()
         for k in range(1, len(pivot)):
             for j in range(k):
                 if root[pivot[k]] == root[pivot[j]]:
-                    out.append(("join", cell, node[pivot[k]], node[pivot[j]], -1, -1, False, 0))
+                    out.append(("join", cell, node[pivot[k]], node[pivot[j]], -1, False, 0, []))
                     break
         number, done = unit["q"].to_numpy(), set(node[pivot].tolist())
         own, grp = unit["own"].to_numpy(), unit["grp"].to_numpy()
@@ -408,15 +409,17 @@ def parted(cells: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFr
             d = distance[:, x]
             home = int(np.argmin(d))
             near = next((int(node[pivot[k]]) for k in np.nonzero(linked[:, x])[0]), None)
-            for k in np.nonzero(d <= d[home] + window)[0]:
-                if k == home or k > home or not own[x]:
-                    out.append(("place", cell, int(node[x]), near, int(number[pivot[k]]), int(number[pivot[home]]), bool(own[x] and k == home), int(grp[x])))
+            placed = ("place", cell, int(node[x]), near, int(number[pivot[home]]))
+            out.append((*placed, bool(own[x]), int(grp[x]), [int(number[pivot[home]])]))
+            at = [int(number[pivot[k]]) for k in np.nonzero(d <= d[home] + window)[0] if k > home or (k != home and not own[x])]
+            if at:
+                out.append((*placed, False, int(grp[x]), at))
         # Column by column: rows with and without a number together would make doubles of it, which don't hold 64 bits.
-        kinds = ("int64", "int64", "Int64", "int32", "int32", "bool", "int64")
+        kinds = ("int64", "int64", "Int64", "int32", "bool", "int64", object)
         values = list(zip(*out)) or [()] * len(columns)
-        return pd.DataFrame({"kind": pd.Series(values[0], dtype=object)} | {c: pd.array(list(v), dtype=t) for c, v, t in zip(columns[1:], values[1:], kinds)})
+        return pd.DataFrame({"kind": pd.Series(values[0], dtype=object)} | {c: pd.Series(list(v), dtype=t) for c, v, t in zip(columns[1:], values[1:], kinds)})
 
-    return rows.groupBy("cell", "part").applyInPandas(run, "kind string, cell bigint, node bigint, other bigint, q int, home int, own boolean, grp bigint")
+    return rows.groupBy("cell", "part").applyInPandas(run, "kind string, cell bigint, node bigint, other bigint, home int, own boolean, grp bigint, at array<int>")
 
 
 def named_alike(joins: DataFrame) -> DataFrame:
@@ -459,9 +462,11 @@ def family_links(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         told = written(parted(large, sets, percent, turn), "parted")
         found.append(told.where("kind = 'link'").select(F.col("node").alias("a"), F.col("other").alias("b")))
         names = named_alike(told.where("kind = 'join'"))
-        placed = told.where("kind = 'place'").join(names, ["cell", "other"], "left").withColumn("grp", F.coalesce("name", "other", "grp"))
-        spread = told.where("kind = 'place'").groupBy("cell").agg((F.count("*") <= SPREAD * F.sum((F.col("q") == F.col("home")).cast("int"))).alias("split"))
-        placed = placed.join(spread, "cell").where(F.col("split") | (F.col("q") == F.col("home")))
+        place = told.where("kind = 'place'").withColumn("stays", F.array_contains("at", F.col("home")))
+        spread = place.groupBy("cell").agg((F.sum(F.size("at")) <= SPREAD * F.count_if("stays")).alias("split"))
+        # Only cells that are split get a row for each region: at most SPREAD for a node on average.
+        placed = place.join(spread, "cell").where("split OR stays").join(names, ["cell", "other"], "left")
+        placed = placed.withColumn("grp", F.coalesce("name", "other", "grp")).withColumn("q", F.explode("at"))
         region = F.when(F.col("split"), F.xxhash64("cell", "q", F.lit(turn))).otherwise(F.col("cell"))
         # In a cell that stays whole, what was a guest stays one.
         cells = written(mixed_cells(placed.select("node", region.alias("cell"), "own", "grp")), "cells")

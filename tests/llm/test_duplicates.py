@@ -148,6 +148,27 @@ def test_families_equal_brute_force(spark, monkeypatch, kind, pivots, spread):
     assert roots[0] == roots[1]
 
 
+def test_guests_of_near_copies_make_no_rows_until_their_cell_is_split(spark, monkeypatch):
+    """Among near copies each node lies within the window of all pivots, so a row for each region would be pivots times nodes."""
+    made, written = {}, jaccard.written
+
+    def counted(df, label):
+        out = written(df, label)
+        made.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    monkeypatch.setattr(jaccard, "ROUNDS", 2)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(np.concatenate([np.arange(80), rng.choice(np.arange(80, 9000), 11, replace=False)])).astype(np.uint64) for _ in range(200)]
+    family = spark.createDataFrame([(1000 + i, 1000) for i in range(200)], "node bigint, root bigint")
+    held = spark.createDataFrame([(1000 + i, x.tobytes()) for i, x in enumerate(sets)], "node bigint, shingles binary")
+    # 80 of 102 shingles are shared: no two link, and all are within twice the limit of all pivots.
+    assert jaccard.family_links(family, held, 85).count() == 0
+    assert len(made["parted"]) == 2 and max(made["parted"]) <= 2 * 200
+    assert made["cells"][0] == 200 and made["cells"][1] == 200 - 16
+
+
 def test_sets_that_share_a_number_get_the_other(spark):
     rows = spark.createDataFrame([(1, 7, 70), (2, 7, 70), (3, 7, 71), (4, 8, 80)], "doc_id bigint, node bigint, check bigint")
     found, clashes = jaccard.named(rows)
