@@ -347,6 +347,14 @@ def pivot_links(sets: list[np.ndarray], side: np.ndarray, percent: int, group: n
     return out
 
 
+def pivots_of(cells: DataFrame, turn: int) -> DataFrame:
+    """The cells' rows that become pivots, numbered by ``q``."""
+    # Nodes that no pivot has reached yet come first; the least by a hash are as good as random ones.
+    order = Window.partitionBy("cell").orderBy(F.col("grp") != 0, F.xxhash64("node", F.lit(turn)), "node")
+    # With a fixed limit of its own each task hands on PIVOTS rows of a cell at most, however large the cell is.
+    return cells.where("own").withColumn("r", F.row_number().over(order)).where((F.col("r") <= PIVOTS) & (F.col("r") <= F.ceil(F.sqrt("size")) + 1)).withColumn("q", F.col("r") - 1)
+
+
 def parted(cells: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
     """One round over large cells (node, cell, own, grp, size), grp 0 for no group: rows of what its pivots tell.
 
@@ -360,10 +368,7 @@ def parted(cells: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFr
     holds the home and one all other regions: of near copies these are many.
     """
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    # Nodes that no pivot has reached yet come first; the least by a hash are as good as random ones.
-    order = Window.partitionBy("cell").orderBy(F.col("grp") != 0, F.xxhash64("node", F.lit(turn)), "node")
-    pivots = cells.where("own").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.least(F.lit(PIVOTS), F.ceil(F.sqrt("size")) + 1)).withColumn("q", F.col("r") - 1)
-    sent = pivots.select("cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "node", "own", F.lit(0).cast("bigint").alias("grp"), "q")
+    sent = pivots_of(cells, turn).select("cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "node", "own", F.lit(0).cast("bigint").alias("grp"), "q")
     own = cells.select("cell", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), "node", "own", "grp", F.lit(-1).alias("q"))
     rows = own.unionByName(sent).join(sets, "node")
     window = 2 * (1 - percent / 100) + 1e-9

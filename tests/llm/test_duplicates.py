@@ -169,6 +169,17 @@ def test_guests_of_near_copies_make_no_rows_until_their_cell_is_split(spark, mon
     assert made["cells"][0] == 200 and made["cells"][1] == 200 - 16
 
 
+def test_a_large_cell_is_not_one_task_of_its_pivots(spark, monkeypatch):
+    """Each task hands on few candidates of a cell to the one that numbers its pivots."""
+    monkeypatch.setattr(jaccard, "PIVOTS", 5)
+    cells = spark.range(0, 400, 1, 4).selectExpr("id AS node", "IF(id < 391, 1L, 2L) AS cell", "true AS own", "0L AS grp", "IF(id < 391, 391L, 9L) AS size")
+    pivots = jaccard.pivots_of(cells, 0)
+    assert "WindowGroupLimit" in pivots._jdf.queryExecution().executedPlan().toString()
+    found = [(r["cell"], r["q"], r["node"]) for r in pivots.orderBy("cell", "q").collect()]
+    order = {c: [r["node"] for r in cells.where(f"cell = {c}").selectExpr("node", "xxhash64(node, 0) AS h").orderBy("h").collect()] for c in (1, 2)}
+    assert found == [(1, q, order[1][q]) for q in range(5)] + [(2, q, order[2][q]) for q in range(4)]
+
+
 def test_sets_that_share_a_number_get_the_other(spark):
     rows = spark.createDataFrame([(1, 7, 70), (2, 7, 70), (3, 7, 71), (4, 8, 80)], "doc_id bigint, node bigint, check bigint")
     found, clashes = jaccard.named(rows)
